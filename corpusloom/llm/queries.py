@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import line_dedup, token_counts, token_files
+from corpusloom.llm import line_dedup, near_dedup, phrase_fingerprint, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op5_phrase_fingerprint": phrase_fingerprint.op5_phrase_fingerprint,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 ORACLES = {"op9_line_dedup": line_dedup.OP9_SQL}

@@ -34,22 +34,6 @@ def model_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Kept:
-    """A bounded cache in two generations: what a full generation held and nobody asks for again goes."""
-
-    def __init__(self, most: int):
-        self.most, self.now, self.old = most, {}, {}
-
-    def missing(self, wanted: set) -> set:
-        """Those of ``wanted`` to be learnt; all others are in ``now`` until the next call."""
-        fresh = wanted.difference(self.now)
-        if len(self.now) + len(fresh) > self.most:
-            self.old, self.now, fresh = self.now, {}, wanted
-        known = fresh.intersection(self.old)
-        self.now.update({k: self.old[k] for k in known})
-        return fresh - known
-
-
 #: How the tokenizer's own pattern cuts lower-cased text.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -70,7 +54,7 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.bare = Tokenizer(self.model.model)  # for what is normalized and cut already
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.words, self.pretokens = Kept(most), Kept(most)
+        self.words, self.pretokens = common.Kept(most), common.Kept(most)
         self.special = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
         self.cut, self.plain = regex.compile(PRETOKEN).findall, regex.compile(r"[!-~¡-¬®-ÿ]+").fullmatch
 
