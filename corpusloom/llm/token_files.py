@@ -46,7 +46,7 @@ class Encoder:
     pre-tokens, of which fewer are distinct; other words are encoded whole, and a text that names a
     special token is encoded whole."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
@@ -54,15 +54,14 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.bare = Tokenizer(self.model.model)  # for what is normalized and cut already
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.words, self.pretokens = common.Kept(most), common.Kept(most)
+        self.words, self.pretokens = common.Kept(most), common.Kept(most * 3 // 4)
         self.special = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
         self.cut, self.plain = regex.compile(PRETOKEN).findall, regex.compile(r"[!-~¡-¬®-ÿ]+").fullmatch
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [None if any(s in t for s in self.special) else t.split() for t in texts]
-        missing = self.words.missing(set().union(*(x for x in split if x)))
-        self._learn([w.decode() for w in missing])
+        self._learn([w.decode() for w in self.words.missing(set().union(*(x for x in split if x)))])
         get = self.words.now.__getitem__
         return [self._ids(t.decode()) if x is None else b"".join(map(get, x)) for t, x in zip(texts, split, strict=True)]
 
@@ -98,7 +97,7 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray,
     pairs are chosen; rules and places are exact. A pair left with one place is not replaced."""
     symbols, last = ids.astype(np.uint32), last.copy()
     rules, lengths = [], np.zeros(0, np.int64)
-    bits = max(12, int(len(symbols)).bit_length() + 1)
+    bits = max(12, int(len(symbols)).bit_length())
     for _ in range(ROUNDS):
         if len(symbols) < 2:
             break
@@ -221,7 +220,8 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     # ids of a part: the end of its last document; parts are as many as the tasks that wrote them
     ends = shards.select("part", F.element_at("docs", -1).alias("d")).groupBy("part").agg(F.max(F.col("d.at") + F.col("d.n_tokens")).alias("n"))
     before = ends.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_start"))
-    return shards.join(before, "part").mapInArrow(decoded, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    # a few bytes for each task that wrote
+    return shards.join(F.broadcast(before), "part").mapInArrow(decoded, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
