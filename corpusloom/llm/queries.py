@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import line_dedup, near_dedup, phrase_fingerprint, token_counts, token_files, toxicity
+from corpusloom.llm import line_dedup, lm_score, near_dedup, phrase_fingerprint, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_phrase_fingerprint": phrase_fingerprint.op5_phrase_fingerprint,
     "op7_near_dedup": near_dedup.op7_near_dedup,
+    "op8_lm_score": lm_score.op8_lm_score,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 ORACLES = {"op9_line_dedup": line_dedup.OP9_SQL}
