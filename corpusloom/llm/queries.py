@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import line_dedup, lm_score, near_dedup, phrase_fingerprint, token_counts, token_files, toxicity
+from corpusloom.llm import decontaminate, line_dedup, lm_score, near_dedup, phrase_fingerprint, piece_codec, shard_table, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_sharding": shard_table.op3_sharding,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_phrase_fingerprint": phrase_fingerprint.op5_phrase_fingerprint,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_lm_score": lm_score.op8_lm_score,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_piece_codec": piece_codec.op10_piece_codec,
 }
 ORACLES = {"op9_line_dedup": line_dedup.OP9_SQL}
