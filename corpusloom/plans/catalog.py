@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    pass
+    from corpusloom.plans import q_candidates, q_dedup, q_distributions, q_features, q_relational, q_text, q_tokens  # noqa: F401
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
