@@ -5,11 +5,12 @@ A document is the weighted set of its five-word shingles (weight: how often it s
 dart of least rank for each coordinate. Coordinates are cut into bands; documents that agree on a
 band share a bucket.
 
-Buckets are never expanded into pairs. In rounds, the least member of a bucket is its centre and all
-others are compared with it exactly; those that are alike leave the bucket. What is left chooses a
-new centre. Two members with different centres can be alike only if the later one isn't too far from
-the earlier centre (weighted Jaccard distance obeys the triangle inequality), so those few pairs, as
-far as they aren't connected yet, are compared as well: no link within a bucket is lost.
+Buckets are never expanded into pairs. The least member of a bucket is its centre, and every other
+member is compared with it exactly. Components of these links settle almost everything. Where
+members of one centre still belong to several components, its members are dealt out to chunks of
+bounded size; each pair of chunks is one small task that compares all members of different
+components exactly and returns a spanning forest of the links it finds. So every pair that shares
+a bucket is decided, and what is returned grows with the members, not with their pairs.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from corpusloom.llm.components import components
 from corpusloom.llm.words import Shingler, mix, weighted_jaccard
 
 BANDS, ROWS = 25, 5
-#: Rounds of centres after which the rest of a bucket is compared pair by pair.
-ROUNDS = 8
+#: Members and characters of a chunk.
+CHUNK_ROWS, CHUNK_CHARS = 800, 6_000_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -142,61 +143,79 @@ def _compared(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> D
     return joined.select("a", "b", "own", "other").mapInArrow(measured, "a long, b long, sim double")
 
 
+def _linked_in_chunks(members: DataFrame, words: int, near: float) -> DataFrame:
+    """(a, b): components of ``members`` (centre, node, component, text) that have a link within a centre's members."""
+    w = members.groupBy("centre").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.countDistinct("component").alias("parts"))
+    open_ = w.where("n > 1 and parts > 1").select("centre", F.greatest(F.ceil(F.col("n") / CHUNK_ROWS), F.ceil(F.col("chars") / CHUNK_CHARS)).cast("int").alias("chunks"))
+    own = members.join(open_, "centre").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    paired = own.withColumn("other", other).select("centre", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "component", "text")
+
+    def compared(key: tuple, group: pa.Table) -> pa.Table:
+        shingler, same = Shingler(words), key[1].as_py() == key[2].as_py()
+        chunk, component = group["chunk"].to_pylist(), group["component"].to_pylist()
+        sets = [shingler.shingles(t) for t in common.as_bytes(group["text"].combine_chunks())]
+        total = np.array([s[1].sum() for s in sets])
+        rows = [k for k in range(len(sets)) if chunk[k] == key[1].as_py()]
+        columns = rows if same else [k for k in range(len(sets)) if chunk[k] != key[1].as_py()]
+        index: dict[int, list[tuple[int, float]]] = {}
+        for k, c in enumerate(columns):
+            for h, n in zip(sets[c][0].tolist(), sets[c][1].tolist(), strict=True):
+                index.setdefault(h, []).append((k, n))
+        shared = {h: (np.array([k for k, _ in v]), np.array([n for _, n in v])) for h, v in index.items()}
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.get(x, x) != x:
+                parent[x] = x = parent.get(parent[x], parent[x])
+            return x
+
+        links, size = [], total[columns] if columns else total[:0]
+        for r in rows:
+            least = np.zeros(len(columns))
+            for h, n in zip(sets[r][0].tolist(), sets[r][1].tolist(), strict=True):
+                if h in shared:
+                    at, m = shared[h]
+                    least[at] += np.minimum(m, n)
+            for k in np.flatnonzero(least >= near * (size + total[r] - least)).tolist():
+                x, y = find(component[r]), find(component[columns[k]])
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    links.append((component[r], component[columns[k]]))
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return paired.groupBy("centre", "i", "j").applyInArrow(compared, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id) for every distinct id: documents linked by weighted Jaccard similarity of
     ``similarity`` or more on ``words``-word shingles, directly or over others, share the least id as class.
 
-    Equal texts share a class, empty and null ones too. An id with several
-    texts takes the least of their classes. Rows with a null id are left out. A pair of similarity 0.8 shares a band with probability 0.9999.
-    Other columns are not read. An empty table gives an empty table."""
-    near, slack, far = similarity - 1e-9, 1 - similarity, 1 - 2 * (1 - similarity) - 1e-9
+    Equal texts share a class, empty and null ones too. A text of fewer words is one shingle. An id
+    with several texts takes the least of their classes. Rows with a null id are left out. A pair of
+    similarity 0.8 shares a band with probability 0.9999. Other columns are not read. An empty table
+    gives an empty table."""
+    near = similarity - 1e-9
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = common.written(_banded(docs, bands, rows, words), "signatures")
     equal = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
     copies = common.written(signed.select("doc_id", "h1", "h2").join(equal.where("n > 1"), ["h1", "h2"]).select("doc_id", "node").distinct(), "copies")
     nodes = signed.join(copies.where("doc_id <> node").select("doc_id"), "doc_id", "left_anti")
     bucketed = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket")).distinct()
-    left = common.written(_with_centres(bucketed), "buckets")
+    pairs = common.written(_with_centres(bucketed).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
 
-    members = left.select("node").union(left.select("centre")).distinct()
+    members = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = common.written(docs.join(members, docs["doc_id"] == members["node"], "left_semi").select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text")), "texts")
-
-    links, covered, missed = [], [], []
-    for _ in range(ROUNDS):
-        if left.isEmpty():
-            break
-        pairs = left.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-        sims = common.written(_compared(pairs, texts, words, far).groupBy("a", "b").agg(F.max("sim").alias("sim")), "similar")
-        links.append(sims.where(F.col("sim") >= near).select("a", "b"))
-        known = left.join(sims, (left.node == sims.a) & (left.centre == sims.b), "left").select("bucket", "node", "centre", "sim")
-        known = common.written(known, "known")
-        covered.append(known.where(F.col("sim") >= near))
-        missed.append(known.where(F.col("sim") < near))
-        left = common.written(_with_centres(known.where(F.coalesce("sim", F.lit(0.0)) < near).select("bucket", "node")), "buckets")
-    if not left.isEmpty():  # pair by pair
-        one, two = left.select("bucket", F.col("node").alias("a")), left.select("bucket", F.col("node").alias("b"))
-        rest = one.join(two, "bucket").where("a > b").union(left.select("bucket", F.col("node").alias("a"), F.col("centre").alias("b"))).select("a", "b").distinct()
-        links.append(_compared(rest, texts, words, near).select("a", "b"))
-    if links:
-        edges = links[0]
-        for more in links[1:]:
-            edges = edges.union(more)
-        edges = common.written(edges, "edges")
-        named = components(edges)
-        across = None
-        for star, far_off in zip(covered, missed, strict=True):
-            s = star.select("bucket", "centre", F.col("node").alias("a"), F.col("sim").alias("sim_a")).join(named, F.col("a") == named.node, "left").select("bucket", "centre", "a", "sim_a", F.coalesce("component", "a").alias("of_a"))
-            f = far_off.select("bucket", "centre", F.col("node").alias("b"), F.col("sim").alias("sim_b")).join(named, F.col("b") == named.node, "left").select("bucket", "centre", "b", "sim_b", F.coalesce("component", "b").alias("of_b"))
-            pairs = s.join(f, ["bucket", "centre"]).where((F.col("of_a") != F.col("of_b")) & (F.col("sim_a") - F.col("sim_b") <= slack + 1e-9)).select("a", "b")
-            across = pairs if across is None else across.union(pairs)
-        across = common.written(across.distinct(), "across")
-        if not across.isEmpty():
-            named = components(edges.union(_compared(across, texts, words, near).select("a", "b")))
-    else:
-        named = docs.sparkSession.createDataFrame([], "node long, component long")
+    links = common.written(_compared(pairs, texts, words, near).select("a", "b").distinct(), "edges")
+    named = components(links)
+    placed = pairs.select(F.col("a").alias("node"), F.col("b").alias("centre")).join(named, "node", "left").select("centre", "node", F.coalesce("component", "node").alias("component"))
+    more = components(_linked_in_chunks(placed.join(texts, "node"), words, near))
+    joined = more.select(F.col("node").alias("component"), F.col("component").alias("whole"))
     ids = signed.select("doc_id").distinct()
     of_node = ids.join(copies, "doc_id", "left").groupBy("doc_id").agg(F.coalesce(F.min("node"), F.col("doc_id")).alias("node"))
-    return of_node.join(named, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id"))
+    of_component = of_node.join(named, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+    return of_component.join(joined, "component", "left").select("doc_id", F.coalesce("whole", "component").alias("class_id"))
 
 
 def _with_centres(bucketed: DataFrame) -> DataFrame:
