@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 META = ("[START]", "[END]", "[PAD]", "[MASK]", "[HOLE]", "[ENDHOLE]")
 
@@ -64,7 +65,10 @@ def depth(ids: Column, left: int, right: int) -> Column:
     return F.size(F.filter(ids, lambda x: x == left)) - F.size(F.filter(ids, lambda x: x == right))
 
 
-@F.pandas_udf("struct<input array<int>, positions array<int>, labels array<int>>")
+_INTS = ArrayType(IntegerType())
+
+
+@F.pandas_udf(StructType().add("input", _INTS).add("positions", _INTS).add("labels", _INTS))
 def mask_tokens(ids, seeds):
     """15 % of the ids as positions to predict: of them 80 % masked, 10 % another id, 10 % left, by the row's seed."""
     import numpy as np

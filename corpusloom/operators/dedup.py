@@ -24,7 +24,7 @@ def union_first_wins(parts: list[DataFrame], key: str, order: list[str]) -> Data
 
 def insert_absent(old: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Rows of ``new`` whose key ``old`` lacks, one for each key."""
-    return first_per_key(new, [key], order).join(old.select(key), key, "left_anti")
+    return first_per_key(new, [key], order).join(old.select(key), key, "left_anti").select(*new.columns)
 
 
 def upsert_frequency(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
