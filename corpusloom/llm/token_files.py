@@ -15,13 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common
 
-END_ID, SHARD_IDS = 2, 1_000_000
+END_ID, SHARD_IDS, TEXTS_AT_ONCE = 2, 1_000_000, 1000
 #: Rounds at most, the least count of a pair that becomes a rule, and the least share of symbols a round must save.
 ROUNDS, MIN_COUNT, MIN_SAVED = 5, 6, 0.04
 SHARD_SCHEMA = """part int, seq int, base int, rules binary, rule_lengths binary, symbols binary,
@@ -55,15 +56,29 @@ class Encoder:
         self.bare = Tokenizer(self.model.model)  # for what is normalized and cut already
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.words, self.pretokens = common.Kept(most), common.Kept(most * 3 // 4)
-        self.special = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
+        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.cut, self.plain = regex.compile(PRETOKEN).findall, regex.compile(r"[!-~¡-¬®-ÿ]+").fullmatch
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [None if any(s in t for s in self.special) else t.split() for t in texts]
-        self._learn([w.decode() for w in self.words.missing(set().union(*(x for x in split if x)))])
-        get = self.words.now.__getitem__
-        return [self._ids(t.decode()) if x is None else b"".join(map(get, x)) for t, x in zip(texts, split, strict=True)]
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers.
+
+        Arrow cuts the texts and numbers the distinct words; only those are looked up, and their ids
+        are then laid out in the order of all words."""
+        special = [any(x) for x in zip(*(pc.match_substring(texts, s).to_pylist() for s in self.special), strict=True)] if self.special else [False] * len(texts)
+        plain = pc.if_else(pa.array(special, pa.bool_()), "", texts)
+        split = pc.ascii_split_whitespace(plain)
+        numbered = split.flatten().dictionary_encode()
+        words = numbered.dictionary.cast(pa.binary()).to_pylist()
+        self._learn([w.decode() for w in self.words.missing(set(words))])
+        blobs = [*map(self.words.now.__getitem__, words)]
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        starts = np.cumsum(sizes) - sizes
+        which = numbered.indices.to_numpy()
+        n = sizes[which]
+        ends = np.cumsum(n)
+        ids = np.frombuffer(b"".join(blobs), "<u4")[np.repeat(starts[which] - (ends - n), n) + np.arange(int(n.sum()))]
+        at = np.concatenate(([0], ends))[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [self._ids(texts[k].as_py()) if special[k] else ids[at[k] : at[k + 1]].tobytes() for k in range(len(texts))]
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -186,9 +201,9 @@ def write_shards(docs: DataFrame, path: str, model_file: str | None = None, id_c
         seq = at = held = 0
         ids, blobs = [], []
         for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
-                for i, blob in zip(batch.column(0).to_pylist(), model.encode(common.as_bytes(batch.column(1))), strict=True):
+            for k in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                batch = whole.slice(k, TEXTS_AT_ONCE)
+                for i, blob in zip(batch.column(0).to_pylist(), model.encode(batch.column(1)), strict=True):
                     ids.append(i)
                     blobs.append(blob + end)
                     held += len(blob) // 4 + 1
