@@ -139,7 +139,9 @@ def _compared(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> D
             columns = list(zip(*at, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["a", "b", "sim"])
 
-    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("own")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
+    # merged at every size: what a small input could broadcast, a large one can't
+    own, other = (texts.select(F.col("node").alias(n), F.col("text").alias(c)).hint("merge") for n, c in (("a", "own"), ("b", "other")))
+    joined = pairs.join(own, "a").join(other, "b")
     return joined.select("a", "b", "own", "other").mapInArrow(measured, "a long, b long, sim double")
 
 
@@ -206,11 +208,11 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, ba
     pairs = common.written(_with_centres(bucketed).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
 
     members = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = common.written(docs.join(members, docs["doc_id"] == members["node"], "left_semi").select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text")), "texts")
+    texts = common.written(docs.join(members.hint("merge"), docs["doc_id"] == members["node"], "left_semi").select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text")), "texts")
     links = common.written(_compared(pairs, texts, words, near).select("a", "b").distinct(), "edges")
     named = components(links)
     placed = pairs.select(F.col("a").alias("node"), F.col("b").alias("centre")).join(named, "node", "left").select("centre", "node", F.coalesce("component", "node").alias("component"))
-    more = components(_linked_in_chunks(placed.join(texts, "node"), words, near))
+    more = components(_linked_in_chunks(placed.join(texts.hint("merge"), "node"), words, near))
     joined = more.select(F.col("node").alias("component"), F.col("component").alias("whole"))
     ids = signed.select("doc_id").distinct()
     of_node = ids.join(copies, "doc_id", "left").groupBy("doc_id").agg(F.coalesce(F.min("node"), F.col("doc_id")).alias("node"))
