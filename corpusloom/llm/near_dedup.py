@@ -160,11 +160,12 @@ def _linked_in_chunks(members: DataFrame, words: int, near: float) -> DataFrame:
         total = np.array([s[1].sum() for s in sets])
         rows = [k for k in range(len(sets)) if chunk[k] == key[1].as_py()]
         columns = rows if same else [k for k in range(len(sets)) if chunk[k] != key[1].as_py()]
-        index: dict[int, list[tuple[int, float]]] = {}
-        for k, c in enumerate(columns):
-            for h, n in zip(sets[c][0].tolist(), sets[c][1].tolist(), strict=True):
-                index.setdefault(h, []).append((k, n))
-        shared = {h: (np.array([k for k, _ in v]), np.array([n for _, n in v])) for h, v in index.items()}
+        if not rows or not columns:
+            return pa.Table.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
+        shingle, weight = (np.concatenate([sets[c][k] for c in columns]) for k in (0, 1))
+        order = np.argsort(shingle, kind="stable")
+        owner = np.repeat(np.arange(len(columns)), [len(sets[c][0]) for c in columns])[order]
+        shingle, weight = shingle[order], weight[order]
         parent: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -172,13 +173,12 @@ def _linked_in_chunks(members: DataFrame, words: int, near: float) -> DataFrame:
                 parent[x] = x = parent.get(parent[x], parent[x])
             return x
 
-        links, size = [], total[columns] if columns else total[:0]
+        links, size = [], total[columns]
         for r in rows:
-            least = np.zeros(len(columns))
-            for h, n in zip(sets[r][0].tolist(), sets[r][1].tolist(), strict=True):
-                if h in shared:
-                    at, m = shared[h]
-                    least[at] += np.minimum(m, n)
+            first = np.searchsorted(shingle, sets[r][0])
+            n = np.searchsorted(shingle, sets[r][0], "right") - first
+            at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            least = np.bincount(owner[at], np.minimum(np.repeat(sets[r][1], n), weight[at]), len(columns))
             for k in np.flatnonzero(least >= near * (size + total[r] - least)).tolist():
                 x, y = find(component[r]), find(component[columns[k]])
                 if x != y:
