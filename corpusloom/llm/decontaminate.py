@@ -19,11 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm import common
 from corpusloom.llm.words import Shingler
 
 WALKS, SAMPLES, STEPS_IN_SAMPLE = 4, 16, 4
@@ -129,14 +129,14 @@ class Detector:
         long, short = [x for x in hashed if len(x[1]) >= LONG], [x for x in hashed if 0 < len(x[1]) < LONG]
         self.indexes = [Index(x, stride) for x, stride in ((long, STRIDE), (short, 1)) if x]
 
-    def hits(self, texts: list[bytes]) -> list[dict[int, tuple[int, int, int]]]:
+    def hits(self, texts: pa.Array) -> list[dict[int, tuple[int, int, int]]]:
         """For each text: item id -> (distance, item's words, word where the passage ends)."""
         out: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
-        hashed = [self.shingler.word_hashes(t) for t in texts]
+        hashed = self.shingler.words_of(pc.fill_null(texts, ""))
         lengths = np.array([len(w) for w in hashed], np.int64)
         for index in self.indexes:
             pad = np.zeros(index.steps + 1, np.uint64)
-            words = np.concatenate([x for w in hashed for x in (w, pad)]) if texts else pad
+            words = np.concatenate([x for w in hashed for x in (w, pad)]) if len(texts) else pad
             begin = np.cumsum(lengths + len(pad)) - lengths - len(pad)
             counts = -(-lengths // index.stride)
             owner = np.repeat(np.arange(len(texts)), counts)
@@ -195,7 +195,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.
             for whole in batches:
                 for k in range(0, whole.num_rows, 200):
                     batch = whole.slice(k, 200)
-                    hits = detector.hits(common.as_bytes(batch.column(1)))
+                    hits = detector.hits(batch.column(1))
                     rows = [(d, i, *h) for d, one in zip(batch.column(0).to_pylist(), hits, strict=True) for i, h in sorted(one.items())]
                     columns = list(zip(*rows, strict=True)) or [()] * 5
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "distance", "item_words", "end_word"])
@@ -219,7 +219,7 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, similarity: float =
             for whole in batches:
                 for k in range(0, whole.num_rows, 200):
                     batch = whole.slice(k, 200)
-                    yield batch.filter(pa.array([not h for h in detector.hits(common.as_bytes(batch.column(at)))], pa.bool_()))
+                    yield batch.filter(pa.array([not h for h in detector.hits(batch.column(at))], pa.bool_()))
 
         docs = docs.mapInArrow(clean, T.StructType(docs.schema.fields))
     return docs

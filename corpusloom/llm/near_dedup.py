@@ -105,8 +105,7 @@ def _banded(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
                         all_bands[k] = b
                     held.clear()
 
-            for k, text in enumerate(common.as_bytes(batch.column(3))):
-                found = shingler.shingles(text)
+            for k, found in enumerate(s for b in range(0, batch.num_rows, 500) for s in map(shingler.shingles_of, shingler.words_of(batch.column(3).slice(b, 500)))):
                 if len(found[0]):
                     held.append((k, found))
                     size += len(found[0])

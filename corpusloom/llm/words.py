@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 from corpusloom.llm.common import Kept
@@ -30,9 +32,25 @@ class Shingler:
         self.known.now.update({w: xxhash.xxh64_intdigest(w) for w in fresh})
         return np.fromiter(map(self.known.now.__getitem__, found), np.uint64, len(found))
 
+    def words_of(self, texts: pa.Array) -> list[np.ndarray]:
+        """word_hashes of each text of a string array; Arrow numbers the distinct words, only those are hashed."""
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        numbered = split.flatten().dictionary_encode()
+        found = numbered.dictionary.cast(pa.binary()).to_pylist()
+        self.known.now.update({w: xxhash.xxh64_intdigest(w) for w in self.known.missing(set(found))})
+        table = np.fromiter(map(self.known.now.__getitem__, found), np.uint64, len(found))
+        which = numbered.indices.to_numpy()
+        word = np.fromiter((w != b"" for w in found), bool, len(found))[which]  # white space at an end leaves an empty string
+        at = np.concatenate(([0], np.cumsum(word)))[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        hashes = table[which[word]]
+        return [hashes[a:b] for a, b in zip(at, at[1:], strict=False)]
+
     def shingles(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingles and how often each stands; a text of fewer words is one shingle, without words none."""
-        w = self.word_hashes(text)
+        return self.shingles_of(self.word_hashes(text))
+
+    def shingles_of(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """shingles of a text's word hashes."""
         if not len(w):
             return w, np.zeros(0)
         size = min(self.words, len(w))
