@@ -37,7 +37,8 @@ class Shingler:
         split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         numbered = split.flatten().dictionary_encode()
         found = numbered.dictionary.cast(pa.binary()).to_pylist()
-        self.known.now.update({w: xxhash.xxh64_intdigest(w) for w in self.known.missing(set(found))})
+        fresh = self.known.missing(set(found))  # may begin a new generation, so before ``now`` is read
+        self.known.now.update({w: xxhash.xxh64_intdigest(w) for w in fresh})
         table = np.fromiter(map(self.known.now.__getitem__, found), np.uint64, len(found))
         which = numbered.indices.to_numpy()
         word = np.fromiter((w != b"" for w in found), bool, len(found))[which]  # white space at an end leaves an empty string

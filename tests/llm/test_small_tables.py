@@ -202,6 +202,17 @@ def brute_classes(rows):
     return {i: find(i) for i in ids}
 
 
+def test_words_of_equals_word_hashes_with_a_small_cache():
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("aB é\t\n\x0b\r ") for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    own, other = Shingler(most=5), Shingler()
+    for k in range(0, 300, 50):
+        got = own.words_of(pa.array(["skipped", *texts[k : k + 50]]).slice(1))
+        assert [g.tolist() for g in got] == [other.word_hashes(t.encode()).tolist() for t in texts[k : k + 50]]
+
+
 def test_near_dedup_against_brute_force(spark, docs, empty):
     rng = random.Random(3)
     words = [f"w{k}" for k in range(400)]
