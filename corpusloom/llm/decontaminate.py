@@ -8,6 +8,9 @@ it. Windows are as long as the size class of the item, and all classes share one
 steps are hashed, several times for each of several walks; where a hash is an item's, the exact edit
 distance of the item to the best part of the text around decides.
 
+Windows that can't hold an item are not embedded: an edit costs a passage two bigrams of words at
+most, so a part of the text with fewer bigrams of items than that leaves has no hit. This loses nothing.
+
 Items are the stated query set: they are sent to all tasks in blocks of ITEM_BLOCK, each one pass
 over the documents, which are neither shuffled nor gathered.
 """
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm import common
-from corpusloom.llm.words import Shingler
+from corpusloom.llm.words import Shingler, mix
 
 WALKS, SAMPLES, STEPS_IN_SAMPLE = 4, 16, 4
 #: Words between windows, for items of LONG words or more; shorter items get windows at every word.
@@ -41,10 +44,15 @@ def _classes(longest: int) -> list[int]:
     return out
 
 
+def _bigrams(words: np.ndarray) -> np.ndarray:
+    """Hashes of neighbouring words."""
+    return mix(words[:-1] * _ODD + words[1:])
+
+
 class Index:
-    """Hashes of items' windows, for one stride. items: (item id, word hashes)."""
+    """Hashes of items' windows, for one stride and least similarity. items: (item id, word hashes)."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], stride: int, seed: int = 1):
+    def __init__(self, items: list[tuple[int, np.ndarray]], stride: int, similarity: float, seed: int = 1):
         self.items, self.stride = items, stride
         classes = _classes(max(len(w) for _, w in items))
         of_class = defaultdict(list)  # the longest class that fits behind every first word
@@ -82,6 +90,25 @@ class Index:
                         for h, start in zip(hashes[s].tolist(), starts, strict=True):
                             self.found[walk][s][h].append(start)
         self.keys = [[np.array(sorted(t), np.uint64) for t in row] for row in self.found]
+        bigrams = np.concatenate([_bigrams(w) for _, w in items])
+        self.shift = np.uint64(64 - min(24, max(12, int(64 * len(bigrams)).bit_length())))
+        self.held = np.zeros(1 << 64 - int(self.shift), bool)
+        self.held[(bigrams >> self.shift).astype(np.int64)] = True
+        #: for each class: words before and behind a window's start that a passage may take, and the bigrams it has at least
+        self.reach = []
+        for members in of_class.values():
+            sizes = np.array([len(items[k][1]) for k in members])
+            most = ((1 - similarity) * sizes + 1e-9).astype(int)
+            self.reach.append((stride + int(most.max()), int((sizes + 2 * most).max()) + 2, int((sizes - 1 - 2 * most).min())))
+
+    def possible(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Those of the windows around which there are enough bigrams of items."""
+        held = self.held[(_bigrams(words) >> self.shift).astype(np.int64)]
+        before = np.concatenate((np.zeros(1, np.int32), np.cumsum(held, dtype=np.int32)))
+        passes = np.zeros(len(at), bool)
+        for back, ahead, least in self.reach:
+            passes |= before[np.minimum(at + ahead, len(held))] - before[np.maximum(at - back, 0)] >= least
+        return at[passes]
 
     def embed(self, words: np.ndarray, at: np.ndarray, walk: int) -> list[np.ndarray]:
         """Sample hashes of the windows that start at ``at``; words are padded with zeros behind each text."""
@@ -128,7 +155,7 @@ class Detector:
         self.shingler, self.similarity = Shingler(), similarity
         hashed = [(i, self.shingler.word_hashes(t)) for i, t in items]
         long, short = [x for x in hashed if len(x[1]) >= LONG], [x for x in hashed if 0 < len(x[1]) < LONG]
-        self.indexes = [Index(x, stride) for x, stride in ((long, STRIDE), (short, 1)) if x]
+        self.indexes = [Index(x, stride, similarity) for x, stride in ((long, STRIDE), (short, 1)) if x]
 
     def hits(self, texts: pa.Array) -> list[dict[int, tuple[int, int, int]]]:
         """For each text: item id -> (distance, item's words, word where the passage ends)."""
@@ -142,6 +169,7 @@ class Detector:
             counts = -(-lengths // index.stride)
             owner = np.repeat(np.arange(len(texts)), counts)
             at = begin[owner] + (np.arange(counts.sum()) - (np.cumsum(counts) - counts)[owner]) * index.stride
+            at = index.possible(words, at)
             for k in range(0, len(at), 20_000):
                 for number, start in sorted(index.candidates(words, at[k : k + 20_000])):
                     d = int(np.searchsorted(begin, max(start, 0), "right")) - 1 if start >= 0 else 0
