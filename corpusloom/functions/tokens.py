@@ -61,6 +61,15 @@ def with_hole(ids: Column, at: Column, size: Column, hole: int) -> Column:
     return F.concat(F.slice(ids, 1, at), F.array(F.lit(hole)), F.slice(ids, at + size + 1, F.greatest(F.size(ids) - at - size, F.lit(0))))
 
 
+def all_holes(df: DataFrame, ids: str, hole: int) -> DataFrame:
+    """Every hole of every row: each start (0 first) with each size that fits, and ``ids`` with the hole in their place.
+
+    n ids give n (n + 1) / 2 rows; none of them is left out."""
+    starts = df.withColumn("start", F.explode(F.when(F.size(ids) > 0, F.sequence(F.lit(0), F.size(ids) - 1))))
+    holes = starts.withColumn("size", F.explode(F.sequence(F.lit(1), F.size(ids) - F.col("start"))))
+    return holes.withColumn(ids, with_hole(F.col(ids), F.col("start"), F.col("size"), hole))
+
+
 def depth(ids: Column, left: int, right: int) -> Column:
     return F.size(F.filter(ids, lambda x: x == left)) - F.size(F.filter(ids, lambda x: x == right))
 

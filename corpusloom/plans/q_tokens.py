@@ -72,6 +72,15 @@ def all_holes(spark, sf_dir):
     return h.select("doc_id", F.col("start").cast("long").alias("start"), F.col("size").cast("long").alias("size"), _joined(tk.with_hole(F.col("ids"), F.col("start"), F.col("size"), 9)).alias("ids"))
 
 
+@register("every_hole", f"""
+WITH i AS (SELECT doc_id, {_IDS} AS a FROM documents), s AS (SELECT doc_id, a, unnest(range(0, len(a))) AS start FROM i), h AS (SELECT doc_id, a, start, unnest(range(1, len(a) - start + 1)) AS size FROM s)
+SELECT doc_id, start, size, {_text("list_concat(a[1:start], [9], a[start + size + 1:])")} AS ids FROM h""")
+def every_hole(spark, sf_dir):
+    """Every start with every hole length, of every document."""
+    h = tk.all_holes(_ids(spark, sf_dir), "ids", 9)
+    return h.select("doc_id", F.col("start").cast("long").alias("start"), F.col("size").cast("long").alias("size"), _joined(F.col("ids")).alias("ids"))
+
+
 @register("feature_value_tokens", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 16 THEN l_quantity::BIGINT ELSE least(16 + floor((l_quantity - 16) / 8)::BIGINT, 19) END AS token FROM lineitem")
 def feature_value_tokens(spark, sf_dir):
     return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", tk.value_token(F.col("l_quantity").cast("long"), 16, 8, 19).alias("token"))
