@@ -41,6 +41,27 @@ def decoded(ids: Column, names: Column, skip: Column | None = None) -> Column:
     return F.array_join(F.transform(kept, lambda i: F.get(names, i)), "")
 
 
+def word_positions(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, token, first_char, word): each word of a text split at spaces, with its place and the character it starts at."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def placed(batches):
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):
+                batch = whole.slice(k, 500)
+                words = pc.split_pattern(batch.column(1), " ")
+                flat, n = words.flatten(), pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+                row, first = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+                length = pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+                start = np.cumsum(length) - length
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(np.arange(len(row)) - first[row]), pa.array(start - start[first[row]]), flat], names=[key, "token", "first_char", "word"])
+
+    rows = df.select(key, F.coalesce(text, F.lit("")).alias(text))
+    return rows.mapInArrow(placed, f"{key} {dict(df.dtypes)[key]}, token long, first_char long, word string")
+
+
 def value_token(value: Column, threshold: int, width: int, last: int) -> Column:
     """Values below the threshold stand for themselves, then ranges of a width, then one open range."""
     return F.when(value < threshold, value).otherwise(F.least(threshold + F.floor((value - threshold) / width), F.lit(last)))
@@ -50,6 +71,11 @@ def padded(ids: Column, length: int, pad: int) -> Column:
     return F.concat(F.slice(ids, 1, length), F.array_repeat(F.lit(pad), F.greatest(F.lit(length) - F.size(ids), F.lit(0))))
 
 
+def padded_whole(ids: Column, length: int, pad: int) -> Column:
+    """Padded to a length; longer ids stay whole."""
+    return F.concat(ids, F.array_repeat(F.lit(pad), F.greatest(F.lit(length) - F.size(ids), F.lit(0))))
+
+
 def wrapped(ids: Column, start: int, end: int) -> Column:
     """With start and end ids, where they aren't there."""
     a = F.when(F.get(ids, F.lit(0)) == start, ids).otherwise(F.concat(F.array(F.lit(start)), ids))
@@ -77,20 +103,45 @@ def depth(ids: Column, left: int, right: int) -> Column:
 _INTS = ArrayType(IntegerType())
 
 
+def _masked(row, seed: int):
+    import numpy as np
+
+    rng = np.random.default_rng(int(seed) & 0xFFFFFFFF)
+    n = max(1, int(0.15 * len(row))) if len(row) else 0
+    at = np.sort(rng.choice(len(row), n, replace=False)) if n else np.zeros(0, np.int64)
+    out, how = row.copy(), rng.random(n)
+    out[at[how < 0.8]] = 3
+    other = at[(how >= 0.8) & (how < 0.9)]
+    out[other] = rng.integers(6, 100, len(other))
+    return out, at, row[at]
+
+
 @F.pandas_udf(StructType().add("input", _INTS).add("positions", _INTS).add("labels", _INTS))
 def mask_tokens(ids, seeds):
     """15 % of the ids as positions to predict: of them 80 % masked, 10 % another id, 10 % left, by the row's seed."""
     import numpy as np
     import pandas as pd
 
-    rows = []
-    for row, seed in zip(ids, seeds, strict=True):
-        rng, row = np.random.default_rng(int(seed) & 0xFFFFFFFF), np.asarray(row, dtype=np.int64)
-        n = max(1, int(0.15 * len(row))) if len(row) else 0
-        at = np.sort(rng.choice(len(row), n, replace=False)) if n else np.zeros(0, np.int64)
-        out, how = row.copy(), rng.random(n)
-        out[at[how < 0.8]] = 3
-        other = at[(how >= 0.8) & (how < 0.9)]
-        out[other] = rng.integers(6, 100, len(other))
-        rows.append((out.tolist(), at.tolist(), row[at].tolist()))
-    return pd.DataFrame(rows, columns=["input", "positions", "labels"])
+    rows = [_masked(np.asarray(row, dtype=np.int64), seed) for row, seed in zip(ids, seeds, strict=True)]
+    return pd.DataFrame([tuple(x.tolist() for x in r) for r in rows], columns=["input", "positions", "labels"])
+
+
+def masked_texts(df: DataFrame, key: str, text: str, seed: Column) -> DataFrame:
+    """(key, input, positions, labels): ``mask_tokens`` of the code points of whole texts, a few texts at once."""
+    import numpy as np
+    import pyarrow as pa
+
+    def lists(parts):
+        ends = np.cumsum([0, *map(len, parts)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts).astype(np.int32)))
+
+    def masked(batches):
+        for whole in batches:
+            for k in range(0, whole.num_rows, 200):
+                batch = whole.slice(k, 200)
+                ids = [np.frombuffer(x.encode("utf-32-le"), "<i4") for x in batch.column(1).to_pylist()]
+                done = [_masked(row, s) for row, s in zip(ids, batch.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(lists, zip(*done, strict=True))], names=[key, "input", "positions", "labels"])
+
+    rows = df.select(key, F.coalesce(text, F.lit("")).alias(text), seed.alias("seed"))
+    return rows.mapInArrow(masked, f"{key} {dict(df.dtypes)[key]}, input array<int>, positions array<int>, labels array<int>")

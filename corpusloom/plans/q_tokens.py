@@ -44,6 +44,17 @@ def _ids(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", F.transform(F.filter(chars, lambda c: c != ""), lambda c: F.ascii(c)).alias("ids"))
 
 
+#: Length that whole texts are padded to (sequence length of the reference's models).
+SEQUENCE = 512
+_TEXT_IDS = "list_transform(regexp_extract_all(text, '(?s).'), lambda c: unicode(c)::INT)"
+
+
+def _text_ids(spark, sf_dir):
+    """Code points of whole texts."""
+    chars = F.filter(F.split(F.coalesce("text", F.lit("")), ""), lambda c: c != "")
+    return t(spark, sf_dir, "documents").select("doc_id", F.transform(chars, lambda c: F.ascii(c)).alias("ids"))
+
+
 def _text(array: str) -> str:
     return f"array_to_string({array}, ',')"
 
@@ -61,6 +72,36 @@ def wrap_and_pad(spark, sf_dir):
     return w.select("doc_id", _joined(tk.padded(F.col("a"), 12, 0)).alias("ids"), F.size("a").cast("long").alias("n"))
 
 
+@register("text_wrap_and_pad", f"""
+WITH i AS (SELECT doc_id, list_concat([-2], {_TEXT_IDS}, [-3]) AS a FROM documents)
+SELECT doc_id, {_text(f"list_concat(a, list_resize([]::INT[], greatest({SEQUENCE} - len(a), 0), 0))")} AS ids, len(a)::BIGINT AS n FROM i""")
+def text_wrap_and_pad(spark, sf_dir):
+    """Whole texts between start and end ids (no character's), padded where they are shorter than a sequence; nothing is cut."""
+    w = _text_ids(spark, sf_dir).select("doc_id", tk.wrapped(F.col("ids"), -2, -3).alias("a"))
+    return w.select("doc_id", _joined(tk.padded_whole(F.col("a"), SEQUENCE, 0)).alias("ids"), F.size("a").cast("long").alias("n"))
+
+
+@register("text_decoded_ids", "SELECT doc_id, text FROM documents")
+def text_decoded_ids(spark, sf_dir):
+    """Whole texts to ids and back over the corpus's alphabet; a pad id (-1, no character's) is left out."""
+    ids = _text_ids(spark, sf_dir)
+    alphabet = [r.i for r in ids.select(F.explode("ids").alias("i")).distinct().collect()]  # as many rows as the alphabet has letters
+    names = [None] * (max(alphabet, default=0) + 1)
+    for i in alphabet:
+        names[i] = chr(i)
+    table = spark.createDataFrame([(names,)], "names array<string>")
+    padded = ids.withColumn("ids", F.concat("ids", F.array(F.lit(-1)))).crossJoin(F.broadcast(table))
+    return padded.select("doc_id", tk.decoded(F.col("ids"), F.col("names"), F.array(F.lit(-1))).alias("text"))
+
+
+@register("text_token_positions", """
+WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS token FROM documents)
+SELECT doc_id, token, (sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY token) - length(word) - 1)::BIGINT AS first_char, word FROM w""")
+def text_token_positions(spark, sf_dir):
+    """Every word of whole texts, with its index and the character it starts at."""
+    return tk.word_positions(t(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @register("all_holes", f"""
 WITH i AS (SELECT doc_id, {_IDS} AS a FROM documents WHERE doc_id % 10 = 0), h AS (SELECT doc_id, a, s.s AS start, l.l AS size FROM i CROSS JOIN range(0, 12) s(s) CROSS JOIN range(1, 4) l(l) WHERE s.s + l.l <= len(a))
 SELECT doc_id, start, size, {_text("list_concat(a[1:start], [9], a[start + size + 1:])")} AS ids FROM h""")
@@ -110,6 +151,5 @@ def statement_windows(spark, sf_dir):
 
 @register("masked_instances")
 def masked_instances(spark, sf_dir):
-    """Seeded masking; every row's positions and labels."""
-    i = _ids(spark, sf_dir)
-    return i.select("doc_id", tk.mask_tokens("ids", F.xxhash64("doc_id")).alias("m")).select("doc_id", "m.input", "m.positions", "m.labels")
+    """Seeded masking of whole texts; every row's positions and labels."""
+    return tk.masked_texts(t(spark, sf_dir, "documents"), "doc_id", "text", F.xxhash64("doc_id"))

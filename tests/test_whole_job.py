@@ -16,3 +16,30 @@ def test_every_hole_against_brute_force(spark):
 def test_every_hole_takes_all_documents(spark, sf):
     got = catalog.queries()["every_hole"](spark, sf)
     assert got.select("doc_id").distinct().count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_masked_instances_are_whole_texts(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = catalog.queries()["masked_instances"](spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = list(r.input)
+        for at, label in zip(r.positions, r.labels, strict=True):
+            ids[at] = label
+        assert "".join(map(chr, ids)) == texts[r.doc_id]
+        assert len(r.positions) == (max(1, int(0.15 * len(ids))) if ids else 0)
+
+
+def test_whole_texts_are_wrapped_decoded_and_positioned(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    q = catalog.queries()
+    wrapped = {r.doc_id: r for r in q["text_wrap_and_pad"](spark, sf).collect()}
+    for i, text in texts.items():
+        want = [-2, *map(ord, text), -3]
+        assert wrapped[i].n == len(want)
+        assert [int(x) for x in wrapped[i].ids.split(",")] == want + [0] * (512 - len(want))
+    assert max(r.n for r in wrapped.values()) > 512
+    assert {r.doc_id: r.text for r in q["text_decoded_ids"](spark, sf).collect()} == texts
+    places = q["text_token_positions"](spark, sf).collect()
+    assert len(places) == sum(len(x.split(" ")) for x in texts.values())
+    assert all(texts[r.doc_id][r.first_char :].startswith(r.word) and texts[r.doc_id][: r.first_char].count(" ") == r.token for r in places)
