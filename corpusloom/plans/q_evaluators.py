@@ -90,6 +90,14 @@ def labelled_study_set(spark, sf_dir):
     return d.agg(F.min("doc_id").alias("doc_id"), F.when(F.min("lang") != F.max("lang"), "both").otherwise(F.min("lang")).alias("label"))
 
 
+@register("whole_study_set", """
+SELECT sha256(text) AS sha, min(doc_id) AS doc_id, CASE WHEN count(DISTINCT lang) > 1 THEN 'both' ELSE min(lang) END AS label FROM documents GROUP BY 1""")
+def whole_study_set(spark, sf_dir):
+    """Texts of every length for a study, each once, with the group it comes from."""
+    d = t(spark, sf_dir, "documents").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    return d.agg(F.min("doc_id").alias("doc_id"), F.when(F.min("lang") != F.max("lang"), "both").otherwise(F.min("lang")).alias("label"))
+
+
 @register("token_positions", """
 WITH w AS (SELECT doc_id, string_split(source || ' ' || lang, ' ') AS a FROM documents)
 SELECT doc_id, i - 1 AS token, CASE WHEN i = 1 THEN 0 ELSE length(a[1]) + 1 END AS first_char, a[i] AS word FROM w CROSS JOIN range(1, 3) r(i)""")

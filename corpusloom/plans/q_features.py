@@ -21,6 +21,12 @@ def targets_and_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Da
     return v.where(f"vec_id < {TARGETS}").select(F.col("vec_id").alias("target_id"), F.col("features").alias("target")), v.where(f"vec_id >= {TARGETS}")
 
 
+def twentieths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Targets (ids divisible by 20) that grow with the table, and the other rows as samples."""
+    v = vectors(spark, sf_dir)
+    return v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("target_id"), F.col("features").alias("target")), v.where("vec_id % 20 <> 0")
+
+
 _PAIRS = """
 WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS f FROM embeddings),
 pairs AS (
@@ -45,9 +51,9 @@ def top_k_per_target(spark, sf_dir):
     return ranking.top_k(ranking.target_distances(t, s, fx.feature_distance), ["target_id"], ["dist", "vec_id"], K).select("target_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("dist", 6).alias("dist"))
 
 
-def scores(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+def scores(spark: SparkSession, sf_dir: str, k: int, split=targets_and_samples) -> DataFrame:
     """Mean distance of the k nearest samples of each group to each target, as relative proximity."""
-    t, s = targets_and_samples(spark, sf_dir)
+    t, s = split(spark, sf_dir)
     near = ranking.top_k(ranking.target_distances(t, s, fx.feature_distance), ["label", "target_id"], ["dist", "vec_id"], k)
     mean = near.groupBy("label", "target_id").agg((F.sum("dist") / k).alias("average"), F.first(fx.norm(F.col("target"))).alias("norm"), F.count_if(F.col("dist") == 0).alias("exact"))
     largest = F.max("average").over(Window.partitionBy("target_id"))
@@ -73,6 +79,28 @@ def min_score(spark, sf_dir):
     return scores(spark, sf_dir, 1)
 
 
+_GROWING = lambda sql: sql.replace("t.vec_id < 10 AND s.vec_id >= 10", "t.vec_id % 20 = 0 AND s.vec_id % 20 <> 0")
+
+
+@register("growing_k_average_score", _GROWING(_score_sql(K)))
+def growing_k_average_score(spark, sf_dir):
+    """k_average_score with every twentieth vector as a target."""
+    return scores(spark, sf_dir, K, twentieths)
+
+
+@register("growing_min_score", _GROWING(_score_sql(1)))
+def growing_min_score(spark, sf_dir):
+    """min_score with every twentieth vector as a target."""
+    return scores(spark, sf_dir, 1, twentieths)
+
+
+@register("growing_top_k_per_target", _GROWING(_PAIRS) + "SELECT target_id, vec_id, rank, round(dist, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY dist, vec_id) AS rank FROM pairs) WHERE rank <= 5")
+def growing_top_k_per_target(spark, sf_dir):
+    """top_k_per_target with every twentieth vector as a target."""
+    t, s = twentieths(spark, sf_dir)
+    return ranking.top_k(ranking.target_distances(t, s, fx.feature_distance), ["target_id"], ["dist", "vec_id"], K).select("target_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("dist", 6).alias("dist"))
+
+
 @register("far_targets", _PAIRS + "SELECT target_id, round(min(dist), 6) AS nearest FROM pairs GROUP BY target_id HAVING min(dist) > 0")
 def far_targets(spark, sf_dir):
     """Targets that no sample meets exactly, with the distance of their nearest sample."""

@@ -142,6 +142,15 @@ def parameter_grid(spark, sf_dir):
     return rows.select("p_partkey", "gsize", F.explode(sizes).alias("lsize")).where("lsize <= gsize")
 
 
+@register("whole_parameter_grid", """
+SELECT p_partkey, g AS gsize, l AS lsize FROM part CROSS JOIN (SELECT (2 ** i)::BIGINT AS g FROM range(1, 11) r(i)) CROSS JOIN (SELECT (2 ** i)::BIGINT AS l FROM range(1, 11) r(i)) WHERE l <= g""")
+def whole_parameter_grid(spark, sf_dir):
+    """The grid of sizes for every part."""
+    sizes = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.pow(F.lit(2), i).cast("long"))
+    rows = t(spark, sf_dir, "part").select("p_partkey", F.explode(sizes).alias("gsize"))
+    return rows.select("p_partkey", "gsize", F.explode(sizes).alias("lsize")).where("lsize <= gsize")
+
+
 @register("lookup_in_order", "SELECT pos::BIGINT AS pos, doc_id, n_chars FROM (SELECT unnest([7, 3, 99, 5, 3]::BIGINT[]) AS doc_id, unnest([0, 1, 2, 3, 4]) AS pos) JOIN documents USING (doc_id)")
 def lookup_in_order(spark, sf_dir):
     """Rows of a list of ids, with each id's place in the list."""

@@ -43,3 +43,13 @@ def test_whole_texts_are_wrapped_decoded_and_positioned(spark, sf):
     places = q["text_token_positions"](spark, sf).collect()
     assert len(places) == sum(len(x.split(" ")) for x in texts.values())
     assert all(texts[r.doc_id][r.first_char :].startswith(r.word) and texts[r.doc_id][: r.first_char].count(" ") == r.token for r in places)
+
+
+def test_grids_study_sets_and_searches_take_all_rows(spark, sf):
+    q, table = catalog.queries(), lambda n: spark.read.parquet(f"{sf}/{n}.parquet")
+    assert q["whole_parameter_grid"](spark, sf).count() == 55 * table("part").count()
+    assert q["whole_study_set"](spark, sf).count() == table("documents").select("text").distinct().count()
+    targets = table("embeddings").where("vec_id % 20 = 0").count()
+    assert targets > 1
+    for name in ("growing_k_average_score", "growing_min_score", "growing_top_k_per_target"):
+        assert q[name](spark, sf).select("target_id").distinct().count() == targets
