@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.sources.shared import saver
+
 #: Targets that are sent to every task at most; more are joined without a broadcast.
 MAX_BROADCAST_TARGETS = 10_000
 
@@ -45,24 +47,19 @@ def numbered_rows(df: DataFrame, order: list, column: str = "row_num") -> DataFr
 def greedy_one_to_one(pairs: DataFrame, left: str = "a", right: str = "b", dist: str = "dist") -> DataFrame:
     """Each left row in id order takes its nearest right row that is still free.
 
-    The rule is sequential by definition; candidates are cut to what any row can need (its rank-th
-    nearest at most) before one group decides."""
-    w = Window.orderBy(left)
-    order = pairs.select(left).distinct().withColumn("_turn", F.row_number().over(w))
-    needed = pairs.join(order, left).withColumn("_rank", F.row_number().over(Window.partitionBy(left).orderBy(dist, right))).where(F.col("_rank") <= F.col("_turn"))
-
-    def match(group):
-        taken, rows = set(), []
-        for _, own in group.sort_values(["_turn", "_rank"]).groupby("_turn", sort=True):
-            for r in own.itertuples(index=False):
-                b = getattr(r, right)
-                if b not in taken:
-                    taken.add(b)
-                    rows.append((getattr(r, left), b, getattr(r, dist)))
-                    break
-        import pandas as pd
-
-        return pd.DataFrame(rows, columns=[left, right, dist])
-
-    kinds = dict(pairs.dtypes)
-    return needed.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(match, f"{left} {kinds[left]}, {right} {kinds[right]}, {dist} double")
+    In rounds of Spark jobs: each left row that holds none proposes its nearest right row that hasn't refused it,
+    and a right row keeps the least left row that proposed and refuses the others, displacing a later one it held.
+    Both sides' orders are strict, so the end is the one stable matching, which is what the sequential rule gives.
+    Pairs are written once, a round writes a row for each left row; no task sees all rows."""
+    spark = pairs.sparkSession
+    rows = pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull()).groupBy(left, right).agg(F.min(dist).cast("double").alias(dist))
+    all_pairs = saver(spark, "pairs")(rows)
+    open_ = all_pairs
+    while True:
+        nearest = open_.groupBy(left).agg(F.min(F.struct(dist, right)).alias("_m"))
+        wanted = saver(spark, "proposals")(nearest.select(left, F.col(f"_m.{right}").alias(right), F.col(f"_m.{dist}").alias(dist)))
+        kept = wanted.groupBy(right).agg(F.min(left).alias("_kept"), F.count("*").alias("_n"))
+        if kept.where("_n > 1").isEmpty():
+            return wanted
+        # who holds a right row proposes to it again, so the last round's proposals tell all that is refused
+        open_ = all_pairs.join(kept, right, "left").where(F.col("_kept").isNull() | (F.col(left) <= F.col("_kept"))).select(left, right, dist)

@@ -75,6 +75,14 @@ def upsert_lists(spark, sf_dir):
     return dedup.upsert_lists(*lists, "source", ["ids"]).select("source", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
+@register("upsert_list_rows", "SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, doc_id FROM documents")
+def upsert_list_rows(spark, sf_dir):
+    """upsert_lists as rows: the ids of each source, old before new, numbered by range partitions."""
+    d = ranking.numbered_rows(t(spark, sf_dir, "documents").select("source", "doc_id"), [F.col("source"), F.col("doc_id")])
+    first = d.groupBy("source").agg(F.min("row_num").alias("first"))
+    return d.join(first, "source").select("source", (F.col("row_num") - F.col("first")).cast("long").alias("place"), "doc_id")
+
+
 @register("equal_chunks", "SELECT doc_id, least(floor((row_number() OVER (ORDER BY doc_id) - 1) / (count(*) OVER () // 7))::BIGINT, 6) AS chunk FROM documents")
 def equal_chunks(spark, sf_dir):
     """Seven equal parts; the rest goes to the last."""

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 from corpusloom.functions import tokens as tk
+from corpusloom.operators import ranking
 from corpusloom.plans import catalog
 
 
@@ -53,3 +56,17 @@ def test_grids_study_sets_and_searches_take_all_rows(spark, sf):
     assert targets > 1
     for name in ("growing_k_average_score", "growing_min_score", "growing_top_k_per_target"):
         assert q[name](spark, sf).select("target_id").distinct().count() == targets
+
+
+def test_greedy_one_to_one_in_rounds(spark):
+    rng = random.Random(3)
+    rows = [(a, b, float(rng.randrange(6))) for a in range(25) for b in range(20) if rng.random() < 0.7]
+    got = ranking.greedy_one_to_one(spark.createDataFrame(rows, "a long, b long, dist double"))
+    taken, want = set(), []
+    for a in range(25):
+        free = [(d, b) for x, b, d in rows if x == a and b not in taken]
+        if free:
+            taken.add(min(free)[1])
+            want.append((a, min(free)[1], min(free)[0]))
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
