@@ -51,6 +51,17 @@ def vector_dedup(spark, sf_dir):
     return v.groupBy("a", "b").agg(F.min("label").alias("label"), names.alias("names"))
 
 
+@register("whole_vector_dedup", """
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: round(x::DOUBLE, 1) + 0.0::DOUBLE) AS f FROM embeddings)
+SELECT vec_id, min(vec_id) OVER (PARTITION BY f) AS first_id, min(label) OVER (PARTITION BY f) AS label FROM v""")
+def whole_vector_dedup(spark, sf_dir):
+    """Vectors equal in all components (to 0.1): each with the first of them and its least label, a row for each name."""
+    f = F.transform("embedding", lambda x: F.round(x.cast("double"), 1) + 0.0)
+    v = t(spark, sf_dir, "embeddings").select("vec_id", "label", f.alias("f"))
+    least = v.groupBy("f").agg(F.min("vec_id").alias("first_id"), F.min("label").alias("label"))
+    return v.select("vec_id", "f").join(least, "f").select("vec_id", "first_id", "label")
+
+
 @register("unique_pairs_first_group", "SELECT l_quantity, l_tax, arg_min(l_returnflag, (l_returnflag, l_orderkey, l_linenumber)) AS grp FROM lineitem GROUP BY 1, 2")
 def unique_pairs_first_group(spark, sf_dir):
     """Each pair of values once over all groups; the first group has it."""

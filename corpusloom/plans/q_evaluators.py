@@ -64,6 +64,18 @@ def group_coverage(spark, sf_dir):
     return n.crossJoin(F.broadcast(total)).select("label", "cells", F.round(F.col("cells") / F.col("total"), 6).alias("coverage"))
 
 
+@register("whole_group_coverage", """
+WITH v AS (SELECT DISTINCT label, list_transform(embedding, lambda x: round(x::DOUBLE, 1) + 0.0::DOUBLE) AS f FROM embeddings)
+SELECT label, count(*) AS cells, round(count(*) / (SELECT count(*) FROM (SELECT DISTINCT f FROM v)), 6) AS coverage FROM v GROUP BY label""")
+def whole_group_coverage(spark, sf_dir):
+    """group_coverage with cells of all components."""
+    f = F.transform("features", lambda x: F.round(x, 1) + 0.0)
+    v = vectors(spark, sf_dir).select("label", f.alias("f")).distinct()
+    total = v.select("f").distinct().agg(F.count("*").alias("total"))
+    n = v.groupBy("label").agg(F.count("*").alias("cells"))
+    return n.crossJoin(F.broadcast(total)).select("label", "cells", F.round(F.col("cells") / F.col("total"), 6).alias("coverage"))
+
+
 @register("study_by_attempts", """
 WITH u AS (SELECT user_id, count(*) AS attempts, avg((coalesce(value, 0) > 20)::INT) AS acc FROM events GROUP BY 1)
 SELECT s.m AS min_attempts, count(*) AS users, round(avg(acc), 6) AS accuracy, round(coalesce(stddev_pop(acc), 0), 6) AS spread FROM u JOIN (VALUES (1), (50), (100), (150)) s(m) ON attempts >= s.m GROUP BY 1""")

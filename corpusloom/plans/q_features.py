@@ -125,6 +125,35 @@ def z_scored_features(spark, sf_dir):
     return fx.standardized(e, "x", ["label"]).select("vec_id", F.round("x", 6).alias("z"))
 
 
+_COMPONENTS = "e AS (SELECT vec_id, label, unnest(range(0, len(embedding))) AS k, unnest(list_transform(embedding, lambda x: x::DOUBLE)) AS x FROM embeddings)"
+
+
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).select("vec_id", "label", F.posexplode("features").alias("k", "x")).withColumn("k", F.col("k").cast("long"))
+
+
+@register("whole_max_normalized", f"""
+WITH {_COMPONENTS}, m AS (SELECT *, abs(x) AS val, max(abs(x)) OVER (PARTITION BY k) AS m FROM e)
+SELECT label, k, round(avg(CASE WHEN m = 0 THEN 1.0 ELSE val / m END), 6) AS mean_share FROM m GROUP BY label, k""")
+def whole_max_normalized(spark, sf_dir):
+    """feature_max_normalized over all components."""
+    e = components(spark, sf_dir).select("label", "k", F.abs("x").alias("val"))
+    m = e.groupBy("k").agg(F.max("val").alias("m"))
+    share = F.when(F.col("m") == 0, 1.0).otherwise(F.col("val") / F.when(F.col("m") != 0, F.col("m")))
+    return e.join(F.broadcast(m), "k").groupBy("label", "k").agg(F.round(F.avg(share), 6).alias("mean_share"))
+
+
+@register("whole_z_scores", f"""
+WITH {_COMPONENTS}
+SELECT vec_id, k, round(CASE WHEN s > 0 THEN (x - m) / s ELSE 0 END, 6) AS z FROM (SELECT vec_id, k, x, avg(x) OVER (PARTITION BY label, k) AS m, stddev_pop(x) OVER (PARTITION BY label, k) AS s FROM e)""")
+def whole_z_scores(spark, sf_dir):
+    """z_scored_features over all components."""
+    e = components(spark, sf_dir)
+    m = e.groupBy("label", "k").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    z = F.when(F.col("s") > 0, (F.col("x") - F.col("m")) / F.when(F.col("s") > 0, F.col("s"))).otherwise(0.0)
+    return e.join(m, ["label", "k"]).select("vec_id", "k", F.round(z, 6).alias("z"))
+
+
 @register("target_grid", """
 SELECT i AS step, floor(i * 1000 / 100)::BIGINT AS comp, floor(i * 300 / 100)::BIGINT AS mem, round(floor(i * 1000 / 100) / greatest(1, floor(i * 300 / 100)), 6) AS comp_per_mem FROM range(1, 101) r(i)""")
 def target_grid(spark, sf_dir):

@@ -70,3 +70,13 @@ def test_greedy_one_to_one_in_rounds(spark):
             want.append((a, min(free)[1], min(free)[0]))
     assert sorted(tuple(r) for r in got.collect()) == want
     assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+
+
+def test_vectors_are_compared_and_scaled_whole(spark, sf):
+    q, v = catalog.queries(), spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows, dim = v.count(), len(v.first().embedding)
+    got = q["whole_vector_dedup"](spark, sf).collect()
+    key = {r.vec_id: tuple(round(float(x), 1) + 0.0 for x in r.embedding) for r in v.collect()}
+    assert len(got) == rows and len({r.first_id for r in got}) == len(set(key.values()))
+    assert q["whole_z_scores"](spark, sf).count() == rows * dim
+    assert q["whole_max_normalized"](spark, sf).select("k").distinct().count() == dim
