@@ -194,21 +194,26 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, ba
     ``similarity`` or more on ``words``-word shingles, directly or over others, share the least id as class.
 
     Equal texts share a class, empty and null ones too. A text of fewer words is one shingle. An id
-    with several texts takes the least of their classes. Rows with a null id are left out. A pair of
+    with several texts links their classes, so all of them are one. Rows with a null id are left out. A pair of
     similarity 0.8 shares a band with probability 0.9999. Other columns are not read. An empty table
     gives an empty table."""
     near = similarity - 1e-9
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = common.written(_banded(docs, bands, rows, words), "signatures")
     equal = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
-    copies = common.written(signed.select("doc_id", "h1", "h2").join(equal.where("n > 1"), ["h1", "h2"]).select("doc_id", "node").distinct(), "copies")
-    nodes = signed.join(copies.where("doc_id <> node").select("doc_id"), "doc_id", "left_anti")
+    found = common.written(signed.select("doc_id", "h1", "h2").join(equal.where("n > 1"), ["h1", "h2"]).select("doc_id", "h1", "h2", "node").distinct(), "copies")
+    copies, moved = found.select("doc_id", "node").distinct(), found.where("doc_id <> node")
+    nodes = signed.join(moved.select("doc_id", "h1", "h2"), ["doc_id", "h1", "h2"], "left_anti")
+    # texts of one id that stand for it in several nodes: other ids' that it copies, and its own
+    own = nodes.select("doc_id").join(moved.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.col("doc_id").alias("node"))
+    several = moved.select("doc_id", "node").union(own).groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b <> most").drop("most")
+    united = moved.select("doc_id", "node").union(own).join(several, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
     bucketed = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket")).distinct()
     pairs = common.written(_with_centres(bucketed).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
 
     members = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = common.written(docs.join(members.hint("merge"), docs["doc_id"] == members["node"], "left_semi").select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text")), "texts")
-    links = common.written(_compared(pairs, texts, words, near).select("a", "b").distinct(), "edges")
+    links = common.written(_compared(pairs, texts, words, near).select("a", "b").union(united).distinct(), "edges")
     named = components(links)
     placed = pairs.select(F.col("a").alias("node"), F.col("b").alias("centre")).join(named, "node", "left").select("centre", "node", F.coalesce("component", "node").alias("component"))
     more = components(_linked_in_chunks(placed.join(texts.hint("merge"), "node"), words, near))
