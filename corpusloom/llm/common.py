@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -73,3 +74,21 @@ class Kept:
         known = fresh.intersection(self.old)
         self.now.update({k: self.old[k] for k in known})
         return fresh - known
+
+    def fetch(self, keys: list, learn: Callable[[list], list]) -> list:
+        """The value of each key; ``learn`` gives those of keys that aren't held. A generation ends between calls."""
+        if len(self.now) > self.most:
+            self.old, self.now = self.now, {}
+        now, old = self.now, self.old
+        found = [*map(now.get, keys)]
+        fresh = []
+        for k in [k for k, v in enumerate(found) if v is None]:
+            held = old.get(keys[k])
+            if held is None:
+                fresh.append(k)
+            else:
+                now[keys[k]] = found[k] = held
+        if fresh:
+            for k, value in zip(fresh, learn([keys[k] for k in fresh]), strict=True):
+                now[keys[k]] = found[k] = value
+        return found

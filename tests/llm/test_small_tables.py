@@ -102,18 +102,83 @@ def test_token_files(spark, docs, empty, tmp_path):
     assert token_files.read_shards(spark, f"file://{tmp_path}/b").count() == 0
 
 
-def test_repair_grammar_is_exact_and_random_access():
-    rng = np.random.default_rng(0)
+def pairs_left(symbols, ends):
+    """How often each pair stands: from left to right, no place used twice."""
+    seen, taken = Counter(), {}
+    for k in range(len(symbols) - 1):
+        pair = (int(symbols[k]), int(symbols[k + 1]))
+        if not ends[k] and taken.get(pair) != k:
+            seen[pair] += 1
+            taken[pair] = k + 1
+    return seen
+
+
+def random_shard(rng, kind):
     sizes = rng.integers(1, 300, 200)
     tokens = np.minimum(rng.geometric(0.15, sizes.sum()), 40).astype("<u4")
+    if kind == "runs":
+        tokens = np.repeat(tokens, rng.integers(1, 60, len(tokens)))[: len(tokens)]
+    if kind == "copies":
+        tokens = np.tile(tokens[:700], 1 + len(tokens) // 700)[: len(tokens)]
     last = np.zeros(len(tokens), bool)
     last[np.cumsum(sizes) - 1] = True
+    return tokens, last, sizes
+
+
+@pytest.mark.parametrize("kind", ["plain", "runs", "copies"])
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_repair_grammar_is_exact_complete_and_random_access(kind, seed):
+    tokens, last, sizes = random_shard(np.random.default_rng(seed), kind)
     symbols, ends, rules, lengths = token_files.compress(tokens, last, 50)
-    assert len(symbols) < 0.8 * len(tokens) and ends.sum() == len(sizes)
-    assert (token_files.expand(symbols, rules, 50) == tokens).all()
+    assert len(symbols) < 0.8 * len(tokens) and ends.sum() == len(sizes) and (rules < 50 + len(rules)).all()
+    assert (token_files.expand(symbols, rules, lengths, 50) == tokens).all()
+    assert max(pairs_left(symbols, ends).values(), default=0) < token_files.MIN_COUNT
     for k, n in enumerate(lengths):
-        assert len(token_files.expand(np.array([50 + k]), rules, 50)) == n
+        assert len(token_files.expand(np.array([50 + k]), rules, lengths, 50)) == n
     assert (token_files.expand_range(symbols, rules, lengths, 50, 1234, 1300) == tokens[1234:1300]).all()
+    if kind == "copies":
+        assert lengths.max() > 100  # documents have 300 ids at most; no bound on the rounds
+
+
+def test_repair_of_tiny_shards():
+    for ids in ([], [7], [7, 7], [7] * 9, [1, 2] * 4):
+        last = np.zeros(len(ids), bool)
+        last[-1:] = True
+        symbols, ends, rules, lengths = token_files.compress(np.array(ids, "<u4"), last, 50)
+        assert token_files.expand(symbols, rules, lengths, 50).tolist() == ids and ends.sum() == last.sum()
+
+
+def test_documents_and_ranges_from_the_files(spark, docs, tmp_path):
+    token_files.write_shards(docs, f"file://{tmp_path}/a", shard_ids=500)
+    whole = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4") for r in token_files.read_shards(spark, f"file://{tmp_path}/a").collect()}
+    asked = [(i, b, e) for i in (5, 3, 7, 13) for b, e in ((0, 10**9), (1, 4), (2, 2), (25_000, 25_010))]
+    wanted = spark.createDataFrame([*asked, asked[0], (None, 0, 5), (99, 0, 5), (5, None, 2)], "doc_id long, begin long, end long")
+    got = token_files.read_documents(spark, f"file://{tmp_path}/a", wanted).collect()
+    assert len(got) == len(asked) + 4  # id 3 stands twice
+    for r in got:
+        assert np.frombuffer(bytes(r.ids), "<u4").tolist() == whole[r.doc_id][r.begin : r.end].tolist()
+
+
+def test_a_range_needs_no_other_symbols():
+    tokens, last, sizes = random_shard(np.random.default_rng(3), "plain")
+    symbols, ends, rules, lengths = token_files.compress(tokens, last, 50)
+    first = np.concatenate(([0], np.flatnonzero(ends)[:-1] + 1))
+    k = 20
+    only = symbols[first[k] : first[k + 1]]
+    begin = int(sizes[:k].sum())
+    assert (token_files.expand_range(only, rules, lengths, 50, 3, int(sizes[k])) == tokens[begin + 3 : begin + sizes[k]]).all()
+
+
+def test_encoder_with_a_small_cache_equals_the_library():
+    import pyarrow as pa
+
+    own = token_files.Encoder(token_files.model_path(), most=40)
+    rng = random.Random(9)
+    parts = [" ", "\n", "ab", "'S", "12", "é", "É", "日", "<|endoftext|>", "\x00", "\x7f", "…", "İ", "ß", "\u00ad", "Word", "...", "\x0b", "x'll"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
+    for k in range(0, 1500, 100):
+        got = own.encode(pa.array(["skipped", *texts[k : k + 100]]).slice(1))
+        assert [np.frombuffer(b, "<u4").tolist() for b in got] == [own.model.encode(t, add_special_tokens=False).ids for t in texts[k : k + 100]]
 
 
 def test_toxicity(spark, sf, docs, empty):
