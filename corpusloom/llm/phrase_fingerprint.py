@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import bisect
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 from corpusloom.llm import common
 
 #: Hashes in a fingerprint; characters of text in a block of neighbouring documents, on average.
-SIZE, BLOCK_CHARS = 128, 16_000_000
+SIZE, BLOCK_CHARS = 128, 128_000_000
 _FACTOR = 0x9E3779B97F4A7C15 | 1
-_POWERS = {1: np.ones(1, np.uint64)}
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def parse(text: str, phrases: dict[str, None], rest: str = "") -> str:
@@ -36,17 +37,15 @@ def parse(text: str, phrases: dict[str, None], rest: str = "") -> str:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash's factor and of its inverse modulo 2**64."""
-    if n not in _POWERS:
-        size = max(4096, 1 << (n - 1).bit_length())
-        if size not in _POWERS:
-            inverse = pow(_FACTOR, -1, 1 << 64)
-            up, down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, f, np.uint64)))) for f in (_FACTOR, inverse))
-            if len(_POWERS) > 8:
-                _POWERS.clear()
-            _POWERS[size] = (up, down)
-        n = size
-    return _POWERS[n]
+    """Powers of the hash's factor and of its inverse modulo 2**64, ``n`` at least."""
+    size = max(4096, 1 << (n - 1).bit_length())
+    if size not in _POWERS:
+        inverse = pow(_FACTOR, -1, 1 << 64)
+        up, down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, f, np.uint64)))) for f in (_FACTOR, inverse))
+        if len(_POWERS) > 8:
+            _POWERS.clear()
+        _POWERS[size] = (up, down)
+    return _POWERS[size]
 
 
 def fingerprint(text: str, phrases: dict[str, None]) -> np.ndarray:
@@ -104,75 +103,91 @@ def _both(text: str, following: str) -> tuple[np.ndarray, np.ndarray, str]:
     return fingerprint(text, own), fingerprint(edited, other), edited
 
 
+def _cuts(rows: DataFrame, block_chars: int) -> tuple[int, list[tuple[bool, int, int]]]:
+    """Blocks, and the place (is null, ~id, hash) where each but the first begins, in descending id order.
+
+    An id that fills several blocks, and the null ids, are cut by a hash of the texts. There are as
+    many cuts as blocks, each of which is a partition."""
+    chars, total, known = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count("*"), F.count("doc_id")).first()
+    n = max(1, min(total, max(common.shuffle_partitions(rows.sparkSession), -(-int(chars) // block_chars))))
+    of_nulls = -(-n * (total - known) // max(1, total))
+    steps = [i / (n - of_nulls) for i in range(1, n - of_nulls)]
+    found = (rows.select(F.percentile_approx("doc_id", steps, 10 * n)).first()[0] or []) if steps else []
+    parts = lambda m: [-(1 << 63) + j * ((1 << 64) // m) for j in range(m)]
+    cuts = [(False, ~i, h) for i, m in Counter(found).items() for h in parts(m)]
+    return n, sorted(cuts) + [(True, 0, h) for h in (parts(of_nulls) if of_nulls else [])]
+
+
 def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next, edited (the text).
 
     The next document has the next smaller id; after the smallest comes the largest. A null text is
-    empty, its fingerprint is "" and its likeness to another empty one 1. Rows with one id follow in
-    the order of their texts, null ids come last. Other columns are not read. A single row is its own
-    next one. An empty table gives an empty table.
-
-    Blocks of neighbouring ids are parsed together; the first document of each block is sent to the
-    block before it as well, so only one text per block moves twice."""
+    empty, its fingerprint is "" and its likeness to another empty one 1. Null ids come last. Rows with
+    one id follow in the order of a hash of their texts where they fill more than one block, else of
+    their texts. Other columns are not read. A single row is its own next one. An empty table gives an
+    empty table.
+
+    A block of neighbouring ids is one sorted partition, read as a stream that holds two texts; the
+    first document of each block is sent to the block before it as well."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = max(common.shuffle_partitions(docs.sparkSession), -(-common.text_chars(rows) // block_chars))
-    steps = [i / n for i in range(1, n)]
-    found = rows.select(F.percentile_approx("doc_id", steps, 10 * n).alias("c")).first()[0] if steps else []
-    cuts = sorted({c for c in found or ()})
+    n, cuts = _cuts(rows, block_chars)
+    split = len({c[:2] for c in cuts}) < len(cuts)
+    keyed = rows.select(F.isnull("doc_id").alias("no_id"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).alias("back"), (F.xxhash64("text") if split else F.lit(0).cast("long")).alias("h"), "doc_id", "text")
+    sent = spark.sparkContext.broadcast(cuts)
 
-    def block_of(i: int | None) -> int:
-        return len(cuts) + 1 if i is None else len(cuts) - bisect.bisect_left(cuts, i)
+    def places(batch: pa.RecordBatch) -> list[tuple[bool, int, int]]:
+        return [*zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)]
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([block_of(i) for i in batch.column(0).to_pylist()], pa.int32())], names=["doc_id", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array([bisect.bisect_right(sent.value, p) for p in places(batch)], pa.int32()), *batch.columns], names=["block", "no_id", "back", "h"])
 
-    heads = {r.block: r.head for r in rows.select("doc_id").mapInArrow(blocks, "doc_id long, block int").groupBy("block").agg(F.max("doc_id").alias("head")).collect()}
-    order = sorted(heads)
-    before = {b: order[k - 1] for k, b in enumerate(order)}
-    #: ids that stand first in their block (null in a block of nulls), with the block that ends before them
-    first_of = {(b, heads[b]): before[b] for b in order}
+    least = keyed.select("no_id", "back", "h").mapInArrow(blocks, "block int, no_id boolean, back long, h long").groupBy("block").agg(F.min(F.struct("no_id", "back", "h")).alias("head"))
+    heads = sorted((r.block, tuple(r.head)) for r in least.collect())
+    #: where a block begins: the block that ends before it
+    first_of = spark.sparkContext.broadcast({head: heads[k - 1][0] for k, (_, head) in enumerate(heads)})
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            own = [block_of(i) for i in ids]
-            again = [k for k, (i, b) in enumerate(zip(ids, own, strict=True)) if (b, i) in first_of]
-            at = pa.array([*range(len(ids)), *again])
-            to = own + [first_of[own[k], ids[k]] for k in again]
-            extra = [False] * len(ids) + [True] * len(again)
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(extra), batch.column(0).take(at), batch.column(1).take(at)], names=["block", "follows", "doc_id", "text"])
-
-    def compared(group: pa.Table) -> pa.Table:
-        ids, texts, follows = group["doc_id"].to_pylist(), group["text"].to_pylist(), group["follows"].to_pylist()
-        place = lambda k: (follows[k], ids[k] is None, -(ids[k] or 0), texts[k])
-        at = sorted(range(len(ids)), key=place)
-        own = [k for k in at if not follows[k]]
-        at = at[: len(own) + 1]  # of rows that follow, the first
-        held: dict[int, np.ndarray] = {}
-        out: list[tuple] = []
-        for p in reversed(range(len(own))):
-            k, after = at[p], at[(p + 1) % len(at)]
-            if after not in held and after != k:
-                phrases: dict[str, None] = {}
-                parse(texts[after], phrases)
-                held[after] = fingerprint(texts[after], phrases)
-            mine, other, edited = _both(texts[k], texts[after])
-            held[k] = mine
-            following = held[after]
-            del held[after]
-            held[k] = mine
-            out.append((ids[k], len(texts[k]), hashlib.sha256(edited.encode()).hexdigest(), encoded(mine), encoded(other), likeness(mine, other), likeness(mine, following), edited))
-        columns = list(zip(*out, strict=True)) or [()] * 8
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=NAMES)
-
-    return rows.mapInArrow(dealt, "block int, follows boolean, doc_id long, text string").groupBy("block").applyInArrow(compared, SCHEMA)
+            at = places(batch)
+            again = [k for k, p in enumerate(at) if p in first_of.value]
+            to = [bisect.bisect_right(sent.value, p) for p in at] + [first_of.value[at[k]] for k in again]
+            every = pa.array([*range(len(at)), *again])
+            extra = [False] * len(at) + [True] * len(again)
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(extra), *(c.take(every) for c in batch.columns)], names=["block", "follows", *batch.schema.names])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waits: tuple | None = None  # the row before, which needs the text of the next
+        open_: tuple | None = None  # the row before that, which needs the fingerprint of the next
+        ended = None  # the block whose end has been seen
+        for batch in batches:
+            out: list[tuple] = []
+            for block, follows, i, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if follows and block == ended:
+                    continue
+                if waits is not None:
+                    mine, other, edited = _both(waits[1], text)
+                    if open_ is not None:
+                        out.append((*open_[:-1], likeness(open_[-1], mine)))
+                    open_ = (edited, waits[0], len(waits[1]), hashlib.sha256(edited.encode()).hexdigest(), encoded(mine), encoded(other), likeness(mine, other), mine)
+                waits = (i, text)
+                if follows:
+                    phrases: dict[str, None] = {}
+                    parse(text, phrases)
+                    out.append((*open_[:-1], likeness(open_[-1], fingerprint(text, phrases))))
+                    waits, open_, ended = None, None, block
+            edited, *columns = list(zip(*out, strict=True)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((*columns, edited), TYPES, strict=True)], names=NAMES)
+
+    moved = keyed.mapInArrow(dealt, "block int, follows boolean, no_id boolean, back long, h long, doc_id long, text string").repartitionById(n, "block")
+    return moved.sortWithinPartitions("block", "follows", "no_id", "back", "h", "text").select("block", "follows", "doc_id", "text").mapInArrow(compared, SCHEMA)
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited string"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()]
 
 
 def op5_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

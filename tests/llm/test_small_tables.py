@@ -229,6 +229,32 @@ def test_phrase_fingerprint(docs, empty, spark):
     assert one.near_next == 1.0
 
 
+@pytest.mark.parametrize("rows", [
+    [(k, t) for k, t in enumerate(["", "a", "aa", "ab", "aaa", "aab", "abc", "é", "日本", "日日日", None, "a", "b"])],
+    [(1, "a")], [(1, "aaa"), (0, "b")], [(0, None), (1, None)],
+    [(None, f"text number {k % 50} of {k % 7}") for k in range(300)] + [(k, "own " * k) for k in range(20)],
+    [(5, f"text number {k} of {k % 7}") for k in range(300)] + [(k, f"own {k}") for k in range(20)] + [(5, "twice")] * 40,
+])
+def test_phrase_fingerprint_of_short_texts_and_hot_ids(spark, rows):
+    got = phrase_fingerprint.fingerprint_neighbours(spark.createDataFrame(rows, "doc_id long, text string"), block_chars=600).collect()
+
+    def prints(text):
+        phrases = {}
+        phrase_fingerprint.parse(text, phrases)
+        return phrase_fingerprint.fingerprint(text, phrases)
+
+    own = Counter((i, len(t or ""), phrase_fingerprint.encoded(prints(t or ""))) for i, t in rows)
+    assert Counter((r.doc_id, r.n_chars, r.fingerprint) for r in got) == own
+    assert all(r.edited_sha256 == hashlib.sha256(r.edited.encode()).hexdigest() and r.edited_fingerprint == phrase_fingerprint.encoded(prints(r.edited)) for r in got)
+    once = [i for i, n in Counter(i for i, _ in rows).items() if n == 1 and i is not None]
+    texts = dict(rows)
+    for r in got:  # rows whose next one is certain
+        if r.doc_id in once and r.doc_id - 1 in once:
+            text, after = texts[r.doc_id] or "", texts[r.doc_id - 1] or ""
+            assert r.edited == phrase_fingerprint.edited_text(text, after)
+            assert math.isclose(r.near_next, phrase_fingerprint.likeness(prints(text), prints(after)))
+
+
 def test_likeness_estimates_shared_phrases():
     rng = random.Random(5)
     text = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
@@ -340,6 +366,29 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.benchmark_hits(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("length", [6, 12, 20, 40, 80, 120])
+def test_recall_by_edit_share_and_length(length):
+    import pyarrow as pa
+
+    rng = random.Random(length)
+    words = [f"w{k}" for k in range(3000)]
+
+    def edited(item, edits):
+        out = list(item)
+        for _ in range(edits):
+            kind, at = rng.randrange(3), rng.randrange(len(out))
+            out[at : at + (kind > 0)] = [] if kind == 2 else [rng.choice(words)]
+        return out
+
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [(k, some(length)) for k in range(100)]
+    detector = decontaminate.Detector([(k, " ".join(w).encode()) for k, w in items], 0.8)
+    for share in (0.05, 0.1, 0.15, 0.2):
+        texts = [" ".join(some(rng.randint(0, 40)) + edited(w, int(share * length + 1e-9)) + some(rng.randint(0, 40))) for _, w in items]
+        found = sum(k in h for (k, _), h in zip(items, detector.hits(pa.array(texts)), strict=True))
+        assert found >= 90, share
+
+
 def test_lm_score(docs, empty, spark):
     from pyspark.sql import functions as F
 
