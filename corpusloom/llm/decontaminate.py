@@ -5,8 +5,10 @@ window: each step puts the current word out, and a random bit for step and word
 on to the next; few edits change few steps. Windows of a document start at every STRIDE-th word;
 an item is embedded from each of its first STRIDE words, so one window of a copy is in line with
 it. Windows are as long as the size class of the item, and all classes share one walk. Sampled
-steps are hashed, several times for each of several walks; where a hash is an item's, the exact edit
-distance of the item to the best part of the text around decides.
+steps are hashed, SAMPLES times for each of several walks; where a hash is an item's, the exact edit
+distance of the item to the best part of the text around decides. Walks of long windows drift further
+apart, so the number of walks is derived for each size class: as many as seeded trials need until
+RECALL of randomly edited windows, with the most edits allowed, share a sample.
 
 Windows that can't hold an item are not embedded: an edit costs a passage two bigrams of words at
 most, so a part of the text with fewer bigrams of items than that leaves has no hit. This loses nothing.
@@ -17,6 +19,8 @@ over the documents, which are neither shuffled nor gathered.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -30,7 +34,7 @@ from pyspark.sql import types as T
 from corpusloom.llm import common
 from corpusloom.llm.words import Shingler, mix
 
-WALKS, SAMPLES, STEPS_IN_SAMPLE = 4, 16, 4
+SAMPLES, STEPS_IN_SAMPLE, RECALL, TRIALS, MOST_WALKS = 16, 3, 0.95, 400, 48
 #: Words between windows, for items of LONG words or more; shorter items get windows at every word.
 STRIDE, LONG, RATIO = 6, 12, 1.5
 ITEM_BLOCK, ITEM_WORDS = 5_000, 4_000_000
@@ -44,6 +48,44 @@ def _classes(longest: int) -> list[int]:
     return out
 
 
+def _sample_steps(rng: np.random.Generator, c: int) -> list[int]:
+    """One step from each of equal parts of the walk of a window of c words, so that they see different words."""
+    edges = np.linspace(0, max(1, int(1.5 * c)), STEPS_IN_SAMPLE + 1).astype(int)
+    return sorted({int(rng.integers(a, max(a + 1, b))) for a, b in zip(edges, edges[1:], strict=False)})
+
+
+@functools.cache
+def walks_for(c: int, edits: int, recall: float = RECALL) -> int:
+    """Walks that a class of windows of c words needs: the least number with which ``recall`` of TRIALS
+    pairs of windows share a sample. A pair is a window of distinct words and a copy with so many
+    inserted, deleted and exchanged words, a third of each."""
+    rng = np.random.default_rng(c)
+    pad = np.zeros(3 * c + 3, np.uint64)
+    own, other = [], []
+    for _ in range(TRIALS):
+        window = rng.integers(1, 2**63, c).astype(np.uint64)
+        copy = window.tolist()
+        for _ in range(edits):
+            kind, at = rng.integers(3), int(rng.integers(len(copy)))
+            copy[at : at + (kind > 0)] = [] if kind == 2 and len(copy) > 1 else [int(rng.integers(1, 2**63))]
+        own.append(np.concatenate((window, pad))[: 3 * c + 3])
+        other.append(np.concatenate((np.array(copy, np.uint64), pad))[: 3 * c + 3])
+    both, row, steps = np.stack((np.stack(own), np.stack(other))), np.arange(TRIALS), max(1, int(1.5 * c))
+    found = np.zeros(TRIALS, bool)
+    for walk in range(1, MOST_WALKS + 1):
+        place, equal = np.zeros((2, TRIALS), np.int64), np.zeros((steps, TRIALS), bool)
+        for step in range(steps):
+            out = np.stack((both[0][row, place[0]], both[1][row, place[1]]))
+            equal[step] = out[0] == out[1]
+            odd = rng.integers(0, 2**63, 1).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+            place += (out * odd >> np.uint64(63)).astype(np.int64)
+        for _ in range(SAMPLES):
+            found |= equal[_sample_steps(rng, c)].all(0)
+        if found.mean() >= recall:
+            return walk
+    return MOST_WALKS
+
+
 def _bigrams(words: np.ndarray) -> np.ndarray:
     """Hashes of neighbouring words."""
     return mix(words[:-1] * _ODD + words[1:])
@@ -54,6 +96,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, np.ndarray]], stride: int, similarity: float, seed: int = 1):
         self.items, self.stride = items, stride
+        self.words = [w.tolist() for _, w in items]
         classes = _classes(max(len(w) for _, w in items))
         of_class = defaultdict(list)  # the longest class that fits behind every first word
         for k, (_, w) in enumerate(items):
@@ -61,32 +104,34 @@ class Index:
             of_class[max(c for c in classes if c <= size)].append(k)
         rng = np.random.default_rng(seed)
         self.steps = max(1, int(1.5 * max(of_class)))
-        self.odd = rng.integers(0, 2**63, (WALKS, self.steps)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-        #: by walk and step: numbers of the samples that take the step
-        self.takes: list[list[list[int]]] = [[[] for _ in range(self.steps)] for _ in range(WALKS)]
-        self.sample_class: list[int] = []
-        for c in sorted(of_class):
-            for _ in range(SAMPLES):
-                for walk in range(WALKS):
-                    # one step from each of equal parts of the walk, so that they see different words
-                    edges = np.linspace(0, max(1, int(1.5 * c)), STEPS_IN_SAMPLE + 1).astype(int)
-                    for step in {int(rng.integers(a, max(a + 1, b))) for a, b in zip(edges, edges[1:], strict=False)}:
-                        self.takes[walk][step].append(len(self.sample_class))
-                self.sample_class.append(c)
-        self.found: list[list[dict[int, list[tuple[int, int]]]]] = [[defaultdict(list) for _ in self.sample_class] for _ in range(WALKS)]
-        self.maybe = np.zeros((WALKS, len(self.sample_class), 1 << 16), bool)
+        #: a window may hold more than its share of an item's edits, so the share is rounded up
+        may_change = {c: any(int((1 - similarity) * len(items[k][1]) + 1e-9) for k in members) for c, members in of_class.items()}
+        walks = {c: walks_for(c, math.ceil((1 - similarity) * c - 1e-9) * may_change[c]) for c in sorted(of_class)}
+        self.walks = max(walks.values())
+        self.odd = rng.integers(0, 2**63, (self.walks, self.steps)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        #: by walk: steps to take, by step the numbers of the samples that take it, and the class of each sample
+        self.length = [max(int(1.5 * c) for c in walks if walks[c] > walk) or 1 for walk in range(self.walks)]
+        self.takes: list[list[list[int]]] = [[[] for _ in range(self.steps)] for _ in range(self.walks)]
+        self.sample_class: list[list[int]] = [[c for c in walks if walks[c] > walk for _ in range(SAMPLES)] for walk in range(self.walks)]
+        for walk, classes_of in enumerate(self.sample_class):
+            for s, c in enumerate(classes_of):
+                for step in _sample_steps(rng, c):
+                    self.takes[walk][step].append(s)
+        self.found: list[list[dict[int, list[tuple[int, int]]]]] = [[defaultdict(list) for _ in x] for x in self.sample_class]
+        self.maybe = [np.zeros((len(x), 1 << 16), bool) for x in self.sample_class]
         for c, members in of_class.items():
             starts = [(k, o) for k in members for o in range(min(stride, len(items[k][1])))]
-            text, at = [], []
+            text, at, length = [], [], 0
             for k, o in starts:
-                at.append(sum(map(len, text)))
+                at.append(length)
                 text.append(np.concatenate((items[k][1][o:], np.zeros(self.steps + 1, np.uint64))))
+                length += len(text[-1])
             words, at = np.concatenate(text), np.array(at)
-            for walk in range(WALKS):
+            for walk in range(walks[c]):
                 hashes = self.embed(words, at, walk)
-                for s, of in enumerate(self.sample_class):
+                for s, of in enumerate(self.sample_class[walk]):
                     if of == c:
-                        self.maybe[walk, s, (hashes[s] >> np.uint64(48)).astype(np.int64)] = True
+                        self.maybe[walk][s, (hashes[s] >> np.uint64(48)).astype(np.int64)] = True
                         for h, start in zip(hashes[s].tolist(), starts, strict=True):
                             self.found[walk][s][h].append(start)
         self.keys = [[np.array(sorted(t), np.uint64) for t in row] for row in self.found]
@@ -113,8 +158,8 @@ class Index:
     def embed(self, words: np.ndarray, at: np.ndarray, walk: int) -> list[np.ndarray]:
         """Sample hashes of the windows that start at ``at``; words are padded with zeros behind each text."""
         place = at.copy()
-        hashes = [np.full(len(at), s + 1, np.uint64) for s in range(len(self.sample_class))]
-        for step in range(self.steps):
+        hashes = [np.full(len(at), s + 1, np.uint64) for s in range(len(self.sample_class[walk]))]
+        for step in range(self.length[walk]):
             out = words[place]
             for s in self.takes[walk][step]:
                 np.multiply(hashes[s], _ODD, out=hashes[s])
@@ -127,9 +172,9 @@ class Index:
     def candidates(self, words: np.ndarray, at: np.ndarray) -> set[tuple[int, int]]:
         """(item's number, word where it would start) of windows that share a hash with an item."""
         out = set()
-        for walk in range(WALKS):
+        for walk in range(self.walks):
             for s, h in enumerate(self.embed(words, at, walk)):
-                likely = np.flatnonzero(self.maybe[walk, s][(h >> np.uint64(48)).astype(np.int64)])
+                likely = np.flatnonzero(self.maybe[walk][s][(h >> np.uint64(48)).astype(np.int64)])
                 if len(likely):
                     keys = self.keys[walk][s]
                     likely = likely[keys[np.minimum(np.searchsorted(keys, h[likely]), len(keys) - 1)] == h[likely]]
@@ -186,13 +231,24 @@ class Detector:
         part = text[low : start + len(item) + most + 1]
         if i in out and out[i][0] == 0:
             return
-        if np.isin(item, part).sum() < len(item) - most:  # each word that isn't there costs an edit
+        if sum(map(set(part.tolist()).__contains__, index.words[number])) < len(item) - most:  # each word that isn't there costs an edit
             return
         distance, end = nearest(item, part)
         if distance <= most and (i not in out or (distance, low + end) < (out[i][0], out[i][2])):
             out[i] = (distance, len(item), low + end)
 
 
+_KEPT: dict[str, Detector] = {}
+
+
+def _detector(tag: str, items: list[tuple[int, bytes]], similarity: float) -> Detector:
+    """The detector of one block of items, kept by this worker from task to task."""
+    if tag not in _KEPT:
+        _KEPT.clear()
+        _KEPT[tag] = Detector(items, similarity)
+    return _KEPT[tag]
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
     """Items in blocks whose number and words are bounded."""
     block, words = [], 0
@@ -217,10 +273,10 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.
     found = None
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     for block in _blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+        sent, tag = docs.sparkSession.sparkContext.broadcast(block), common.uuid.uuid4().hex
 
-        def scanned(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            detector = Detector(sent.value, similarity)
+        def scanned(batches: Iterator[pa.RecordBatch], sent=sent, tag=tag) -> Iterator[pa.RecordBatch]:
+            detector = _detector(tag, sent.value, similarity)
             for whole in batches:
                 for k in range(0, whole.num_rows, 200):
                     batch = whole.slice(k, 200)
@@ -241,10 +297,10 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, similarity: float =
     """The rows of ``docs`` without a hit, all columns as they are."""
     at = docs.columns.index(text_col)
     for block in _blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+        sent, tag = docs.sparkSession.sparkContext.broadcast(block), common.uuid.uuid4().hex
 
-        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            detector = Detector(sent.value, similarity)
+        def clean(batches: Iterator[pa.RecordBatch], sent=sent, tag=tag) -> Iterator[pa.RecordBatch]:
+            detector = _detector(tag, sent.value, similarity)
             for whole in batches:
                 for k in range(0, whole.num_rows, 200):
                     batch = whole.slice(k, 200)

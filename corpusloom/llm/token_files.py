@@ -69,7 +69,7 @@ class Encoder:
         plain = pc.if_else(pa.array(special, pa.bool_()), "", texts)
         split = pc.ascii_split_whitespace(plain)
         numbered = split.flatten().dictionary_encode()
-        blobs = self.words.fetch(_values(numbered.dictionary), self._learn)
+        blobs = self.words.fetch(common.values_of(numbered.dictionary), self._learn)
         sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
         starts = np.cumsum(sizes) - sizes
         which = numbered.indices.to_numpy()
@@ -110,16 +110,6 @@ class Encoder:
 _BETWEEN = b"\xff\xff\xff\xff"
 
 
-def _values(column: pa.Array) -> list[bytes]:
-    """The bytes of a string array without nulls, cut from its buffers."""
-    if not len(column):
-        return []
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].tolist()
-    raw = data.to_pybytes() if data is not None else b""
-    return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
-
-
 _ENCODERS: dict[str, Encoder] = {}
 
 

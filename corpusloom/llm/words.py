@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-from corpusloom.llm.common import Kept
+from corpusloom.llm.common import Kept, values_of
 
 _PRIME = np.uint64(0x100000001B3 * 0x9E3779B1 & 0xFFFFFFFFFFFFFFFF | 1)
 
@@ -36,10 +36,8 @@ class Shingler:
         """word_hashes of each text of a string array; Arrow numbers the distinct words, only those are hashed."""
         split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         numbered = split.flatten().dictionary_encode()
-        found = numbered.dictionary.cast(pa.binary()).to_pylist()
-        fresh = self.known.missing(set(found))  # may begin a new generation, so before ``now`` is read
-        self.known.now.update({w: xxhash.xxh64_intdigest(w) for w in fresh})
-        table = np.fromiter(map(self.known.now.__getitem__, found), np.uint64, len(found))
+        found = values_of(numbered.dictionary)
+        table = np.fromiter(self.known.fetch(found, lambda fresh: [*map(xxhash.xxh64_intdigest, fresh)]), np.uint64, len(found))
         which = numbered.indices.to_numpy()
         word = np.fromiter((w != b"" for w in found), bool, len(found))[which]  # white space at an end leaves an empty string
         at = np.concatenate(([0], np.cumsum(word)))[split.offsets.to_numpy() - split.offsets[0].as_py()]
