@@ -25,23 +25,28 @@ def top_k(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rank
 
 
 def batches(df: DataFrame, order: list, size: int, start: int = 0) -> DataFrame:
-    """batch_num (from 1), offset, limit and max_rows for each row after ``start`` in a total order.
-
-    Rows are numbered by range partitions: each numbers its own, and the counts of those before are
-    added, so no task sees all rows."""
+    """Columns of ``df``, then batch_num (from 1), offset, limit (where the next batch begins) and max_rows,
+    for each row after ``start`` in a total order. No task sees all rows."""
     numbered = numbered_rows(df, order)
-    total = df.count()
+    total = numbered.count()
     at = F.col("row_num") - start
-    return numbered.where(F.col("row_num") >= start).withColumns({"batch_num": F.floor(at / size) + 1, "offset": (F.floor(at / size) * size + start).cast("long"), "limit": F.lit(size).cast("long"), "max_rows": F.lit(total).cast("long")})
+    offset = F.floor(at / size) * size + start
+    return numbered.where(F.col("row_num") >= start).withColumns({"batch_num": F.floor(at / size) + 1, "offset": offset.cast("long"), "limit": (offset + size).cast("long"), "max_rows": F.lit(total).cast("long")})
 
 
 def numbered_rows(df: DataFrame, order: list, column: str = "row_num") -> DataFrame:
-    """Rows numbered from 0 in a total order, without a window over all rows."""
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    local = ordered.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    counts = local.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return local.join(F.broadcast(before), "_part").withColumn(column, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+    """Rows numbered from 0 in a total order, without a window over all rows.
+
+    The sorted partitions are written once to the shared folder with each row's partition and place in
+    it, so one partitioning gives both the counts (a row for each partition) and the numbers. An empty
+    table gives an empty table; equal rows get numbers of their own; a column named ``column`` is replaced."""
+    at = F.monotonically_increasing_id()
+    ordered = df.drop(column).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_numbered_at", at)
+    held = saver(df.sparkSession, "numbered")(ordered.withColumns({"_numbered_part": F.shiftright("_numbered_at", 33), "_numbered_at": F.col("_numbered_at").bitwiseAND((1 << 33) - 1)}))
+    counts = held.groupBy("_numbered_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_numbered_part", F.coalesce(F.sum("_n").over(Window.orderBy("_numbered_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_numbered_before"))
+    # a row for each partition of a sort
+    return held.join(F.broadcast(before), "_numbered_part").withColumn(column, F.col("_numbered_at") + F.col("_numbered_before")).drop("_numbered_part", "_numbered_at", "_numbered_before")
 
 
 def greedy_one_to_one(pairs: DataFrame, left: str = "a", right: str = "b", dist: str = "dist") -> DataFrame:

@@ -15,7 +15,7 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @register("batched_scan", """
-SELECT doc_id, floor(rn / 128)::BIGINT + 1 AS batch_num, (floor(rn / 128) * 128)::BIGINT AS "offset", 128::BIGINT AS "limit", n AS max_rows FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rn, count(*) OVER () AS n FROM documents)""")
+SELECT doc_id, floor(rn / 128)::BIGINT + 1 AS batch_num, (floor(rn / 128) * 128)::BIGINT AS "offset", (floor(rn / 128) * 128 + 128)::BIGINT AS "limit", n AS max_rows FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rn, count(*) OVER () AS n FROM documents)""")
 def batched_scan(spark, sf_dir):
     d = t(spark, sf_dir, "documents").select("doc_id")
     return ranking.batches(d, [F.col("doc_id")], 128).select("doc_id", "batch_num", "offset", "limit", "max_rows")

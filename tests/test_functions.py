@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import codecs, features
@@ -116,3 +117,40 @@ def test_numbering_and_matching(spark):
     assert all(r.row_num == r.v for r in ranking.numbered_rows(df, [F.col("v")]).collect())
     pairs = spark.createDataFrame([(1, 10, 0.1), (1, 11, 0.5), (2, 10, 0.0), (2, 11, 0.3), (3, 10, 0.2), (3, 11, 0.1), (3, 12, 0.9)], "a long, b long, dist double")
     assert sorted(map(tuple, ranking.greedy_one_to_one(pairs).select("a", "b").collect())) == [(1, 10), (2, 11), (3, 12)]
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_a_million_rows_are_numbered_with_their_payload(spark, adaptive):
+    n = 1_000_000
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        rows = spark.range(n, numPartitions=7).select(F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("k"), "id", F.repeat(F.lit("payload "), 4).alias("p"), F.md5(F.col("id").cast("string")).alias("q"))
+        numbered = ranking.numbered_rows(rows, [F.col("k"), F.col("id")])
+        assert numbered.columns == ["k", "id", "p", "q", "row_num"]
+        got = numbered.agg(F.count("*"), F.countDistinct("row_num"), F.min("row_num"), F.max("row_num"), F.countDistinct("id")).first()
+        assert tuple(got) == (n, n, 0, n - 1, n)
+        steps = numbered.select("k", "id", F.lag(F.struct("k", "id")).over(Window.orderBy("row_num")).alias("b")).where(F.struct("k", "id") <= F.col("b")).count()
+        assert steps == 0
+        batched = ranking.batches(rows, [F.col("k"), F.col("id")], 1000, start=500)
+        assert tuple(batched.agg(F.count("*"), F.min("offset"), F.max("limit"), F.max("batch_num"), F.min("max_rows")).first()) == (n - 500, 500, n + 500, 1000, n)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_numbering_of_empty_equal_and_clashing_rows(spark):
+    rows = spark.createDataFrame([(1, 9), (1, 9), (None, 8)], "a long, row_num long")
+    assert sorted((r.a is not None, r.row_num) for r in ranking.numbered_rows(rows, [F.col("a")]).collect()) == [(False, 0), (True, 1), (True, 2)]
+    assert ranking.numbered_rows(rows.limit(0), [F.col("a")]).count() == 0
+
+
+@pytest.mark.parametrize("word", ["const", "constant", "global", "kernel", "local", "private", "read_only", "read_write", "restrict", "write_only"])
+def test_each_keyword_loses_its_underscores(spark, word):
+    df = spark.createDataFrame([(f"a __{word} b;__inline __{word}",)], "t string")
+    assert df.select(tx.plain_keywords(F.col("t"))[0]["text"]).first()[0] == f"a {word} b;__inline {word}"
+
+
+def test_comments_go_and_literals_stay(spark):
+    cases = {"a /* x */ b": "a   b", "a // x\nb": "a  \nb", "'//' \"/* */\" /**/": "'//' \"/* */\"  ", "\"a\\\"//b\" // c": "\"a\\\"//b\"  ", "a / b 'open": "a / b 'open", "/* open": "/* open", "": "", "x" * 100_000 + "//" + "y" * 100_000: "x" * 100_000 + " ", "'" + "a\\'" * 50_000 + "'": "'" + "a\\'" * 50_000 + "'"}
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string")
+    assert [r.s for r in df.select(tx.strip_comments(F.col("t")).alias("s")).collect()] == [*cases.values(), None]
