@@ -71,6 +71,29 @@ def crc_bucket(column: str, modulus: int):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+#: Keys that a join broadcasts at most.
+HOT_KEYS = 10_000
+
+
+def join_evenly(rows: DataFrame, per_key: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Inner join of ``rows`` with ``per_key``, which has one row for each key and says in ``count`` how
+    many of ``rows`` have it. Keys with more than a HOT_KEYSth of the counted rows, of which there are
+    fewer than HOT_KEYS, are broadcast; all others are shuffled, so no task gets a hot key's rows. Both
+    tables are read several times: they should be written ones."""
+    total = per_key.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = F.col(count) > max(1, total // HOT_KEYS)
+    few, rest = per_key.where(hot).drop(count), per_key.where(~hot).drop(count)
+    spread = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(rest.hint("merge"), keys)
+    return rows.join(F.broadcast(few), keys).unionByName(spread)
+
+
+def fields_without(df: DataFrame, names: list[str]) -> list:
+    """The fields of ``df`` but those that Spark would take for one of ``names``."""
+    same = (lambda x: x) if df.sparkSession.conf.get("spark.sql.caseSensitive") == "true" else str.lower
+    gone = {same(n) for n in names}
+    return [f for f in df.schema.fields if same(f.name) not in gone]
+
+
 class Kept:
     """A bounded cache in two generations: what a full generation held and nobody asks for again goes."""
 

@@ -1,9 +1,9 @@
 """Operator 9: drop lines that other documents hold.
 
-Lines are exploded to 16-byte hashes of their keys, documents are counted per hash, and each
-document with something to drop gets the hashes of those keys back; its lines are then put
-together again in their order. Line texts are never shuffled, only hashes; the texts move once,
-for the join that brings the hashes back.
+Lines are exploded to 16-byte hashes of their keys, which are written once; documents are counted
+per hash, and each document with something to drop gets the hashes of those keys back; its lines
+are then put together again in their order. Line texts are never shuffled, only hashes; the texts
+move once, for the join that brings the hashes back. Hashes that many lines have are broadcast.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
     A key of at least ``min_chars`` code points found in at least ``min_docs`` documents loses all
     its lines except in the smallest id that holds it. A null text is one empty line and becomes "".
     Rows that share an id count as one document. A row with a null id takes no part: it keeps all
-    lines and counts for nothing. Columns named n_lines or n_dropped are replaced. An empty table
-    gives an empty table."""
+    lines and counts for nothing. Columns named n_lines or n_dropped (in any case, where Spark ignores
+    it) are replaced. An empty table gives an empty table."""
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,11 +49,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
     id_type = docs.schema[id_col].dataType
     known = docs.where(F.col(id_col).isNotNull()).select(id_col, F.col(text_col).cast("string").alias("_line_text"))
     lines = known.mapInArrow(keys_of, T.StructType([T.StructField("_line_doc", id_type), T.StructField("_line_key", T.BinaryType())]))
-    per_key = lines.groupBy("_line_key", "_line_doc").agg(F.lit(1).alias("_one")).groupBy("_line_key")
-    shared = per_key.agg(F.min("_line_doc").alias("_line_first"), F.count("*").alias("_line_docs")).where(f"_line_docs >= {min_docs} and _line_docs > 1")
-    lost = lines.join(shared, "_line_key").where("_line_doc > _line_first").groupBy("_line_doc").agg(F.collect_set("_line_key").alias("_line_lost"))
-
-    kept = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_dropped")]
+    lines = common.written(lines, "line-keys")
+    per_key = lines.groupBy("_line_key").agg(F.min("_line_doc").alias("_line_first"), F.max("_line_doc").alias("_line_last"), F.count("*").alias("_line_rows")).where("_line_first < _line_last")
+    if min_docs > 2:
+        documents = lines.groupBy("_line_key", "_line_doc").agg(F.lit(1).alias("_one")).groupBy("_line_key").count().where(F.col("count") >= min_docs)
+        per_key = per_key.join(documents.select("_line_key"), "_line_key")
+    shared = common.written(per_key.drop("_line_last"), "shared-lines")
+    lost = common.join_evenly(lines, shared, ["_line_key"], "_line_rows").where("_line_doc > _line_first").groupBy("_line_doc").agg(F.collect_set("_line_key").alias("_line_lost"))
+
+    kept = common.fields_without(docs, ["n_lines", "n_dropped"])
     out = T.StructType([T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in kept] + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     at = [f.name for f in kept].index(text_col)
 

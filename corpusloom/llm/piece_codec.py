@@ -136,8 +136,7 @@ def encode_texts(docs: DataFrame, model_file: str | None = None, text_col: str =
     A null text is empty: no ids. A written U+2581 means a space to the model and decodes to one, so
     its round_trip is false. Columns of those names are replaced. Rows are independent of each other."""
     path = model_file or model_path()
-    names = [n for n, _ in NEW]
-    kept = [f for f in docs.schema.fields if f.name not in names]
+    kept = common.fields_without(docs, [n for n, _ in NEW])
     out = T.StructType([*kept, *(T.StructField(*x) for x in NEW)])
     at = [f.name for f in kept].index(text_col)
 

@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Columns of ``docs``, then toxic_score (double, 0 to 1). A null text is empty. A column of that name is replaced."""
-    kept = [f for f in docs.schema.fields if f.name != "toxic_score"]
+    kept = common.fields_without(docs, ["toxic_score"])
     out = T.StructType([*kept, T.StructField("toxic_score", T.DoubleType())])
     at = [f.name for f in kept].index(text_col)
 

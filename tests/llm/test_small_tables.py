@@ -67,6 +67,33 @@ def test_line_dedup(docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("min_docs", [2, 3])
+def test_line_dedup_with_hot_lines(spark, monkeypatch, min_docs):
+    monkeypatch.setattr(line_dedup.common, "HOT_KEYS", 4)
+    rows = [(i, "\n".join(["this line is everywhere", f"line of group {i % 7}", f"pair number {i // 2}"])) for i in range(60)]
+    got = line_dedup.dedup_lines(spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, N_LINES string"), min_docs=min_docs)
+    assert got.columns == ["doc_id", "text", "n_lines", "n_dropped"]
+    holders = Counter(x for _, t in rows for x in t.split("\n"))
+    first = {}
+    for i, t in rows:
+        for x in t.split("\n"):
+            first.setdefault(x, i)
+    want = {i: "\n".join(x for x in t.split("\n") if holders[x] < min_docs or first[x] == i) for i, t in rows}
+    assert {r.doc_id: r.text for r in got.collect()} == want
+
+
+def test_near_dedup_of_hot_groups(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup.common, "HOT_KEYS", 4)
+    monkeypatch.setattr(near_dedup, "CHUNK_ROWS", 5)
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(500)]
+    shared = [rng.choice(words) for _ in range(70)]
+    rows = [(i, "the same text for very many of the documents here") for i in range(50)]
+    rows += [(100 + i, " ".join(shared + [rng.choice(words) for _ in range(rng.choice([4, 12, 16, 20, 24]))])) for i in range(50)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in got.collect()} == brute_classes(rows)
+
+
 def test_token_counts(docs, empty):
     import sentencepiece
 
