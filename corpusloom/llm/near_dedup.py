@@ -8,8 +8,9 @@ band share a bucket.
 Buckets are never expanded into pairs. The least member of a bucket is its centre, and every other
 member is compared with it exactly. Components of these links settle almost everything. Where
 members of one centre still belong to several components, its members are dealt out to chunks of
-bounded size; each pair of chunks is one small task that compares all members of different
-components exactly and returns a spanning forest of the links it finds. So every pair that shares
+bounded size, those of its largest component apart; each pair of chunks that may hold an unknown
+link is one small task that compares all members of different components exactly and returns a
+spanning forest of the links it finds. So every pair that shares
 a bucket is decided, and what is returned grows with the members, not with their pairs.
 """
 
@@ -144,13 +145,22 @@ def _compared(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> D
     return joined.select("a", "b", "own", "other").mapInArrow(measured, "a long, b long, sim double")
 
 
-def _linked_in_chunks(members: DataFrame, words: int, near: float) -> DataFrame:
-    """(a, b): components of ``members`` (centre, node, component, text) that have a link within a centre's members."""
-    w = members.groupBy("centre").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.countDistinct("component").alias("parts"))
-    open_ = w.where("n > 1 and parts > 1").select("centre", F.greatest(F.ceil(F.col("n") / CHUNK_ROWS), F.ceil(F.col("chars") / CHUNK_CHARS)).cast("int").alias("chunks"))
-    own = members.join(open_, "centre").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    paired = own.withColumn("other", other).select("centre", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "component", "text")
+def _linked_in_chunks(members: DataFrame, texts: DataFrame, words: int, near: float) -> DataFrame:
+    """(a, b): components of ``members`` (centre, node, component) that have a link within a centre's members.
+
+    Chunks of the centre's largest component meet the chunks of all others, which also meet each other;
+    two chunks of the largest component never meet. Texts are joined only where components are open."""
+    sized = members.join(texts.select("node", F.length("text").alias("chars")).hint("merge"), "node")
+    parts = sized.groupBy("centre", "component").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    whole = parts.groupBy("centre").agg(F.max(F.struct("n", "component", "chars")).alias("main"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.count("*").alias("parts")).where("parts > 1")
+    chunks = lambda n, chars: F.greatest(F.ceil(n / CHUNK_ROWS), F.ceil(chars / CHUNK_CHARS)).cast("int")
+    open_ = common.written(whole.select("centre", "n", F.col("main.component").alias("main"), chunks(F.col("main.n"), F.col("main.chars")).alias("own"), chunks(F.col("n") - F.col("main.n"), F.col("chars") - F.col("main.chars")).alias("others")), "open")
+    h = F.xxhash64("node")
+    dealt = common.join_evenly(members, open_, ["centre"], "n").withColumn("chunk", F.when(F.col("component") == F.col("main"), F.pmod(h, F.col("own"))).otherwise(F.col("own") + F.pmod(h, F.col("others"))).cast("int"))
+    first = F.when(F.col("chunk") < F.col("own"), F.col("own")).otherwise(F.lit(0))
+    own = dealt.withColumn("meets", F.sequence(first, F.col("own") + F.col("others") - 1)).select("centre", "node", "component", "chunk", "meets")
+    with_text = own.join(texts.hint("merge"), "node").withColumn("other", F.explode("meets"))
+    paired = with_text.select("centre", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "component", "text")
 
     def compared(key: tuple, group: pa.Table) -> pa.Table:
         shingler, same = Shingler(words), key[1].as_py() == key[2].as_py()
@@ -201,14 +211,15 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, ba
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = common.written(_banded(docs, bands, rows, words), "signatures")
     equal = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
-    found = common.written(signed.select("doc_id", "h1", "h2").join(equal.where("n > 1"), ["h1", "h2"]).select("doc_id", "h1", "h2", "node").distinct(), "copies")
+    several_of = common.written(equal.where("n > 1"), "equal-texts")
+    found = common.written(common.join_evenly(signed.select("doc_id", "h1", "h2"), several_of, ["h1", "h2"], "n").select("doc_id", "h1", "h2", "node").distinct(), "copies")
     copies, moved = found.select("doc_id", "node").distinct(), found.where("doc_id <> node")
     nodes = signed.join(moved.select("doc_id", "h1", "h2"), ["doc_id", "h1", "h2"], "left_anti")
     # texts of one id that stand for it in several nodes: other ids' that it copies, and its own
     own = nodes.select("doc_id").join(moved.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.col("doc_id").alias("node"))
     several = moved.select("doc_id", "node").union(own).groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b <> most").drop("most")
     united = moved.select("doc_id", "node").union(own).join(several, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
-    bucketed = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket")).distinct()
+    bucketed = common.written(nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket")).distinct(), "buckets")
     pairs = common.written(_with_centres(bucketed).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
 
     members = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -216,7 +227,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, ba
     links = common.written(_compared(pairs, texts, words, near).select("a", "b").union(united).distinct(), "edges")
     named = components(links)
     placed = pairs.select(F.col("a").alias("node"), F.col("b").alias("centre")).join(named, "node", "left").select("centre", "node", F.coalesce("component", "node").alias("component"))
-    more = components(_linked_in_chunks(placed.join(texts.hint("merge"), "node"), words, near))
+    more = components(_linked_in_chunks(common.written(placed, "placed"), texts, words, near))
     joined = more.select(F.col("node").alias("component"), F.col("component").alias("whole"))
     ids = signed.select("doc_id").distinct()
     of_node = ids.join(copies, "doc_id", "left").groupBy("doc_id").agg(F.coalesce(F.min("node"), F.col("doc_id")).alias("node"))
@@ -226,8 +237,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, ba
 
 def _with_centres(bucketed: DataFrame) -> DataFrame:
     """(bucket, node, centre) of the members of buckets with more than one, without the centre itself."""
-    centres = bucketed.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return bucketed.join(centres, "bucket").where("node <> centre")
+    centres = common.written(bucketed.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1"), "centres")
+    return common.join_evenly(bucketed, centres, ["bucket"], "n").where("node <> centre")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
