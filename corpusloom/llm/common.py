@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,16 @@ def values_of(column: pa.Array) -> list[bytes]:
     return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
+def slices(batch: pa.RecordBatch, column: int, bytes_at_once: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch in pieces of about so many bytes of a text column, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(ends, bytes_at_once + (int(ends[begin - 1]) if begin else 0), "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

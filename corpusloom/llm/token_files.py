@@ -321,7 +321,7 @@ def write_shards(docs: DataFrame, path: str, model_file: str | None = None, id_c
         seq = at = held = 0
         ids, blobs = [], []
         for whole in batches:
-            for batch in _slices(whole, 1, CHARS_AT_ONCE):
+            for batch in common.slices(whole, 1, CHARS_AT_ONCE):
                 for i, blob in zip(batch.column(0).to_pylist(), model.encode(batch.column(1)), strict=True):
                     ids.append(i)
                     blobs.append(blob + end)
@@ -338,16 +338,6 @@ def write_shards(docs: DataFrame, path: str, model_file: str | None = None, id_c
     ordered.mapInArrow(encoded, SHARD_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
-def _slices(batch: pa.RecordBatch, column: int, bytes_at_once: int) -> Iterator[pa.RecordBatch]:
-    """Rows of a batch in pieces of about so many bytes of a text column, one row at least."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
-    begin = 0
-    while begin < batch.num_rows:
-        end = max(begin + 1, int(np.searchsorted(ends, bytes_at_once + (int(ends[begin - 1]) if begin else 0), "right")))
-        yield batch.slice(begin, end - begin)
-        begin = end
-
-
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and ids (binary), decoded from the files."""
 

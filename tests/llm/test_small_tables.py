@@ -416,35 +416,62 @@ def test_recall_by_edit_share_and_length(length):
         assert found >= 90, share
 
 
-def test_lm_score(docs, empty, spark):
-    from pyspark.sql import functions as F
-
-    rows = [(i, t or "", i is not None and i % 2 == 1 and i != 9) for i, t, *_ in ROWS]
+def lm_by_force(rows):
+    """(id, train, tokens, known, training tokens, base score, score) by the recursion of the smoothed probabilities."""
     tokens = [re.findall(r"[^\x20\x09-\x0D]+", low(t)) + ["\n"] for _, t, _ in rows]
-    words, pairs = Counter(), Counter()
+    words, pairs, triples = Counter(), Counter(), Counter()
     for w, (_, _, train) in zip(tokens, rows, strict=True):
         if train:
             words.update(w)
             pairs.update(zip(["\n", *w], w, strict=False))
+            triples.update(zip(["\n", *w], w, w[1:], strict=False))
     n, v = sum(words.values()), len(words)
-    p = lambda t: (words[t] + 1) / (n + v + 1)
-    want = []
+    p1 = lambda c: (words[c] + 1) / (n + v + 1)
+    p2 = lambda b, c: (pairs[b, c] + lm_score.PRIOR * p1(c)) / (words[b] + lm_score.PRIOR)
+    p3 = lambda a, b, c: (triples[a, b, c] + lm_score.PAIR_PRIOR * p2(b, c)) / (pairs[a, b] + lm_score.PAIR_PRIOR)
+    out = []
     for w, (i, _, train) in zip(tokens, rows, strict=True):
-        score = sum(math.log10((pairs[a, b] + lm_score.PRIOR * p(b)) / (words[a] + lm_score.PRIOR)) for a, b in zip(["\n", *w], w, strict=False))
-        want.append((i, train, len(w), sum(words[t] > 0 for t in w), n, round(sum(math.log10(p(t)) for t in w), 4), round(score, 4)))
+        score = math.log10(p2("\n", w[0])) + sum(math.log10(p3(a, b, c)) for a, b, c in zip(["\n", *w], w, w[1:], strict=False))
+        out.append((i, train, len(w), sum(words[t] > 0 for t in w), n, round(sum(math.log10(p1(t)) for t in w), 4), round(score, 4)))
+    return sorted(out, key=str)
+
+
+def rounded(got):
+    return sorted(((*r[:5], round(r[5], 4), round(r[6], 4)) for r in got.collect()), key=str)
+
+
+def test_lm_score(docs, empty, spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, t or "", i is not None and i % 2 == 1 and i != 9) for i, t, *_ in ROWS]
     got = lm_score.lm_scores(docs, (F.col("doc_id") % 2 == 1) & (F.col("doc_id") != 9), block_chars=50)
-    assert sorted(((*r[:5], round(r[5], 4), round(r[6], 4)) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert rounded(got) == lm_by_force(rows)
     assert lm_score.lm_scores(empty, F.lit(True)).count() == 0
     for r in lm_score.lm_scores(docs, F.lit(False)).collect():
-        assert r.train_tokens == 0 and r.base_score == r.score == 0
+        assert r.train_tokens == 0 and math.isclose(r.base_score, r.score, abs_tol=1e-9) and abs(r.score) < 1e-9
 
 
-def test_bigram_weights_sum_to_one():
-    words = Counter({"a": 5, "b": 3, "\n": 2})
-    pairs = Counter({("a", "b"): 3, ("a", "a"): 2})
-    n, v, m = 10, 3, lm_score.PRIOR
-    p = {w: (c + 1) / (n + v + 1) for w, c in words.items()} | {"unseen": 1 / (n + v + 1)}
-    assert math.isclose(sum((pairs["a", w] + m * p[w]) / (words["a"] + m) for w in p), 1)
+@pytest.mark.parametrize("fanout_bits", [1, 2, 10])
+def test_lm_score_with_groups_that_ask_in_turn(spark, fanout_bits):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.choice([0, 1, 2, 5, 40, 900]))), i % 3 > 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(4)
+    assert rounded(lm_score.lm_scores(df, F.col("train"), block_chars=200, fanout_bits=fanout_bits)) == lm_by_force(rows)
+
+
+def test_trigram_weights_sum_to_one():
+    tokens = "a b a b a c b a b c".split() + ["\n"]
+    words, pairs, triples = Counter(tokens), Counter(zip(["\n", *tokens], tokens, strict=False)), Counter(zip(["\n", *tokens], tokens, tokens[1:], strict=False))
+    n, v, m, k = len(tokens), len(words), lm_score.PRIOR, lm_score.PAIR_PRIOR
+    p1 = {w: (c + 1) / (n + v + 1) for w, c in words.items()} | {"unseen": 1 / (n + v + 1)}
+    for a in [*words, "unseen"]:
+        p2 = {w: (pairs[a, w] + m * p1[w]) / (words[a] + m) for w in p1}
+        assert a == "\n" or math.isclose(sum(p2.values()), 1)
+        for b in [*words, "unseen"]:
+            p2 = {w: (pairs[b, w] + m * p1[w]) / (words[b] + m) for w in p1}
+            assert b == "\n" or math.isclose(sum((triples[a, b, w] + k * p2[w]) / (pairs[a, b] + k) for w in p1), 1)
 
 
 def test_piece_codec(docs, empty):
