@@ -3,18 +3,23 @@
 An append writes its rows as small Parquet shards, one or more for each task. Compaction merges
 shards of one size tier, oldest first, into files of the target size. Every change is a new
 manifest, which names the shards of the table; it appears under its number by one rename that
-fails if the number is taken, so readers see whole versions and of two writers one must retry.
-A merge reads a group of shards in one task and shuffles nothing.
+fails if the number is taken, so readers see whole versions, and of two writers one reads the new
+manifest and commits again. A merge reads a group of shards in one task and shuffles nothing.
+
+Rows are stored as they are: nulls, empty and very long texts, repeated rows and columns of any name
+but _arrival come back unchanged; the first arrival's schema is the table's.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common
@@ -22,6 +27,8 @@ from corpusloom.llm import common
 #: Size of a merged file, shards that a tier may hold before it is merged, size of the lowest tier, groups merged by one job.
 TARGET_BYTES, FANOUT, LEAST_BYTES, GROUPS_IN_JOB = 128 << 20, 4, 1 << 20, 128
 ARRIVALS, ROWS_IN_SHARD = 8, 20_000
+#: Seconds for which vacuum leaves a file that no manifest names: another writer may be about to commit it.
+GRACE_S = 86_400
 
 
 @dataclass(frozen=True)
@@ -64,6 +71,7 @@ class ShardTable:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._landed: set[str] = set()  # files of arrivals that this writer has yet to commit
         jvm = spark._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._path = jvm.org.apache.hadoop.fs.Path
@@ -101,22 +109,55 @@ class ShardTable:
             jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self._conf).rename(temporary, final, options)
         except Exception as e:
             self._fs.delete(temporary, False)
+            if not self._fs.exists(final):
+                raise
             raise Conflict(f"version {version} of {self.path} is taken") from e
 
+    def _update(self, change: Callable[[list[Shard]], list[Shard] | None], schema: str | None = None) -> int | None:
+        """Commits what ``change`` makes of the latest shards, again if another writer was first; the version.
+        None where ``change`` gives None."""
+        while True:
+            version, shards, known = self.manifest()
+            new = change(shards)
+            if new is None:
+                return None
+            try:
+                self._commit(version + 1, new, known or schema)
+            except Conflict:
+                continue
+            return version + 1
+
+    def _listed(self, folder: str) -> list[Shard]:
+        where = self._path(f"{self.path}/{folder}")
+        files = [(s.getPath().getName(), s.getLen()) for s in self._fs.listStatus(where)] if self._fs.exists(where) else []
+        return [Shard(f"{folder}/{n}", size) for n, size in sorted(files) if n.startswith("part-")]
+
     def _write(self, df: DataFrame, folder: str, rows: int = 0) -> list[Shard]:
         df.write.option("compression", "zstd").option("maxRecordsPerFile", rows).parquet(f"{self.path}/{folder}")
-        files = [(s.getPath().getName(), s.getLen()) for s in self._fs.listStatus(self._path(f"{self.path}/{folder}"))]
-        return [Shard(f"{folder}/{n}", size) for n, size in sorted(files) if n.startswith("part-")]
+        return self._listed(folder)
 
     def append(self, df: DataFrame, rows_in_shard: int = ROWS_IN_SHARD) -> int:
         """Adds rows as new shards; the new version. An empty arrival is a version without new rows."""
-        version, shards, schema = self.manifest()
-        new = self._write(df, f"data/v{version + 1:06d}-{uuid.uuid4().hex[:8]}", rows_in_shard)
-        self._commit(version + 1, shards + new, schema or df.schema.json())
-        return version + 1
+        new = self._write(df, f"data/a-{uuid.uuid4().hex[:8]}", rows_in_shard)
+        return self._update(lambda shards: shards + new, df.schema.json())
+
+    def append_each(self, df: DataFrame, arrival: Column, arrivals: int = ARRIVALS, rows_in_shard: int = ROWS_IN_SHARD, after: Callable[[], object] = lambda: None) -> int:
+        """Adds rows as ``arrivals`` arrivals, whose number (from 0) ``arrival`` gives: one job writes the
+        shards of all, then each arrival is committed as a version, and ``after`` is called. The last version."""
+        folder = f"data/a-{uuid.uuid4().hex[:8]}"
+        df.withColumn("_arrival", arrival).write.option("compression", "zstd").option("maxRecordsPerFile", rows_in_shard).partitionBy("_arrival").parquet(f"{self.path}/{folder}")
+        landed = [self._listed(f"{folder}/_arrival={k}") for k in range(arrivals)]
+        self._landed = {s.file for new in landed for s in new}
+        version = 0
+        for new in landed:
+            version = self._update(lambda shards, new=new: shards + new, df.schema.json())
+            self._landed -= {s.file for s in new}
+            after()
+        return version
 
     def compact(self, target: int = TARGET_BYTES, fanout: int = FANOUT, least: int = LEAST_BYTES) -> int:
-        """Merges tiers until none is full, a version for each pass; the last version."""
+        """Merges tiers until none is full, a version for each pass; the last version. Where another writer
+        has added shards meanwhile, they stay; where one has merged the same shards, the plan is made anew."""
         while True:
             version, shards, schema = self.manifest()
             groups = plan(shards, target, fanout, least)
@@ -130,7 +171,9 @@ class ShardTable:
                     merged = one if merged is None else merged.union(one)
                 new += self._write(merged, f"data/v{version + 1:06d}-{uuid.uuid4().hex[:8]}-{k}")
             gone = {s.file for g in groups for s in g}
-            self._commit(version + 1, new + [s for s in shards if s.file not in gone], schema)
+            if self._update(lambda now: new + [s for s in now if s.file not in gone] if gone <= {s.file for s in now} else None) is None:  # noqa: B023
+                for s in new:
+                    self._fs.delete(self._path(f"{self.path}/{s.file}"), False)
 
     def _files(self, shards: list[Shard], schema: str) -> DataFrame:
         from pyspark.sql.types import StructType
@@ -146,40 +189,49 @@ class ShardTable:
             raise ValueError(f"{self.path} has no version yet")
         return self._files(shards, schema)
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Deletes manifests before the last ``keep`` and files that no kept manifest names; files deleted."""
+    def vacuum(self, keep: int = 1, grace_s: float = GRACE_S) -> int:
+        """Deletes manifests before the last ``keep``, and files older than ``grace_s`` that no kept manifest
+        names; files deleted. Only a sole writer may take a grace of 0."""
         found = self.versions()
-        named = {s.file for v in found[-keep:] for s in self.manifest(v)[1]}
+        named = {s.file for v in found[-keep:] for s in self.manifest(v)[1]} | self._landed
         for v in found[:-keep]:
             self._fs.delete(self._path(f"{self.path}/manifest/v{v:06d}.json"), False)
-        count = 0
+        before, count = (time.time() - grace_s) * 1000, 0
+        if not self._fs.exists(self._path(f"{self.path}/data")):
+            return 0
         for folder in self._fs.listStatus(self._path(f"{self.path}/data")):
-            name = f"data/{folder.getPath().getName()}"
-            files = [f.getPath() for f in self._fs.listStatus(folder.getPath())]
-            gone = [p for p in files if f"{name}/{p.getName()}" not in named]
-            count += sum(p.getName().startswith("part-") for p in gone)
-            if len(gone) == len(files):
+            stays, files = False, self._fs.listFiles(folder.getPath(), True)
+            while files.hasNext():
+                file = files.next()
+                full = file.getPath().toString()
+                name = full[full.rindex(f"/data/{folder.getPath().getName()}/") + 1 :]
+                if not file.getPath().getName().startswith("part-"):
+                    continue
+                if name in named or file.getModificationTime() > before:
+                    stays = True
+                else:
+                    self._fs.delete(file.getPath(), False)
+                    count += 1
+            if not stays and folder.getModificationTime() <= before:
                 self._fs.delete(folder.getPath(), True)
-            else:
-                for p in gone:
-                    self._fs.delete(p, False)
         return count
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files of documents arrive in turn (in ARRIVALS groups of files at most) and are compacted
-    after each arrival; the rows are read back from the files that the last manifest names."""
+    """Documents arrive in ARRIVALS parts, by a hash of the row, and are compacted after each arrival; the
+    rows are read back from the files that the last manifest names. A null text counts as empty; rows with
+    null or repeated ids are rows like others; an empty table gives an empty table."""
     docs = common.table(spark, sf_dir, "documents")
-    files = sorted(docs.inputFiles())
     held = ShardTable(spark, common.shared_dir(spark, "shards"))
-    size = max(1, -(-len(files) // ARRIVALS))
-    for k in range(0, len(files), size):
-        held.append(spark.read.schema(docs.schema).parquet(*files[k : k + size]))
+
+    def compacted() -> None:
         held.compact()
-        held.vacuum()
-    if not files:
-        held.append(docs)
+        held.vacuum(grace_s=0)  # nobody else writes to this table
+
+    held.append_each(docs, F.pmod(F.xxhash64("doc_id", "text"), F.lit(ARRIVALS)).cast("int"), after=compacted)
     text = F.coalesce("text", F.lit("")).cast("binary")
-    shard = F.regexp_extract(F.col("_metadata.file_path"), r"/(v\d+)-[^/]*/(part-\d+)", 1)
-    part = F.regexp_extract(F.col("_metadata.file_path"), r"/(v\d+)-[^/]*/(part-\d+)", 2)
-    return held.read().select("doc_id", F.concat_ws("/", shard, part).alias("shard"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
+    path = F.col("_metadata.file_path")
+    merged = F.regexp_extract(path, r"/(v\d+)-[^/]*/part-", 1)
+    folder = F.when(merged != "", merged).otherwise(F.concat(F.lit("arrival"), F.regexp_extract(path, r"/_arrival(?:=|%3D)(\d+)/part-", 1)))
+    part = F.concat_ws("-", F.regexp_extract(path, r"/(part-\d+)[^/]*$", 1), F.regexp_extract(path, r"[.-](c\d+)[.][^/]*$", 1))
+    return held.read().select("doc_id", F.concat_ws("/", folder, part).alias("shard"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
