@@ -4,11 +4,14 @@ Voters are groups of lexicon words and of word-start patterns, found on labelled
 joined by a fixed word list. A generative label model over the voters' firing patterns of all
 training documents (expectation maximisation, human labels as anchors) estimates how often each
 voter fires in toxic and in clean texts, and how voters go together; correlated voters count for
-less. A linear classifier is then trained on its posterior labels and scores every text.
+less. A linear classifier is then trained on its posterior labels of all training documents, with
+and without a human label, and scores every text. It sees voters and three graded measures, so the
+documents of one pattern are one weighted row, and all of them are at most 3 x 2**21 rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -48,8 +51,8 @@ def terms_of(text: str) -> tuple[set[str], set[str], int]:
     return words, {w[:k] for k in STARTS for w in words if len(w) > k}, len(found)
 
 
-def votes(text: str, words: dict[str, int], starts: dict[str, int]) -> tuple[int, int, int, int]:
-    """Firing voters as bits, hits, distinct hits, words."""
+def votes(text: str, words: dict[str, int], starts: dict[str, int]) -> int:
+    """A text's pattern: firing voters as bits, then grades (0 to 7) of hits, distinct hits and hits per word."""
     own, begin, n = terms_of(text)
     hit_words, hit_starts = own.intersection(words), begin.intersection(starts)
     mask = 0
@@ -57,20 +60,26 @@ def votes(text: str, words: dict[str, int], starts: dict[str, int]) -> tuple[int
         mask |= 1 << words[w]
     for s in hit_starts:
         mask |= 1 << WORD_GROUPS + starts[s]
+    if not mask:
+        return 0
     low = text.lower()
     hits = sum(low.count(w) for w in hit_words) + sum(low.count(s) for s in hit_starts)
     distinct = len(hit_words) + len(hit_starts)
     if distinct >= 2:
         mask |= 1 << VOTERS - 2
-    if distinct and hits * 40 >= n:
+    if hits * 40 >= n:
         mask |= 1 << VOTERS - 1
-    return mask, hits, distinct, n
+    grades = min(7, int(2 * math.log2(1 + hits))), min(7, distinct), min(7, 350 * hits // n)
+    return mask | sum(g << VOTERS + 3 * k for k, g in enumerate(grades))
 
 
-def features(mask: np.ndarray, hits: np.ndarray, distinct: np.ndarray, n: np.ndarray) -> np.ndarray:
-    bits = (mask[:, None] >> np.arange(VOTERS)) & 1
-    more = np.stack([np.log1p(hits), np.log1p(distinct), np.minimum(1, 50 * hits / np.maximum(n, 1))], 1)
-    return np.concatenate([np.ones((len(mask), 1)), bits, more], 1)
+def bits_of(patterns: np.ndarray) -> np.ndarray:
+    return ((patterns[:, None] >> np.arange(VOTERS)) & 1).astype(float)
+
+
+def features(patterns: np.ndarray) -> np.ndarray:
+    hits, distinct, share = ((patterns >> VOTERS + 3 * k & 7) for k in range(3))
+    return np.concatenate([np.ones((len(patterns), 1)), bits_of(patterns), np.stack([hits * math.log(2) / 2, np.log1p(distinct), share / 7], 1)], 1)
 
 
 def choose_terms(counts: list[tuple[str, bool, int, int]], toxic: int, clean: int) -> tuple[dict[str, int], dict[str, int]]:
@@ -93,9 +102,9 @@ def choose_terms(counts: list[tuple[str, bool, int, int]], toxic: int, clean: in
     return out[0], out[1]
 
 
-def label_model(masks: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tuple[float, np.ndarray, np.ndarray]:
+def label_model(patterns: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tuple[float, np.ndarray, np.ndarray]:
     """Prior, firing rates and weights from patterns; labels: 1, 0, or -1 where unknown."""
-    bits = ((masks[:, None] >> np.arange(VOTERS)) & 1).astype(float)
+    bits = bits_of(patterns)
     posterior = np.where(labels >= 0, labels, np.where(bits.sum(1) >= 2, 0.9, np.where(bits.sum(1) > 0, 0.3, 0.02))).astype(float)
     prior, fires, weights = 0.1, np.full((VOTERS, 2), 0.1), np.ones(VOTERS)
     for _ in range(rounds):
@@ -123,14 +132,14 @@ def _posterior(bits: np.ndarray, prior: float, fires: np.ndarray, weights: np.nd
     return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def fit_linear(x: np.ndarray, soft: np.ndarray, penalty: float = 0.5, rounds: int = 30) -> np.ndarray:
-    """Logistic regression on soft labels by Newton's method."""
+def fit_linear(x: np.ndarray, soft: np.ndarray, counts: np.ndarray, penalty: float = 0.5, rounds: int = 30) -> np.ndarray:
+    """Logistic regression on soft labels, each row standing for so many, by Newton's method."""
     w = np.zeros(x.shape[1])
     ridge = penalty * np.eye(x.shape[1])
     ridge[0, 0] = 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge, x.T @ (p - soft) + ridge @ w)
+        step = np.linalg.solve((x * (counts * (p * (1 - p) + 1e-9))[:, None]).T @ x + ridge, x.T @ (counts * (p - soft)) + ridge @ w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -140,11 +149,13 @@ def fit_linear(x: np.ndarray, soft: np.ndarray, penalty: float = 0.5, rounds: in
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """A model from texts and labels of the rows outside the held-out fold (crc32(doc_id) mod 3 = 1).
 
-    Voters and classifier see ``max_labelled`` labelled rows at most, chosen by a hash of the id; the
-    label model sees the firing patterns (2**VOTERS at most) of all rows of ``docs`` outside the fold.
-    Several labels of one id: the highest counts. Null labels and null ids teach nothing."""
+    The lexicon is found on ``max_labelled`` labelled rows at most, chosen by a hash of the id, which are
+    also the anchors; label model and classifier see the patterns of all rows of ``docs`` outside the
+    fold. Several labels of one id: the highest counts. Labels but 0 and 1, and null ids, teach nothing.
+    Repeated rows count each. A null text is empty, a long one is read whole. Without labels the seed
+    words vote, without documents fixed weights stand."""
     fold = common.crc_bucket("doc_id", 3) != 1
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & fold).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & fold).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = [(r.doc_id, r.toxic) for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).collect()]
     chosen = docs.sparkSession.createDataFrame(sample, "_label_doc long, _toxic int")
     texts = docs.where(fold).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -173,40 +184,33 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 
     voted = texts.join(F.broadcast(chosen), texts.doc_id == chosen["_label_doc"], "left").select("text", F.coalesce("_toxic", F.lit(-1)).alias("label"))
 
-    def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def patterns_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
-            seen.update((votes(t, words, starts)[0], y) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int32()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["mask", "label", "n"])
-
-    patterns = voted.mapInArrow(masks, "mask int, label int, n long").groupBy("mask", "label").agg(F.sum("n").alias("n")).collect()
-    prior, fires, weights = label_model(*(np.array([r[k] for r in patterns], np.int64) for k in ("mask", "n", "label")))
-
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [votes(t, words, starts) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.int64()) for k in range(4)), batch.column(1).cast(pa.int64())], names=["mask", "hits", "distinct", "n", "label"])
-
-    # as many rows as the sample has, but for repeated ids
-    rows = marked.select("text", "_toxic").mapInArrow(sampled, "mask long, hits long, distinct long, n long, label long").limit(4 * max_labelled).collect()
-    data = np.array([tuple(r) for r in rows], np.int64).reshape(-1, 5)
-    x = features(*data[:, :4].T)
-    votes_posterior = _posterior(x[:, 1 : VOTERS + 1], prior, fires, weights)
-    odds = np.log(votes_posterior / (1 - votes_posterior)) + np.where(data[:, 4] == 1, 1, -1) * np.log(19)  # a label errs once in 20
-    linear = fit_linear(x, 1 / (1 + np.exp(-np.clip(odds, -30, 30)))) if len(data) else np.concatenate(([-4.0], np.zeros(VOTERS), [1.5, 2.5, 1.0]))
+            seen.update((votes(t, words, starts), y) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int32()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "label", "n"])
+
+    found = voted.mapInArrow(patterns_of, "pattern int, label int, n long").groupBy("pattern", "label").agg(F.sum("n").alias("n")).orderBy("pattern", "label").collect()
+    patterns, counts, label = (np.array([r[k] for r in found], np.int64) for k in ("pattern", "n", "label"))
+    prior, fires, weights = label_model(patterns, counts, label)
+    p = _posterior(bits_of(patterns), prior, fires, weights)
+    odds = np.log(p / (1 - p)) + np.where(label < 0, 0, np.where(label == 1, 1, -1)) * np.log(19)  # a label errs once in 20
+    soft = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    linear = fit_linear(features(patterns), soft, counts) if len(found) else np.concatenate(([-4.0], np.zeros(VOTERS), [1.5, 2.5, 1.0]))
     return Model(words, starts, prior, fires, weights, linear)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Columns of ``docs``, then toxic_score (double, 0 to 1). A null text is empty. A column of that name is replaced."""
+    """Columns of ``docs``, then toxic_score (double, 0 to 1), for each row by itself. A null text is empty, a
+    long one is read whole. A column of that name is replaced. An empty table gives an empty table."""
     kept = common.fields_without(docs, ["toxic_score"])
     out = T.StructType([*kept, T.StructField("toxic_score", T.DoubleType())])
     at = [f.name for f in kept].index(text_col)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.array([votes(t, model.words, model.starts) for t in common.as_texts(batch.column(at))], np.int64).reshape(-1, 4)
-            s = 1 / (1 + np.exp(-np.clip(features(*rows.T) @ model.linear, -30, 30)))
+            patterns = np.array([votes(t, model.words, model.starts) for t in common.as_texts(batch.column(at))], np.int64)
+            s = 1 / (1 + np.exp(-np.clip(features(patterns) @ model.linear, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=out.names)
 
     return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(scored, out)

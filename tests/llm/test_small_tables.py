@@ -233,6 +233,74 @@ def test_toxicity(spark, sf, docs, empty):
     assert len(toxicity.score(docs, without).collect()) == len(ROWS)
 
 
+def plain_label_model(rows, rounds=50):
+    """The label model row by row: rows are (firing voters, label or -1); the posterior of each and the prior."""
+    n = toxicity.VOTERS
+    start = lambda fired, label: float(label) if label >= 0 else 0.9 if len(fired) >= 2 else 0.3 if fired else 0.02
+    posterior, prior = [start(f, y) for f, y in rows], 0.1
+    for _ in range(rounds):
+        mass = {1: sum(posterior), 0: sum(1 - p for p in posterior)}
+        prior = (mass[1] + 1) / (len(rows) + 10)
+        share = {k: [(sum(p if k else 1 - p for (f, _), p in zip(rows, posterior, strict=True) if v in f) + 0.5) / (mass[k] + (1 if k else 5)) for v in range(n)] for k in (0, 1)}
+        linked = [[0.0] * n for _ in range(n)]
+        for k in (0, 1):
+            moment = [[0.0] * n for _ in range(n)]
+            for (f, _), p in zip(rows, posterior, strict=True):
+                off = [(v in f) - share[k][v] for v in range(n)]
+                for a in range(n):
+                    for b in range(n):
+                        moment[a][b] += (p if k else 1 - p) * off[a] * off[b] / max(mass[k], 1)
+            for a in range(n):
+                for b in range(n):
+                    if a != b:
+                        spread = math.sqrt(max(moment[a][a], 1e-9) * max(moment[b][b], 1e-9))
+                        linked[a][b] += min(1, max(0, moment[a][b] / spread)) / 2
+        weight = [1 / (1 + sum(x)) for x in linked]
+        new = []
+        for f, y in rows:
+            odds = math.log(prior / (1 - prior))
+            for v in range(n):
+                odds += weight[v] * math.log(share[1][v] / share[0][v] if v in f else (1 - share[1][v]) / (1 - share[0][v]))
+            new.append(float(y) if y >= 0 else 1 / (1 + math.exp(-odds)))
+        done = max(abs(a - b) for a, b in zip(new, posterior, strict=True)) < 1e-6
+        posterior = new
+        if done:
+            break
+    return prior, share, weight, posterior
+
+
+def test_label_model_against_a_plain_version():
+    rng = random.Random(10)
+    rows = []
+    for k in range(160):
+        toxic = rng.random() < 0.25
+        fired = frozenset(v for v in range(toxicity.VOTERS) if rng.random() < ((0.6 if v < 6 else 0.3) if toxic else 0.05))
+        rows.append((fired | {1} if 0 in fired else fired, int(toxic) if k % 4 == 0 else -1))  # voter 1 follows voter 0
+    seen = Counter((sum(1 << v for v in f), y) for f, y in rows)
+    patterns, labels = (np.array([x[k] for x in seen], np.int64) for k in (0, 1))
+    prior, fires, weights = toxicity.label_model(patterns, np.array([*seen.values()], np.int64), labels, rounds=12)
+    want = plain_label_model(rows, rounds=12)
+    assert math.isclose(prior, want[0], rel_tol=1e-6)
+    assert np.allclose(fires.T, [want[1][0], want[1][1]], rtol=1e-6) and np.allclose(weights, want[2], rtol=1e-6)
+    assert weights[:2].max() < 0.95 * weights[2:6].mean()  # voters that go together count for less
+    learnt = toxicity.fit_linear(toxicity.features(patterns), np.full(len(patterns), 0.5), np.ones(len(patterns)))
+    assert np.abs(learnt).max() < 1e-6
+
+
+def test_unlabelled_documents_shape_the_classifier(spark):
+    rows = [(i, f"tree house {'grumbo snarfle' if i % 5 == 0 else 'river stone'} cloud {i}") for i in range(300)]
+    labels = spark.createDataFrame([(i, [int(i % 5 == 0), 2][i % 11 == 0]) for i in range(300)], "doc_id long, toxic int")  # 2 is no label
+    more = [(1000 + i, f"tree grumbo cloud {i}") for i in range(2000)]
+    few, many = (toxicity.fit(spark.createDataFrame(r, "doc_id long, text string"), labels) for r in (rows, rows + more))
+    assert few.words == many.words and np.abs(few.linear - many.linear).max() > 0.05
+
+
+def test_clashing_columns_and_empty_inputs_of_toxicity(spark, docs):
+    model = toxicity.fit(docs, spark.createDataFrame([(5, 1), (3, 0)], "doc_id long, toxic int"))
+    clash = docs.select("doc_id", "text").selectExpr("*", "'x' AS TOXIC_SCORE", "1 AS toxic")
+    assert toxicity.score(clash, model).columns == ["doc_id", "text", "toxic", "toxic_score"]
+
+
 def test_phrase_fingerprint(docs, empty, spark):
     got = phrase_fingerprint.fingerprint_neighbours(docs, block_chars=1).collect()
     order = sorted(((i, t or "") for i, t, *_ in ROWS), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
