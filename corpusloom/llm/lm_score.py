@@ -30,7 +30,7 @@ from corpusloom.llm import common
 from corpusloom.llm.words import mix
 
 #: Characters in a block at least, unless a task has fewer; blocks that a group takes, as a power of two.
-BLOCK_CHARS, FANOUT_BITS = 8_000_000, 10
+BLOCK_CHARS, FANOUT_BITS = 6_000_000, 10
 #: Strength of the prior in states of one and of two words, in tokens.
 PRIOR, PAIR_PRIOR = 100.0, 20.0
 _END = b"\n"  # token 0; no word has white space
