@@ -100,6 +100,11 @@ def depth(ids: Column, left: int, right: int) -> Column:
     return F.size(F.filter(ids, lambda x: x == left)) - F.size(F.filter(ids, lambda x: x == right))
 
 
+def text_depth(text: Column, left: str, right: str) -> Column:
+    """depth of a text's own characters, counted without an array of them."""
+    return F.length(F.replace(text, F.lit(right), F.lit(""))) - F.length(F.replace(text, F.lit(left), F.lit("")))
+
+
 _INTS = ArrayType(IntegerType())
 
 

@@ -32,7 +32,7 @@ def greedy_tokens(spark, sf_dir):
 @register("word_vocabulary", f"SELECT token, row_number() OVER (ORDER BY encode(token)) AS \"index\" FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '{_GREEDY}')) AS token FROM documents)")
 def word_vocabulary(spark, sf_dir):
     """Observed tokens in order; the vocabulary is small, the corpus isn't."""
-    seen = t(spark, sf_dir, "documents").select(F.explode(tk.greedy_tokens(F.col("text"), WORDS)).alias("token")).distinct()
+    seen = t(spark, sf_dir, "documents").select(F.explode(F.array_distinct(tk.greedy_tokens(F.col("text"), WORDS))).alias("token")).distinct()
     return seen.select("token", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("token")).cast("long").alias("index"))
 
 
@@ -130,8 +130,7 @@ def feature_value_tokens(spark, sf_dir):
 @register("token_depth", r"SELECT doc_id, (length(text) - length(replace(text, 'a', ''))) - (length(text) - length(replace(text, 'e', ''))) AS depth FROM documents")
 def token_depth(spark, sf_dir):
     """Left less right tokens ('a' and 'e' for braces)."""
-    chars = F.transform(F.split("text", ""), lambda c: F.ascii(c))
-    return t(spark, sf_dir, "documents").select("doc_id", tk.depth(chars, ord("a"), ord("e")).cast("long").alias("depth"))
+    return t(spark, sf_dir, "documents").select("doc_id", tk.text_depth(F.col("text"), "a", "e").cast("long").alias("depth"))
 
 
 @register("duplicated_instances", "SELECT doc_id, r.i AS copy FROM documents CROSS JOIN range(1, 4) r(i)")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 import tarfile
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from corpusloom.sources.shared import shared_path
+
 #: What stands for a file that is no valid UTF-8.
 UNREADABLE = "/*unreadable*/"
 
@@ -24,19 +25,21 @@ def source_files(spark: SparkSession, path: str, endings: tuple[str, ...] = (".c
 
 
 def archive_files(spark: SparkSession, archive: str, folder: str | None = None, endings: tuple[str, ...] = (".c", ".cl")) -> DataFrame:
-    """source_files of a tar archive, unpacked on the driver into ``folder``.
-
-    On a cluster ``folder`` must be one that all executors see; a temporary folder serves one machine."""
-    folder = folder or tempfile.mkdtemp(prefix="corpusloom-archive-")
+    """source_files of a tar archive, unpacked on the driver into ``folder``, which all executors must see;
+    by default a new one in the shared folder, if that is a mounted one."""
+    folder = folder or shared_path(spark, "archive").removeprefix("file://")
+    if "://" in folder:
+        raise ValueError(f"{folder} is no mounted folder; name one that all executors see")
     with tarfile.open(archive) as tar:
         tar.extractall(folder, filter="data")
     return source_files(spark, f"file://{os.path.abspath(folder)}", endings)
 
 
-def corpus_root(spark: SparkSession, root: str) -> DataFrame:
-    """Files of a folder, a tar archive, a SQLite database (table files) or a Parquet table, by what the root is."""
+def corpus_root(spark: SparkSession, root: str, folder: str | None = None) -> DataFrame:
+    """Files of a folder, a tar archive, a SQLite database (table files) or a Parquet table, by what the root is;
+    ``folder``: where an archive is unpacked."""
     if root.endswith((".tar", ".tar.gz", ".tar.bz2", ".tgz")):
-        return archive_files(spark, root)
+        return archive_files(spark, root, folder)
     if root.endswith((".db", ".sqlite")):
         return sqlite_table(spark, root, "SELECT * FROM files", "path string, text string")
     if root.endswith(".parquet"):
@@ -106,7 +109,9 @@ class SQLiteSource(DataSource):
         return _SQLiteReader(dict(self.options))
 
 
-def sqlite_table(spark: SparkSession, path: str, query: str, columns: str, rows: int = 100_000, order: str = "1") -> DataFrame:
+def sqlite_table(spark: SparkSession, path: str, query: str, columns: str, rows: int = 100_000, order: str | None = None) -> DataFrame:
+    """Rows of a query in partitions of ``rows``, by default in the order of all columns: only equal rows tie."""
+    order = order or ", ".join(str(k + 1) for k in range(len(StructType.fromDDL(columns))))
     spark.dataSource.register(SQLiteSource)
     return spark.read.format("corpusloom_sqlite").options(path=os.path.expandvars(path).removeprefix("file://"), query=query, columns=columns, rows=rows, order=order).load()
 
@@ -116,3 +121,18 @@ def database(spark: SparkSession, url: str, table: str) -> DataFrame:
     if not url.startswith("jdbc:"):
         raise ValueError(f"no source for {url}")
     return spark.read.format("jdbc").option("url", url).option("dbtable", table).load()
+
+
+def telemetry(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a training log: the JSON lines of ``*.json``; of a folder without them the ``key: value`` lines of
+    ``*.pbtxt`` (path, step: number of the line, key, value); an error where there are neither."""
+    from pyspark.errors import AnalysisException
+
+    files = lambda pattern, kind: spark.read.format(kind).option("pathGlobFilter", pattern).load(path)
+    if not files("*.json", "binaryFile").select("path").isEmpty():
+        return files("*.json", "json")
+    lines = spark.read.option("pathGlobFilter", "*.pbtxt").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("step", "line"))
+    rows = lines.select("path", F.col("step").cast("long").alias("step"), F.regexp_extract("line", r"^\s*(\w+):", 1).alias("key"), F.trim(F.regexp_extract("line", r"^\s*\w+:(.*)$", 1)).alias("value")).where("key <> ''")
+    if rows.isEmpty():
+        raise AnalysisException(f"no telemetry in {path}")
+    return rows

@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where that isn't set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-")
+    """A new folder below spark.checkpoint.dir; a temporary one only on one machine where that isn't set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="corpusloom-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.dedup import insert_absent
+
 FORMATS = {"json": ("json", {}), "jsonzip": ("json", {"compression": "gzip"}), "sql": ("parquet", {}), "csv": ("csv", {"header": "true"}), "parquet": ("parquet", {})}
 
 
@@ -71,6 +73,6 @@ def split_valid(df: DataFrame, good: Column) -> tuple[DataFrame, DataFrame]:
 
 
 def append_absent(new: DataFrame, path: str, key: str) -> None:
-    """Appends the rows whose key a Parquet table lacks."""
-    old = new.sparkSession.read.parquet(path).select(key)
-    new.dropDuplicates([key]).join(old, key, "left_anti").write.mode("append").parquet(path)
+    """Appends the rows whose key a Parquet table lacks; of rows with one key the least."""
+    old = new.sparkSession.read.parquet(path)
+    insert_absent(old, new, key, [c for c in new.columns if c != key]).write.mode("append").parquet(path)

@@ -76,3 +76,15 @@ def test_stream_routes_good_and_bad_rows(spark, tmp_path):
     seen = []
     streams.observe(streams.file_stream(spark, f"file://{tmp_path}/in", df.schema), [lambda b, n: seen.append(b.count()) or True], f"file://{tmp_path}/state2").awaitTermination()
     assert sum(seen) == 3
+
+
+def test_telemetry_falls_back(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    with pytest.raises(AnalysisException):
+        readers.telemetry(spark, f"file://{tmp_path}").count()
+    (tmp_path / "a.pbtxt").write_text("loss: 0.5\n  step: 3\n}\n")
+    got = readers.telemetry(spark, f"file://{tmp_path}").select("step", "key", "value").collect()
+    assert sorted(map(tuple, got)) == [(0, "loss", "0.5"), (1, "step", "3")]
+    (tmp_path / "b.json").write_text('{"loss": 0.25}\n')
+    assert [r.loss for r in readers.telemetry(spark, f"file://{tmp_path}").collect()] == [0.25]
