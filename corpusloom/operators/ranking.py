@@ -34,19 +34,36 @@ def batches(df: DataFrame, order: list, size: int, start: int = 0) -> DataFrame:
     return numbered.where(F.col("row_num") >= start).withColumns({"batch_num": F.floor(at / size) + 1, "offset": offset.cast("long"), "limit": (offset + size).cast("long"), "max_rows": F.lit(total).cast("long")})
 
 
+def _sorted_once(df: DataFrame, order: list) -> DataFrame:
+    """Rows in sorted range partitions, written once, with each row's partition and place in it."""
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    return saver(df.sparkSession, "sorted")(ordered.withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND((1 << 33) - 1)}))
+
+
+def _with_before(rows: DataFrame, sums: DataFrame) -> DataFrame:
+    """Adds _before: the sum of _n (sums: _part, _n; a row for each partition of a sort) over the partitions before."""
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(F.broadcast(sums.select("_part", before.alias("_before"))), "_part")
+
+
 def numbered_rows(df: DataFrame, order: list, column: str = "row_num") -> DataFrame:
     """Rows numbered from 0 in a total order, without a window over all rows.
 
-    The sorted partitions are written once to the shared folder with each row's partition and place in
-    it, so one partitioning gives both the counts (a row for each partition) and the numbers. An empty
-    table gives an empty table; equal rows get numbers of their own; a column named ``column`` is replaced."""
-    at = F.monotonically_increasing_id()
-    ordered = df.drop(column).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_numbered_at", at)
-    held = saver(df.sparkSession, "numbered")(ordered.withColumns({"_numbered_part": F.shiftright("_numbered_at", 33), "_numbered_at": F.col("_numbered_at").bitwiseAND((1 << 33) - 1)}))
-    counts = held.groupBy("_numbered_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_numbered_part", F.coalesce(F.sum("_n").over(Window.orderBy("_numbered_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_numbered_before"))
-    # a row for each partition of a sort
-    return held.join(F.broadcast(before), "_numbered_part").withColumn(column, F.col("_numbered_at") + F.col("_numbered_before")).drop("_numbered_part", "_numbered_at", "_numbered_before")
+    One written partitioning gives both the counts and the numbers. An empty table gives an empty table;
+    equal rows get numbers of their own; columns named ``column``, _part, _at, _n and _before are replaced."""
+    held = _sorted_once(df.drop(column), order)
+    counts = held.groupBy("_part").agg(F.count("*").alias("_n"))
+    return _with_before(held, counts).withColumn(column, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+
+
+def running_sums(df: DataFrame, order: list, value: str, column: str = "before") -> DataFrame:
+    """The sum of ``value`` over the rows before each row in a total order; a task sees one range of the
+    order. Nulls add nothing; other rules as in numbered_rows."""
+    held = _sorted_once(df.drop(column), order)
+    sums = held.groupBy("_part").agg(F.coalesce(F.sum(value), F.lit(0)).alias("_n"))
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    local = held.withColumn(column, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return _with_before(local, sums).withColumn(column, F.col(column) + F.col("_before")).drop("_part", "_at", "_before")
 
 
 def greedy_one_to_one(pairs: DataFrame, left: str = "a", right: str = "b", dist: str = "dist") -> DataFrame:

@@ -17,6 +17,18 @@ def feed_queue(scored: DataFrame, targets: DataFrame, width: int) -> DataFrame:
     return targets.select("target").distinct().join(best, "target", "left").withColumn("score", F.coalesce("score", F.lit(float("inf"))))
 
 
+def closure(edges: DataFrame, roots: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(root, node) for all nodes that edges (a, b) lead to from each root, on any graph: a round takes one
+    step from what the last one found and drops what was reached before. Null ends lead nowhere."""
+    step = edges.where("a is not null and b is not null").select("a", F.col("b").alias("next")).distinct()
+    found = new = save(roots.select("root").distinct().join(step, F.col("root") == F.col("a")).select("root", F.col("next").alias("node")))
+    while not new.isEmpty():
+        fresh = new.join(step, F.col("node") == F.col("a")).select("root", F.col("next").alias("node")).distinct()
+        new = save(fresh.join(found, ["root", "node"], "left_anti"))
+        found = found.unionByName(new)
+    return found
+
+
 def mutation_beam(feeds: DataFrame, mutate: Callable[[DataFrame], DataFrame], width: int, depth: int, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(target, node, score, generation) of the last beam of each target.
 

@@ -369,6 +369,18 @@ def feed_queue(spark, sf_dir):
     return search.feed_queue(far.select(F.col("target_id").alias("target"), "node", F.col("dist").alias("score")), targets.select(F.col("target_id").alias("target")), 4).select("target", "node", "score")
 
 
+@register("whole_include_closure", """
+WITH RECURSIVE e AS (SELECT page_id AS a, page_id // 2 AS b FROM pages UNION SELECT page_id, page_id // 3 FROM pages UNION SELECT 0, 1), c(root, node) AS (SELECT a, b FROM e UNION SELECT c.root, e.b FROM c JOIN e ON c.node = e.a)
+SELECT root, count(*) AS reached FROM c GROUP BY root""")
+def whole_include_closure(spark, sf_dir):
+    """All pages that each page includes (page i its halves and thirds; 0 and 1 each other), from every root."""
+    from corpusloom.sources.shared import saver
+
+    p = t(spark, sf_dir, "pages").select(F.col("page_id").alias("a"))
+    edges = p.select("a", F.explode(F.array(F.floor(F.col("a") / 2), F.floor(F.col("a") / 3))).alias("b")).unionByName(spark.createDataFrame([(0, 1)], "a long, b long"))
+    return search.closure(edges, p.select(F.col("a").alias("root")), saver(spark, "closure")).groupBy("root").agg(F.count("*").alias("reached"))
+
+
 @register("mutation_beam")
 def mutation_beam(spark, sf_dir):
     """A beam of width 3 over mutants for every twentieth document (node i leads to 3 i + 1, 2 and 5), while it gets better."""

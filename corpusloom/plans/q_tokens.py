@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import tokens as tk
+from corpusloom.operators import ranking
 from corpusloom.plans.catalog import register
 from corpusloom.plans.q_relational import t
 
@@ -143,8 +144,9 @@ WITH s AS (SELECT doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER
 SELECT source, floor((lo + n_chars - 1) / 4096)::BIGINT AS last_window, doc_id, floor(lo / 4096)::BIGINT AS first_window FROM s""")
 def statement_windows(spark, sf_dir):
     """Which fixed-length windows of a source's concatenated text a document lies in."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    d = t(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", (F.sum("n_chars").over(w) - F.col("n_chars")).alias("lo"))
+    rows = ranking.running_sums(t(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), [F.col("source"), F.col("doc_id")], "n_chars")
+    first = rows.groupBy("source").agg(F.min("before").alias("first"))
+    d = rows.join(F.broadcast(first), "source").withColumn("lo", F.col("before") - F.col("first"))  # a row for each source
     return d.select("source", F.floor((F.col("lo") + F.col("n_chars") - 1) / 4096).alias("last_window"), "doc_id", F.floor(F.col("lo") / 4096).alias("first_window"))
 
 

@@ -154,3 +154,10 @@ def test_comments_go_and_literals_stay(spark):
     cases = {"a /* x */ b": "a   b", "a // x\nb": "a  \nb", "'//' \"/* */\" /**/": "'//' \"/* */\"  ", "\"a\\\"//b\" // c": "\"a\\\"//b\"  ", "a / b 'open": "a / b 'open", "/* open": "/* open", "": "", "x" * 100_000 + "//" + "y" * 100_000: "x" * 100_000 + " ", "'" + "a\\'" * 50_000 + "'": "'" + "a\\'" * 50_000 + "'"}
     df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string")
     assert [r.s for r in df.select(tx.strip_comments(F.col("t")).alias("s")).collect()] == [*cases.values(), None]
+
+
+def test_running_sums(spark):
+    rng = random.Random(1)
+    rows = [(k, rng.choice([None, 0, 3, 10]), "p") for k in range(500)]
+    got = {r.k: r.before for r in ranking.running_sums(spark.createDataFrame(rows, "k long, v long, p string").repartition(3), [F.col("k")], "v").collect()}
+    assert got == {k: sum(v or 0 for _, v, _ in rows[:k]) for k, _, _ in rows}

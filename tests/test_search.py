@@ -37,3 +37,13 @@ def test_feed_queue_of_targets_without_samples(spark):
     scored = spark.createDataFrame([(1, 7, 0.5), (1, 8, 0.25), (1, 9, 0.5), (1, None, 0.0)], "target long, node long, score double")
     got = search.feed_queue(scored, spark.createDataFrame([(1,), (2,), (2,)], "target long"), 2).collect()
     assert sorted((r.target, r.node or -1, r.score) for r in got) == [(1, 7, 0.5), (1, 8, 0.25), (2, -1, math.inf)]
+
+
+def test_closure_of_a_graph_with_cycles(spark):
+    from corpusloom.sources.shared import saver
+
+    edges = [(1, 2), (2, 3), (3, 2), (4, 4), (5, None), (None, 1), (6, 1), (1, 2)]
+    roots = spark.createDataFrame([(k,) for k in (1, 3, 4, 5, 6, 7)], "root long")
+    got = search.closure(spark.createDataFrame(edges, "a long, b long"), roots, saver(spark, "closure")).collect()
+    want = {1: {2, 3}, 3: {2, 3}, 4: {4}, 6: {1, 2, 3}}
+    assert sorted((r.root, r.node) for r in got) == sorted((k, v) for k, vs in want.items() for v in vs)
