@@ -18,10 +18,12 @@ MASK64 = (1 << 64) - 1
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors see.
 
-    Only where the setting is absent (tests on one machine) a temporary folder takes its place."""
+    Only where the setting is absent on one machine (tests) a temporary folder takes its place."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext.getCheckpointDir()
+        if not held and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = held or tempfile.mkdtemp(prefix="corpusloom-")
         if not held:
             spark.sparkContext.setCheckpointDir(base)
