@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,15 @@ def greedy_tokens(text: Column, tokens: list[str]) -> Column:
     return F.regexp_extract_all(text, F.lit(greedy_pattern(tokens)), F.lit(0))
 
 
+def tokenizer(kind: str, tokens: list[str] | None = None) -> Callable[[Column], Column]:
+    """The tokenizer of a name: character, or word with its list of tokens (others are external programs)."""
+    if kind == "character":
+        return lambda text: F.filter(F.split(text, ""), lambda c: c != "")
+    if kind == "word" and tokens:
+        return lambda text: greedy_tokens(text, tokens)
+    raise ValueError(f"no tokenizer {kind}; there are character, and word with tokens")
+
+
 def encoded(tokens: Column, vocabulary: Column) -> Column:
     """Ids by a map from token to id; null for what isn't in it."""
     return F.transform(tokens, lambda x: vocabulary[x])

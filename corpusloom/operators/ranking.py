@@ -9,14 +9,24 @@ from pyspark.sql import functions as F
 
 from corpusloom.sources.shared import saver
 
-#: Targets that are sent to every task at most; more are joined without a broadcast.
-MAX_BROADCAST_TARGETS = 10_000
+#: Targets, and characters of them as JSON, that are sent to every task at once.
+MAX_BROADCAST_TARGETS, MAX_BROADCAST_CHARS = 10_000, 64_000_000
 
 
 def target_distances(targets: DataFrame, samples: DataFrame, distance: Callable[[Column, Column], Column]) -> DataFrame:
-    """Every sample's distance to every target (targets: target_id, target; samples: ..., features)."""
-    few = targets.limit(MAX_BROADCAST_TARGETS + 1).count() <= MAX_BROADCAST_TARGETS
-    return samples.crossJoin(F.broadcast(targets) if few else targets).withColumn("dist", distance(F.col("target"), F.col("features")))
+    """Every sample's distance to every target (targets: target_id, target; samples: ..., features).
+
+    The targets are the stated query set: they are broadcast in blocks of bounded rows and bytes, each
+    of which is one pass over the samples, which aren't shuffled."""
+    rows, chars = targets.agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct("target")))), F.lit(0))).first()
+    n = max(1, -(-rows // MAX_BROADCAST_TARGETS), -(-chars // MAX_BROADCAST_CHARS))
+    numbered = numbered_rows(targets, [F.col("target_id")], "_block") if n > 1 else targets
+    found = None
+    for k in range(n):
+        block = numbered.where(F.col("_block") % n == k).drop("_block") if n > 1 else targets
+        part = samples.crossJoin(F.broadcast(block))
+        found = part if found is None else found.unionByName(part)
+    return found.withColumn("dist", distance(F.col("target"), F.col("features")))
 
 
 def top_k(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:

@@ -161,3 +161,19 @@ def test_running_sums(spark):
     rows = [(k, rng.choice([None, 0, 3, 10]), "p") for k in range(500)]
     got = {r.k: r.before for r in ranking.running_sums(spark.createDataFrame(rows, "k long, v long, p string").repartition(3), [F.col("k")], "v").collect()}
     assert got == {k: sum(v or 0 for _, v, _ in rows[:k]) for k, _, _ in rows}
+
+
+def test_targets_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "MAX_BROADCAST_TARGETS", 3)
+    targets = spark.createDataFrame([(k, float(k)) for k in range(10)], "target_id long, target double")
+    samples = spark.createDataFrame([(k, k / 2) for k in range(7)], "node long, features double")
+    got = ranking.target_distances(targets, samples, lambda a, b: F.abs(a - b))
+    assert sorted((r.target_id, r.node, r.dist) for r in got.collect()) == sorted((a, b, abs(a - b / 2)) for a in range(10) for b in range(7))
+    assert "CartesianProduct" not in got._jdf.queryExecution().toString()
+
+
+def test_tokenizers_by_name(spark):
+    assert one(spark, tk.tokenizer("character")(F.col("t")), t="ab c") == ["a", "b", " ", "c"]
+    assert one(spark, tk.tokenizer("word", ["ab", "abc"])(F.col("t")), t="xabcab") == ["x", "abc", "ab"]
+    with pytest.raises(ValueError):
+        tk.tokenizer("ast")
