@@ -113,6 +113,35 @@ def successful_texts_json(spark, sf_dir):
     return kept.select("doc_id", F.md5(F.to_json(F.struct("text")).cast("binary")).alias("line"))
 
 
+@register("chunk_of_every_row", """
+WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source), s AS (SELECT source, n, sum(n) OVER (ORDER BY source) - n AS lo FROM c)
+SELECT doc_id, source, (lo + row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::BIGINT AS idx, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS inside FROM documents JOIN s USING (source)""")
+def chunk_of_every_row(spark, sf_dir):
+    """The global index of every row, its chunk, and its place in the chunk."""
+    rows = ranking.numbered_rows(t(spark, sf_dir, "documents").select("doc_id", "source"), [F.col("source"), F.col("doc_id")], "idx")
+    first = rows.groupBy("source").agg(F.min("idx").alias("first"))  # a row for each chunk
+    return rows.join(F.broadcast(first), "source").select("doc_id", "source", "idx", (F.col("idx") - F.col("first")).alias("inside"))
+
+
+@register("done_in_every_result", """
+WITH d AS (SELECT unnest(string_split(text, ' ')) AS name FROM conversations WHERE role = 'user') SELECT p_partkey, p_name FROM part WHERE string_split(p_name, ' ')[1] NOT IN (SELECT name FROM d)""")
+def done_in_every_result(spark, sf_dir):
+    """Targets that no results row names: all rows of results, split into names, against all targets."""
+    done = t(spark, sf_dir, "conversations").where("role = 'user'").select(F.explode(F.split("text", " ")).alias("name")).distinct()
+    p = t(spark, sf_dir, "part").select("p_partkey", "p_name", F.split("p_name", " ")[0].alias("name"))
+    return p.join(done, "name", "left_anti").select("p_partkey", "p_name")
+
+
+@register("whole_expected_error", """
+SELECT vec_id, list_sum(list_transform(range(1, len(embedding) // 2 + 1), lambda i: abs(embedding[i]::DOUBLE) * abs(embedding[i + len(embedding) // 2]::DOUBLE)))::DECIMAL(18, 4)::VARCHAR AS expected_error FROM embeddings""")
+def whole_expected_error(spark, sf_dir):
+    """Sum over labels of posterior times loss; the first half of the components and the second stand for them."""
+    half = F.floor(F.size("embedding") / 2).cast("int")
+    part = lambda at: F.transform(F.slice("embedding", at, half), lambda x: F.abs(x.cast("double")))
+    total = F.aggregate(F.zip_with(part(F.lit(1)), part(half + 1), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return t(spark, sf_dir, "embeddings").select("vec_id", total.cast("decimal(18,4)").cast("string").alias("expected_error"))
+
+
 # candidate extracts
 
 
