@@ -134,7 +134,8 @@ def encode_texts(docs: DataFrame, model_file: str | None = None, text_col: str =
     little-endian 32-bit integers), decoded_sha256 and round_trip (decoding the ids gives the text).
 
     A null text is empty: no ids. A written U+2581 means a space to the model and decodes to one, so
-    its round_trip is false. Columns of those names are replaced. Rows are independent of each other."""
+    its round_trip is false. Columns of those names are replaced. Rows are independent of each other,
+    repeated ones too; a long text is encoded whole. An empty table gives an empty table."""
     path = model_file or model_path()
     kept = common.fields_without(docs, [n for n, _ in NEW])
     out = T.StructType([*kept, *(T.StructField(*x) for x in NEW)])

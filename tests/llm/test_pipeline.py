@@ -68,3 +68,13 @@ def test_stages_keep_the_columns_of_documents(spark, planted):
         assert out.dtypes == docs.dtypes
         assert stage(spark, docs.limit(0), path).count() == 0
     assert set(docs.columns) < set(piece_codec.encode_texts(docs).columns)
+
+
+def test_empty_benchmark_and_labels(spark, planted, tmp_path):
+    path, rows, _ = planted
+    for name in ("documents", "benchmark", "labels"):
+        table = spark.read.parquet(f"{path}/{name}.parquet")
+        (table if name == "documents" else table.limit(0)).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    assert corpus_pipeline.drop_benchmark(spark, docs, f"file://{tmp_path}").count() == len(rows)
+    assert corpus_pipeline.drop_toxic(spark, docs, f"file://{tmp_path}").columns == docs.columns

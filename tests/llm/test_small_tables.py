@@ -554,6 +554,17 @@ def test_piece_codec(docs, empty):
     assert len(got) == len(ROWS) and piece_codec.encode_texts(empty).count() == 0
 
 
+def test_clashing_columns_and_ties(docs, spark):
+    from pyspark.sql import functions as F
+
+    clash = docs.select("doc_id", "text", F.lit("x").alias("Token_IDs"), F.lit(1).alias("train"), F.lit(2).alias("block"))
+    assert piece_codec.encode_texts(clash).columns == ["doc_id", "text", "train", "block", *(n for n, _ in piece_codec.NEW)]
+    assert lm_score.lm_scores(clash, F.lit(True)).count() == len(ROWS) == token_counts.count_tokens(clash).count()
+    assert phrase_fingerprint.fingerprint_neighbours(clash).count() == len(ROWS)
+    tied = spark.createDataFrame([("b a b a",), ("c c a b",)], "text string")
+    assert token_counts.frequent_chunks(tied, most=2) == [" a", " b"]  # ties by chunk
+
+
 def test_piece_codec_equals_the_library_on_random_texts():
     import sentencepiece
 
