@@ -1,4 +1,9 @@
-"""Documents to token ids in five stages; each is written as Parquet and read again by the next."""
+"""Documents to token ids in five stages; each is written as Parquet and read again by the next.
+
+Every stage but the last returns the columns of its documents and no others, in their order. Extra columns
+of any name pass through, but for the names that a stage's operator adds (its docstring names them), which
+must not be among them. Null and empty texts stay rows; repeated rows are rows of their own unless a stage
+says otherwise; empty tables of documents, labels or benchmark items are fine."""
 
 from __future__ import annotations
 
@@ -9,24 +14,25 @@ from corpusloom.llm import common, decontaminate, line_dedup, near_dedup, piece_
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.7. A null text scores as an empty one."""
+    """Documents that score below 0.7 (a score of 0.7 goes). A null text scores as an empty one."""
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).where("toxic_score < 0.7").select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that a document of smaller id holds; n_chars follows the text."""
+    """All documents, without lines that a document of smaller id holds; n_chars follows the text. Rows of one
+    id count as one document, a null id takes no part, a null text becomes empty."""
     return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each near-duplicate class; rows with a null id stay."""
+    """The document of least id of each near-duplicate class, with all rows of that id; rows with a null id stay."""
     gone = near_dedup.near_duplicates(docs).where("doc_id <> class_id").select("doc_id")
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of a benchmark item."""
+    """Documents without a passage of a benchmark item, each row by itself; null and empty texts stay."""
     return decontaminate.without_benchmark(docs, common.table(spark, sf_dir, "benchmark"))
 
 
