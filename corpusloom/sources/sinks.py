@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import io
+import os
+import uuid
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from corpusloom.operators.dedup import insert_absent
 
@@ -56,14 +59,59 @@ def zipped(df: DataFrame, files: int = 1000) -> DataFrame:
     return df.select("path", "text").mapInArrow(packed, "part int, number int, archive binary")
 
 
+class _FilesWriter(DataSourceWriter):
+    """Each row (path, content) as a file below a folder; a file appears whole, by one rename, and a task
+    that runs again writes the same files again."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def write(self, iterator) -> WriterCommitMessage:
+        for path, content in iterator:
+            full = os.path.normpath(os.path.join(self.folder, path))
+            if not full.startswith(self.folder.rstrip("/") + "/"):
+                raise ValueError(f"{path} is not below {self.folder}")
+            os.makedirs(os.path.dirname(full), exist_ok=True)
+            temporary = f"{full}.{uuid.uuid4().hex}.tmp"
+            with open(temporary, "wb") as f:
+                f.write(content or b"")
+            os.replace(temporary, full)
+        return WriterCommitMessage()
+
+    def commit(self, messages) -> None:
+        os.makedirs(self.folder, exist_ok=True)
+        open(os.path.join(self.folder, "_SUCCESS"), "wb").close()
+
+
+class FilesSink(DataSource):
+    """Files in a mounted folder that all executors see."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "corpusloom_files"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _FilesWriter(self.options["path"])
+
+
+def _write_files(df: DataFrame, path: str) -> None:
+    folder = path.removeprefix("file://")
+    if "://" in folder:
+        raise ValueError(f"{path} is no mounted folder")
+    df.sparkSession.dataSource.register(FilesSink)
+    df.write.format("corpusloom_files").mode("append").option("path", os.path.abspath(folder)).save()
+
+
 def write_zip(df: DataFrame, path: str, files: int = 1000) -> None:
-    """Archives as a Parquet table of binaries, which every file system takes and Spark commits as a whole."""
-    zipped(df, files).write.parquet(path)
+    """Rows (path, text) in zip files of ``files`` members at most, in a mounted folder."""
+    name = F.format_string("part-%05d-%05d.zip", "part", "number")
+    _write_files(zipped(df, files).select(name.alias("path"), F.col("archive").alias("content")), path)
 
 
 def write_folder(df: DataFrame, path: str) -> None:
-    """One text file for each row, in a folder for each name (Spark's own writer and commit)."""
-    df.select(F.col("path").alias("file"), "text").repartition("file").write.partitionBy("file").option("lineSep", "\x00").text(path)
+    """Each row (path, text) as a file of exactly its text, in a mounted folder; of rows with one path one stays,
+    a null text is an empty file, a null path an error."""
+    _write_files(df.select("path", F.coalesce("text", F.lit("")).cast("binary").alias("content")), path)
 
 
 def split_valid(df: DataFrame, good: Column) -> tuple[DataFrame, DataFrame]:

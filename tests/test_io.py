@@ -58,8 +58,14 @@ def test_zip_folder_and_append(spark, tmp_path):
         with zipfile.ZipFile(io.BytesIO(r.archive)) as z:
             found |= {n: z.read(n).decode() for n in z.namelist()}
     assert found == {"a": "x\ny", "b": "é", "c": ""}
-    sinks.write_folder(df.where("text is not null"), f"file://{tmp_path}/f")
-    assert (next((tmp_path / "f" / "file=a").glob("part-*"))).read_text().rstrip("\x00") == "x\ny"
+    sinks.write(df.union(spark.createDataFrame([("d/e.c", "z\n")], df.schema)), f"file://{tmp_path}/f", "folder")
+    written = {str(p.relative_to(tmp_path / "f")): p.read_bytes().decode() for p in (tmp_path / "f").rglob("*") if p.is_file()}
+    assert written == {"a": "x\ny", "b": "é", "c": "", "d/e.c": "z\n", "_SUCCESS": ""}
+    sinks.write(df, f"file://{tmp_path}/z", "zip")
+    with zipfile.ZipFile(next((tmp_path / "z").glob("*.zip"))) as z:
+        assert {n: z.read(n).decode() for n in z.namelist()} == found
+    with pytest.raises(Exception, match="not below"):
+        sinks.write_folder(spark.createDataFrame([("../x", "y")], df.schema), f"file://{tmp_path}/f")
     df.write.parquet(f"file://{tmp_path}/p")
     sinks.append_absent(spark.createDataFrame([("a", "no"), ("d", "z"), ("d", "z")], "path string, text string"), f"file://{tmp_path}/p", "path")
     assert sorted(r.path for r in spark.read.parquet(f"file://{tmp_path}/p").collect()) == ["a", "b", "c", "d"]
