@@ -179,6 +179,17 @@ def greedy_one_to_one(spark, sf_dir):
     return ranking.greedy_one_to_one(d)
 
 
+@register("growing_one_to_one", _GROWING(_PAIRS).replace("WITH v", "WITH RECURSIVE v", 1) + """, q AS (SELECT target_id, vec_id, round(dist, 6) AS dist FROM pairs), t AS (SELECT target_id, row_number() OVER (ORDER BY target_id) AS n FROM (SELECT DISTINCT target_id FROM q)),
+g AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS taken, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::DOUBLE AS dist
+UNION ALL SELECT g.n + 1, list_append(any_value(g.taken), arg_min(q.vec_id, (q.dist, q.vec_id))), any_value(q.target_id), arg_min(q.vec_id, (q.dist, q.vec_id)), min(q.dist) FROM g JOIN t ON t.n = g.n + 1 JOIN q ON q.target_id = t.target_id WHERE NOT list_contains(g.taken, q.vec_id) GROUP BY g.n)
+SELECT a, b, dist FROM g WHERE a IS NOT NULL""")
+def growing_one_to_one(spark, sf_dir):
+    """Each target (every twentieth vector) in turn takes its nearest sample that is still free."""
+    t, s = twentieths(spark, sf_dir)
+    d = ranking.target_distances(t, s, fx.feature_distance).select(F.col("target_id").alias("a"), F.col("vec_id").alias("b"), F.round("dist", 6).alias("dist"))
+    return ranking.greedy_one_to_one(d).select("a", "b", "dist")
+
+
 @register("best_so_far", _PAIRS + """, g AS (SELECT target_id, vec_id % 8 AS generation, min(dist) AS best FROM pairs GROUP BY ALL)
 SELECT target_id, generation, round(best, 6) AS best, round(min(best) OVER (PARTITION BY target_id ORDER BY generation ROWS UNBOUNDED PRECEDING), 6) AS best_so_far FROM g""")
 def best_so_far(spark, sf_dir):
