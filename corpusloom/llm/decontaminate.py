@@ -118,7 +118,10 @@ class Index:
                 for step in _sample_steps(rng, c):
                     self.takes[walk][step].append(s)
         self.found: list[list[dict[int, list[tuple[int, int]]]]] = [[defaultdict(list) for _ in x] for x in self.sample_class]
-        self.maybe = [np.zeros((len(x), 1 << 16), bool) for x in self.sample_class]
+        #: whether an item may have a hash, by its first bits: about sixteen slots for each of a class's starts
+        most = max(sum(min(stride, len(items[k][1])) for k in members) for members in of_class.values())
+        self.rest = np.uint64(64 - min(16, max(8, int(16 * most).bit_length())))
+        self.maybe = [np.zeros((len(x), 1 << 64 - int(self.rest)), bool) for x in self.sample_class]
         for c, members in of_class.items():
             starts = [(k, o) for k in members for o in range(min(stride, len(items[k][1])))]
             text, at, length = [], [], 0
@@ -131,7 +134,7 @@ class Index:
                 hashes = self.embed(words, at, walk)
                 for s, of in enumerate(self.sample_class[walk]):
                     if of == c:
-                        self.maybe[walk][s, (hashes[s] >> np.uint64(48)).astype(np.int64)] = True
+                        self.maybe[walk][s, (hashes[s] >> self.rest).astype(np.int64)] = True
                         for h, start in zip(hashes[s].tolist(), starts, strict=True):
                             self.found[walk][s][h].append(start)
         self.keys = [[np.array(sorted(t), np.uint64) for t in row] for row in self.found]
@@ -174,7 +177,7 @@ class Index:
         out = set()
         for walk in range(self.walks):
             for s, h in enumerate(self.embed(words, at, walk)):
-                likely = np.flatnonzero(self.maybe[walk][s][(h >> np.uint64(48)).astype(np.int64)])
+                likely = np.flatnonzero(self.maybe[walk][s][(h >> self.rest).astype(np.int64)])
                 if len(likely):
                     keys = self.keys[walk][s]
                     likely = likely[keys[np.minimum(np.searchsorted(keys, h[likely]), len(keys) - 1)] == h[likely]]
