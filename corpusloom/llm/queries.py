@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import decontaminate, line_dedup, lm_score, near_dedup, periodic_runs, phrase_fingerprint, piece_codec, prefix_trie, shard_table, token_counts, token_files, toxicity
+from corpusloom.llm import chat_format, decontaminate, line_dedup, lm_score, near_dedup, periodic_runs, phrase_fingerprint, piece_codec, prefix_trie, shard_table, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_piece_codec": piece_codec.op10_piece_codec,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_chat_format": chat_format.op13_chat_format,
 }
 ORACLES = {"op9_line_dedup": line_dedup.OP9_SQL, "op11_prefix_trie": prefix_trie.OP11_SQL}
