@@ -29,12 +29,6 @@ def token_sequence_dedup(spark, sf_dir):
     return t(spark, sf_dir, "documents").groupBy(key.alias("key")).agg(F.min("doc_id").alias("doc_id"))
 
 
-@register("renamed_content_dedup", r"SELECT sha256(regexp_replace(regexp_replace(text, '[A-Za-z_][A-Za-z0-9_]*', 'A', 'g'), '[ \n]', '', 'g')) AS key, min(doc_id) AS doc_id FROM documents GROUP BY 1")
-def renamed_content_dedup(spark, sf_dir):
-    """The first document of each content, whatever its identifiers are called."""
-    return t(spark, sf_dir, "documents").groupBy(tx.content_key(F.regexp_replace("text", "[A-Za-z_][A-Za-z0-9_]*", "A")).alias("key")).agg(F.min("doc_id").alias("doc_id"))
-
-
 @register("encoded_rows", r"""
 SELECT doc_id, length(text)::BIGINT AS token_count, sha256(array_to_string(list_append(list_transform(regexp_extract_all(text, '(?s).'), lambda c: unicode(c)), 3), '.')) AS data FROM documents WHERE NOT regexp_matches(text, '[^\n -~]')""")
 def encoded_rows(spark, sf_dir):
