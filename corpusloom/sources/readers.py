@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import os
-import tarfile
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from corpusloom.sources.shared import shared_path
+from corpusloom.sources.archives import ARCHIVES, archive_members
 
 #: What stands for a file that is no valid UTF-8.
 UNREADABLE = "/*unreadable*/"
@@ -24,24 +24,18 @@ def source_files(spark: SparkSession, path: str, endings: tuple[str, ...] = (".c
     return files.select("path", F.coalesce(text, F.lit(UNREADABLE)).alias("text"), text.isNotNull().alias("readable"))
 
 
-def archive_files(spark: SparkSession, archive: str, folder: str | None = None, endings: tuple[str, ...] = (".c", ".cl")) -> DataFrame:
-    """source_files of a tar archive, unpacked on the driver into ``folder``, which all executors must see;
-    by default a new one in the shared folder, if that is a mounted one."""
-    folder = folder or shared_path(spark, "archive").removeprefix("file://")
-    if "://" in folder:
-        raise ValueError(f"{folder} is no mounted folder; name one that all executors see")
-    with tarfile.open(archive) as tar:
-        tar.extractall(folder, filter="data")
-    return source_files(spark, f"file://{os.path.abspath(folder)}", endings)
+def archive_files(spark: SparkSession, archive: str, endings: tuple[str, ...] = (".c", ".cl")) -> DataFrame:
+    """source_files of a tar or zip archive on a mounted path, read where it lies."""
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    return archive_members(spark, archive, endings).select("path", F.coalesce(text, F.lit(UNREADABLE)).alias("text"), text.isNotNull().alias("readable"))
 
 
-def corpus_root(spark: SparkSession, root: str, folder: str | None = None) -> DataFrame:
-    """Files of a folder, a tar archive, a SQLite database (table files) or a Parquet table, by what the root is;
-    ``folder``: where an archive is unpacked."""
-    if root.endswith((".tar", ".tar.gz", ".tar.bz2", ".tgz")):
-        return archive_files(spark, root, folder)
+def corpus_root(spark: SparkSession, root: str) -> DataFrame:
+    """Files of a folder, an archive, a SQLite database (table files) or a Parquet table, by what the root is."""
+    if root.endswith(ARCHIVES):
+        return archive_files(spark, root)
     if root.endswith((".db", ".sqlite")):
-        return sqlite_table(spark, root, "SELECT * FROM files", "path string, text string")
+        return sqlite_table(spark, root, "files", "path string, text string")
     if root.endswith(".parquet"):
         return spark.read.parquet(root)
     return source_files(spark, root)
@@ -62,41 +56,60 @@ def metadata(df: DataFrame, key: str, prefix: bool = False) -> DataFrame:
     return df.where(F.col("key").startswith(key) if prefix else F.col("key") == key)
 
 
+#: Partitions of a SQLite table at most; keys that lie far apart then have longer ranges.
+MOST_PARTS = 10_000
+
+
 class _SQLitePart(InputPartition):
-    def __init__(self, low: int, high: int):
-        self.low, self.high = low, high
+    """Keys from low to high, or (null) those that are null, or (no bounds) all rows."""
+
+    def __init__(self, low: int | None, high: int | None, null: bool = False):
+        self.low, self.high, self.null = low, high, null
 
 
 class _SQLiteReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options = options
+        self.source, self.key = options["source"], options.get("key")
 
-    def partitions(self) -> list[InputPartition]:
+    def _connect(self):
         import sqlite3
 
-        size, parts = int(self.options.get("rows", "100000")), []
-        con = sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True)
+        return sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True)
+
+    def partitions(self) -> list[InputPartition]:
+        if not self.key:
+            return [_SQLitePart(None, None)]
+        con = self._connect()
         try:
-            n = con.execute(f"SELECT count(*) FROM ({self.options['query']})").fetchone()[0]
+            low, high = (con.execute(f"SELECT {f}({self.key}) FROM {self.source}").fetchone()[0] for f in ("min", "max"))
         finally:
             con.close()
-        for low in range(0, max(n, 1), size):
-            parts.append(_SQLitePart(low, low + size))
-        return parts
+        parts = [_SQLitePart(None, None, True)] if self.key != "rowid" else []
+        if low is None:
+            return parts or [_SQLitePart(0, 0)]
+        if not (isinstance(low, int) and isinstance(high, int)):
+            raise ValueError(f"the key {self.key} has values that are no integers")
+        span = high - low + 1
+        n = min(MOST_PARTS, -(-span // int(self.options["rows"])))
+        return parts + [_SQLitePart(low + span * k // n, low + span * (k + 1) // n - 1) for k in range(n)]
 
     def read(self, partition: _SQLitePart):
-        import sqlite3
-
-        con = sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True)
+        con = self._connect()
         try:
-            order = self.options.get("order", "1")
-            yield from con.execute(f"SELECT * FROM ({self.options['query']}) ORDER BY {order} LIMIT {partition.high - partition.low} OFFSET {partition.low}")
+            select = f"SELECT {self.options['selected']} FROM {self.source}"
+            if partition.null:
+                yield from con.execute(f"{select} WHERE {self.key} IS NULL")
+            elif partition.low is not None:
+                yield from con.execute(f"{select} WHERE {self.key} BETWEEN ? AND ?", (partition.low, partition.high))
+            else:
+                yield from con.execute(select)
         finally:
             con.close()
 
 
 class SQLiteSource(DataSource):
-    """A query of a SQLite file that all executors see, in partitions of ``rows`` rows in a total ``order``."""
+    """Rows of a SQLite file that all executors see, in partitions by ranges of an integer key."""
 
     @classmethod
     def name(cls) -> str:
@@ -109,11 +122,21 @@ class SQLiteSource(DataSource):
         return _SQLiteReader(dict(self.options))
 
 
-def sqlite_table(spark: SparkSession, path: str, query: str, columns: str, rows: int = 100_000, order: str | None = None) -> DataFrame:
-    """Rows of a query in partitions of ``rows``, by default in the order of all columns: only equal rows tie."""
-    order = order or ", ".join(str(k + 1) for k in range(len(StructType.fromDDL(columns))))
+def sqlite_table(spark: SparkSession, path: str, query: str, columns: str, rows: int = 100_000, key: str | None = None) -> DataFrame:
+    """Rows of a table (``query`` is its name) or of a query, in partitions of about ``rows`` keys.
+
+    The ranges are cut between the least and the greatest key, which an index gives at once, and each partition reads
+    one range of the index, so all of them together read every row once. A table's key is its rowid unless one
+    is given; a query has none unless one of its integer columns is named (one that an index serves), and is then
+    one partition, read by one cursor. Equal rows stay; rows whose key is null are a partition of their own."""
+    table = re.fullmatch(r"\w+", query) is not None
+    names = ", ".join(f'"{f.name}"' for f in StructType.fromDDL(columns)) if table else "*"
+    options = {"path": os.path.expandvars(path).removeprefix("file://"), "source": f'"{query}"' if table else f"({query})", "selected": names, "columns": columns, "rows": rows}
+    key = key or ("rowid" if table else None)
+    if key:
+        options["key"] = key
     spark.dataSource.register(SQLiteSource)
-    return spark.read.format("corpusloom_sqlite").options(path=os.path.expandvars(path).removeprefix("file://"), query=query, columns=columns, rows=rows, order=order).load()
+    return spark.read.format("corpusloom_sqlite").options(**options).load()
 
 
 def database(spark: SparkSession, url: str, table: str) -> DataFrame:

@@ -24,7 +24,7 @@ def test_directories_and_archives(spark, tmp_path):
     assert shown(readers.corpus_root(spark, f"file://{tmp_path}/d")) == want
     with tarfile.open(tmp_path / "x.tar", "w") as t:
         t.add(tmp_path / "d", "d")
-    assert shown(readers.archive_files(spark, str(tmp_path / "x.tar"), str(tmp_path / "out"))) == want
+    assert shown(readers.archive_files(spark, str(tmp_path / "x.tar"))) == want
 
 
 def test_sqlite_and_tool_output(spark, tmp_path):
@@ -33,7 +33,7 @@ def test_sqlite_and_tool_output(spark, tmp_path):
     con.executemany("insert into files values (?, ?)", [(f"p{i}", f"t{i}") for i in range(25)])
     con.commit()
     con.close()
-    got = readers.sqlite_table(spark, str(tmp_path / "a.db"), "SELECT path, text FROM files", "path string, text string", rows=10, order="path")
+    got = readers.sqlite_table(spark, str(tmp_path / "a.db"), "SELECT path, text FROM files", "path string, text string", rows=10)
     assert got.count() == 25 and got.distinct().count() == 25
     out = spark.createDataFrame([(1, "cpu,1.5,2\ngpu,3,4\n")], "id long, said string")
     assert sorted(map(tuple, readers.tool_rows(out, "said", "device string, a double, b int").collect())) == [(1, "cpu", 1.5, 2), (1, "gpu", 3.0, 4)]
