@@ -160,3 +160,35 @@ def masked_texts(df: DataFrame, key: str, text: str, seed: Column) -> DataFrame:
 
     rows = df.select(key, F.coalesce(text, F.lit("")).alias(text), seed.alias("seed"))
     return rows.mapInArrow(masked, f"{key} {dict(df.dtypes)[key]}, input array<int>, positions array<int>, labels array<int>")
+
+
+def text_ids(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, ids): code points of whole texts, a few texts at once; a null text has none."""
+    import numpy as np
+    import pyarrow as pa
+
+    def coded(batches):
+        for whole in batches:
+            for k in range(0, whole.num_rows, 200):
+                batch = whole.slice(k, 200)
+                ids = [np.frombuffer((x or "").encode("utf-32-le"), "<i4") for x in batch.column(1).to_pylist()]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "ids"])
+
+    return df.select(key, text).mapInArrow(coded, f"{key} {dict(df.dtypes)[key]}, ids array<int>")
+
+
+def ids_text(df: DataFrame, key: str, ids: str = "ids", skip: int | None = None) -> DataFrame:
+    """(key, text) of code points, without the id to skip."""
+    import numpy as np
+    import pyarrow as pa
+
+    def decoded(batches):
+        for whole in batches:
+            for k in range(0, whole.num_rows, 200):
+                batch = whole.slice(k, 200)
+                rows = [np.asarray(x.values if x.is_valid else [], "<i4") for x in batch.column(1)]
+                texts = [(r if skip is None else r[r != skip]).astype("<i4").tobytes().decode("utf-32-le") for r in rows]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
+
+    return df.select(key, ids).mapInArrow(decoded, f"{key} {dict(df.dtypes)[key]}, text string")

@@ -95,3 +95,28 @@ def greedy_one_to_one(pairs: DataFrame, left: str = "a", right: str = "b", dist:
             return wanted
         # who holds a right row proposes to it again, so the last round's proposals tell all that is refused
         open_ = all_pairs.join(kept, right, "left").where(F.col("_kept").isNull() | (F.col(left) <= F.col("_kept"))).select(left, right, dist)
+
+
+def fixed_length_rows(df: DataFrame, order: list, ids: str, length: int, batch: int, copies: int = 1) -> DataFrame:
+    """(row, ids): the ids of all rows of ``df``, one after the other in a total order, cut into rows of ``length`` that
+    span them, and clipped to whole steps of ``copies`` x ``batch`` rows; copies beyond the first are not written out.
+
+    Each row of ``df`` gives its pieces by their offsets, and the pieces of a window come together by its number, so
+    nothing is concatenated as a whole. Null ids are none. Too little for one step is an error, as a step of
+    nothing can't be trained on."""
+    sized = df.select(*[c for c in df.columns if c != ids], F.coalesce(ids, F.array().cast(dict(df.dtypes)[ids])).alias("_ids")).withColumn("_size", F.size("_ids").cast("long"))
+    placed = running_sums(sized, order, "_size", "_from")
+    total = placed.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    rows = total // (batch * length * copies) * batch
+    if not rows:
+        raise ValueError(f"{total} ids are less than a step of {batch * length * copies}")
+    begin, end = F.col("_from"), F.col("_from") + F.col("_size")
+    first, last = F.floor(begin / length), F.least(F.floor((end - 1) / length), F.lit(rows - 1))
+
+    def piece(window: Column) -> Column:
+        low = F.greatest(window * length, begin)
+        return F.struct(window.alias("row"), low.alias("low"), F.slice("_ids", (low - begin + 1).cast("int"), (F.least((window + 1) * length, end) - low).cast("int")).alias("ids"))
+
+    pieces = placed.where((F.col("_size") > 0) & (first <= last)).select(F.explode(F.transform(F.sequence(first, last), piece)).alias("p"))
+    windows = pieces.groupBy("p.row").agg(F.sort_array(F.collect_list(F.struct("p.low", "p.ids"))).alias("_p"))
+    return windows.select("row", F.flatten(F.transform("_p", lambda x: x["ids"])).alias("ids"))

@@ -82,17 +82,29 @@ def text_wrap_and_pad(spark, sf_dir):
     return w.select("doc_id", _joined(tk.padded_whole(F.col("a"), SEQUENCE, 0)).alias("ids"), F.size("a").cast("long").alias("n"))
 
 
-@register("text_decoded_ids", "SELECT doc_id, text FROM documents")
+@register("text_decoded_ids", "SELECT doc_id, length(text)::BIGINT AS n_ids, sha256(array_to_string(list_transform(string_split(text, ''), lambda c: unicode(c)), ',')) AS ids_sha256, text FROM documents")
 def text_decoded_ids(spark, sf_dir):
-    """Whole texts to ids and back over the corpus's alphabet; a pad id (-1, no character's) is left out."""
-    ids = _text_ids(spark, sf_dir)
-    alphabet = [r.i for r in ids.select(F.explode("ids").alias("i")).distinct().collect()]  # as many rows as the alphabet has letters
-    names = [None] * (max(alphabet, default=0) + 1)
-    for i in alphabet:
-        names[i] = chr(i)
-    table = spark.createDataFrame([(names,)], "names array<string>")
-    padded = ids.withColumn("ids", F.concat("ids", F.array(F.lit(-1)))).crossJoin(F.broadcast(table))
-    return padded.select("doc_id", tk.decoded(F.col("ids"), F.col("names"), F.array(F.lit(-1))).alias("text"))
+    """Whole texts to ids, padded, and back; a pad id (-1, no character's) is left out."""
+    ids = tk.text_ids(t(spark, sf_dir, "documents"), "doc_id", "text")
+    padded = ids.select(F.struct("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256")).alias("k"), F.concat("ids", F.array(F.lit(-1))).alias("ids"))
+    return tk.ids_text(padded, "k", skip=-1).select("k.*", "text")
+
+
+#: Sequence length and batch size of the rows.
+_LENGTH, _BATCH = 512, 4
+
+
+@register("fixed_length_rows", f"""
+WITH d AS (SELECT doc_id, text, length(text) AS n, sum(length(text)) OVER (ORDER BY doc_id) - length(text) AS lo FROM documents WHERE length(text) > 0),
+w AS (SELECT doc_id, text, n, lo, unnest(range((lo // {_LENGTH})::BIGINT, ((lo + n - 1) // {_LENGTH})::BIGINT + 1)) AS row FROM d),
+p AS (SELECT row, greatest(row * {_LENGTH}, lo) AS low, substring(text, (greatest(row * {_LENGTH}, lo) - lo + 1)::BIGINT, (least((row + 1) * {_LENGTH}, lo + n) - greatest(row * {_LENGTH}, lo))::BIGINT) AS piece FROM w)
+SELECT row, sha256(string_agg(piece, '' ORDER BY low)) AS text_sha256 FROM p
+WHERE row < (SELECT (sum(n) // {_LENGTH * _BATCH} * {_BATCH})::BIGINT FROM d) GROUP BY row""")
+def fixed_length_rows(spark, sf_dir):
+    """Whole texts, one after the other, in training rows that span documents, clipped to whole batches."""
+    ids = tk.text_ids(t(spark, sf_dir, "documents"), "doc_id", "text")
+    rows = ranking.fixed_length_rows(ids, [F.col("doc_id")], "ids", _LENGTH, _BATCH)
+    return tk.ids_text(rows, "row").select("row", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 @register("text_token_positions", """
