@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from corpusloom.plans import q_candidates, q_corpus, q_dedup, q_distributions, q_evaluators, q_features, q_lexer, q_relational, q_text, q_tokens  # noqa: F401
+    from corpusloom.plans import q_candidates, q_classify, q_corpus, q_dedup, q_distributions, q_evaluators, q_features, q_lexer, q_relational, q_text, q_tokens  # noqa: F401
     from corpusloom.streaming import buffered, streams  # noqa: F401
 
 
