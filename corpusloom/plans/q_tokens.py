@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import holes
 from corpusloom.functions import tokens as tk
 from corpusloom.operators import ranking
 from corpusloom.plans.catalog import register
@@ -166,3 +167,10 @@ def statement_windows(spark, sf_dir):
 def masked_instances(spark, sf_dir):
     """Seeded masking of whole texts; every row's positions and labels."""
     return tk.masked_texts(t(spark, sf_dir, "documents"), "doc_id", "text", F.xxhash64("doc_id"))
+
+
+@register("text_holes")
+def text_holes(spark, sf_dir):
+    """Holes of up to five characters anywhere in whole texts, with what they hide, by the document's seed."""
+    ids = tk.text_ids(t(spark, sf_dir, "documents"), "doc_id", "text")
+    return holes.pooled_holes(ids, "doc_id", "ids", F.xxhash64("doc_id"), {"pad": -1, "start": -2, "end": -3, "hole": -4, "endhole": -5})
