@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import classify
+from corpusloom.operators import classify, counters
 from corpusloom.plans.catalog import register
 from corpusloom.plans.q_corpus import _WIDE, _wide_rows
 from corpusloom.plans.q_relational import t
@@ -75,3 +75,15 @@ def nearest_label(spark, sf_dir):
     v = t(spark, sf_dir, "embeddings")
     query = F.col("vec_id") % 20 == 0
     return classify.nearest_rows(v.where(query), v.where(~query), "embedding", "label", "vec_id", "vec_id").withColumn("dist", F.round("dist", 5))
+
+
+@register("merged_counters", """
+WITH c AS (SELECT user_id, event_type AS o, (event_id % 7)::VARCHAR AS i, count(*) AS n FROM events GROUP BY ALL),
+m AS (SELECT user_id, o, o || ':' || string_agg(i || '=' || n, ',' ORDER BY i) AS s FROM c GROUP BY user_id, o)
+SELECT user_id, string_agg(s, ';' ORDER BY o) AS counters FROM m GROUP BY user_id""")
+def merged_counters(spark, sf_dir):
+    """Counters of each user's events by type and remainder, kept as JSON in two tables (even and odd events) and merged."""
+    events = t(spark, sf_dir, "events").withColumn("rest", F.col("event_id") % 7)
+    stored = [counters.counted(events.where(F.col("event_id") % 2 == k), ["user_id"], "event_type", "rest").withColumn("counters", F.to_json("counters")) for k in (0, 1)]
+    both = counters.merged([s.withColumn("counters", counters.from_json(F.col("counters"))) for s in stored], ["user_id"])
+    return both.select("user_id", counters.shown(F.col("counters")).alias("counters"))
