@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -107,6 +108,34 @@ def fields_without(df: DataFrame, names: list[str]) -> list:
     return [f for f in df.schema.fields if same(f.name) not in gone]
 
 
+_HELD: dict = {}
+
+
+def held_by_worker(key: tuple, make: Callable[[], object]):
+    """What an operator keeps in this Python worker from task to task: the object of one key at a time.
+    Workers live through many queries and stages; what an earlier one held goes before the next is made."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def tidy(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same task, after which the worker gives memory that it doesn't use back to the system. Workers stay while
+    the executor's other workers run, so what a finished stage needed would otherwise count against the next."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+            if trim is not None:
+                trim(0)
+
+    return tidied
+
+
 class Kept:
     """A bounded cache in two generations: what a full generation held and nobody asks for again goes."""
 

@@ -241,15 +241,9 @@ class Detector:
             out[i] = (distance, len(item), low + end)
 
 
-_KEPT: dict[str, Detector] = {}
-
-
 def _detector(tag: str, items: list[tuple[int, bytes]], similarity: float) -> Detector:
     """The detector of one block of items, kept by this worker from task to task."""
-    if tag not in _KEPT:
-        _KEPT.clear()
-        _KEPT[tag] = Detector(items, similarity)
-    return _KEPT[tag]
+    return common.held_by_worker(("detector", tag), lambda: Detector(items, similarity))
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
@@ -288,7 +282,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.
                     columns = list(zip(*rows, strict=True)) or [()] * 5
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "distance", "item_words", "end_word"])
 
-        hits = source.mapInArrow(scanned, HITS)
+        hits = source.mapInArrow(common.tidy(scanned), HITS)
         found = hits if found is None else found.union(hits)
     return found if found is not None else docs.sparkSession.createDataFrame([], HITS)
 
@@ -309,7 +303,7 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, similarity: float =
                     batch = whole.slice(k, 200)
                     yield batch.filter(pa.array([not h for h in detector.hits(batch.column(at))], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, T.StructType(docs.schema.fields))
+        docs = docs.mapInArrow(common.tidy(clean), T.StructType(docs.schema.fields))
     return docs
 
 

@@ -48,7 +48,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
 
     id_type = docs.schema[id_col].dataType
     known = docs.where(F.col(id_col).isNotNull()).select(id_col, F.col(text_col).cast("string").alias("_line_text"))
-    lines = known.mapInArrow(keys_of, T.StructType([T.StructField("_line_doc", id_type), T.StructField("_line_key", T.BinaryType())]))
+    lines = known.mapInArrow(common.tidy(keys_of), T.StructType([T.StructField("_line_doc", id_type), T.StructField("_line_key", T.BinaryType())]))
     lines = common.written(lines, "line-keys")
     per_key = lines.groupBy("_line_key").agg(F.min("_line_doc").alias("_line_first"), F.max("_line_doc").alias("_line_last"), F.count("*").alias("_line_rows")).where("_line_first < _line_last")
     if min_docs > 2:
@@ -81,7 +81,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
 
     base = docs.select(*[f"`{f.name}`" for f in kept]).withColumn(text_col, F.col(text_col).cast("string"))
     joined = base.join(lost, base[id_col] == lost["_line_doc"], "left").drop("_line_doc")
-    return joined.mapInArrow(reassembled, out)
+    return joined.mapInArrow(common.tidy(reassembled), out)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

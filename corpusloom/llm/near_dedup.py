@@ -118,7 +118,7 @@ def _banded(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
 
     text = F.coalesce(F.col("text"), F.lit(""))
     rows_in = docs.where("doc_id is not null").select("doc_id", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"), text.alias("text"))
-    return rows_in.mapInArrow(signed, "doc_id long, h1 long, h2 long, bands array<long>")
+    return rows_in.mapInArrow(common.tidy(signed), "doc_id long, h1 long, h2 long, bands array<long>")
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
@@ -142,7 +142,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> D
     # merged at every size: what a small input could broadcast, a large one can't
     own, other = (texts.select(F.col("node").alias(n), F.col("text").alias(c)).hint("merge") for n, c in (("a", "own"), ("b", "other")))
     joined = pairs.join(own, "a").join(other, "b")
-    return joined.select("a", "b", "own", "other").mapInArrow(measured, "a long, b long, sim double")
+    return joined.select("a", "b", "own", "other").mapInArrow(common.tidy(measured), "a long, b long, sim double")
 
 
 def _linked_in_chunks(members: DataFrame, texts: DataFrame, words: int, near: float) -> DataFrame:

@@ -30,24 +30,31 @@ from corpusloom.llm.token_counts import chunks, model_path
 MARK = "▁"
 
 
+#: Words kept in a worker are no longer than this, so that their number bounds their bytes.
+KEPT_CHARS = 64
+
+
 class Codec:
     """Ids of marked words and texts of ids, of one byte-pair model."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 150_000, most_joins: int = 300_000):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         m, n = self.model, self.model.get_piece_size()
         plain = [i for i in range(n) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
-        self.pieces = {m.id_to_piece(i): i for i in plain}
+        pieces = {m.id_to_piece(i): i for i in plain}
+        #: the trie of pieces, read from their ends: every end of a piece, with the piece's id if it is one, else -1
+        self.ends = {p[k:]: -1 for p in pieces for k in range(1, len(p))} | pieces
+        self.names = [m.id_to_piece(i) for i in range(n)]
         self.scores = [m.get_score(i) for i in range(n)]
-        self.longest = max(map(len, self.pieces))
         self.byte = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.worst = min((self.scores[i] for i in plain), default=0.0) - 10.0
         self.text = [b""] * n
-        for p, i in self.pieces.items():
+        for p, i in pieces.items():
             self.text[i] = p.replace(MARK, " ").encode()
         for b, i in enumerate(self.byte):
             self.text[i] = bytes([b])
-        self.joins: dict[tuple[str, str], bool] = {}
+        self.joins: dict[int, bool] = {}  # left id * pieces + right id
+        self.most_joins = most_joins
         self.known = common.Kept(most)
 
     def _stay(self, left: str, right: str) -> bool:
@@ -59,55 +66,58 @@ class Codec:
 
     def encode_sorted(self, words: list[str]) -> Iterator[list[int]]:
         """Ids of each word, spaces as marks, in sorted order."""
-        get, scores, joins, longest = self.pieces.get, self.scores, self.joins, self.longest
+        get, scores, joins, names, n = self.ends.get, self.scores, self.joins, self.names, len(self.names)
         before = ""
-        best, last = [0.0], [""]  # of each prefix: forward score and last piece
+        best, last = [0.0], [-1]  # of each prefix: forward score and last piece (-1: a character in bytes)
         for word in words:
             shared = len(commonprefix((before, word)))
             del best[shared + 1 :], last[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                top, piece = None, word[end - 1]
-                for start in range(max(0, end - longest), end):
-                    p = word[start:end]
-                    i = get(p)
+                one = get(word[end - 1], -1)
+                top, piece = (self.worst + best[end - 1], -1) if one < 0 else (None, one)
+                for start in range(end - 1, -1, -1):
+                    i = get(word[start:end])
                     if i is None:
-                        if start < end - 1:
-                            continue
-                        score = self.worst + best[start]
-                    else:
-                        score = scores[i] + best[start]
-                    if top is not None and score <= top:
+                        break
+                    if i < 0:
                         continue
-                    if start and i is not None:
-                        q = last[start]
-                        ok = joins.get((q, p))
+                    score = scores[i] + best[start]
+                    if top is not None and score < top:
+                        continue
+                    q = last[start]
+                    if start and q >= 0:
+                        ok = joins.get(q * n + i)
                         if ok is None:
-                            if len(joins) > 2_000_000:
+                            if len(joins) >= self.most_joins:
                                 joins.clear()
-                            ok = joins[q, p] = q not in self.pieces or self._stay(q, p)
+                            ok = joins[q * n + i] = self._stay(names[q], names[i])
                         if not ok:
                             continue
-                    top, piece = score, p
+                    top, piece = score, i
                 best.append(self.worst if top is None else top)
                 last.append(piece)
             before = word
             ids: list[int] = []
             end = len(word)
             while end:
-                p = last[end]
-                i = get(p)
-                ids.extend([i] if i is not None else [self.byte[b] for b in reversed(p.encode())])
-                end -= len(p)
+                i = last[end]
+                ids.extend([i] if i >= 0 else [self.byte[b] for b in reversed(word[end - 1].encode())])
+                end -= len(names[i]) if i >= 0 else 1
             ids.reverse()
             yield ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers; words are looked up where this worker knows them."""
         split = [chunks(t) for t in texts]
-        fresh = {c.replace(" ", MARK): c for c in self.known.missing(set().union(*split))}
+        wanted = set().union(*split)
+        long = {c for c in wanted if len(c) > KEPT_CHARS}
+        fresh = {c.replace(" ", MARK): c for c in self.known.missing(wanted - long) | long}
         ordered = sorted(fresh)
-        self.known.now.update((fresh[w], np.array(ids, "<i4").tobytes()) for w, ids in zip(ordered, self.encode_sorted(ordered), strict=True))
-        get = self.known.now.__getitem__
+        long_ids = {}
+        for w, ids in zip(ordered, self.encode_sorted(ordered), strict=True):
+            (long_ids if fresh[w] in long else self.known.now)[fresh[w]] = np.array(ids, "<i4").tobytes()
+        found = self.known.now
+        get = (lambda c: long_ids[c] if c in long_ids else found[c]) if long else found.__getitem__
         return [b"".join(map(get, x)) for x in split]
 
     def decode(self, ids: bytes) -> str:
@@ -116,14 +126,9 @@ class Codec:
         return joined[1:].decode(errors="replace")
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    if path not in _CODECS:
-        _CODECS.clear()
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    """The codec of a model, kept by this worker from task to task."""
+    return common.held_by_worker(("codec", path), lambda: Codec(path))
 
 
 NEW = [("token_ids", T.ArrayType(T.IntegerType())), ("n_tokens", T.LongType()), ("ids_crc32", T.LongType()), ("decoded_sha256", T.StringType()), ("round_trip", T.BooleanType())]
@@ -160,7 +165,7 @@ def encode_texts(docs: DataFrame, model_file: str | None = None, text_col: str =
                 yield pa.RecordBatch.from_arrays([*(c.slice(begin, end - begin) for c in whole.columns), *more], names=out.names)
                 begin = end
 
-    return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(coded, out)
+    return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(common.tidy(coded), out)
 
 
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

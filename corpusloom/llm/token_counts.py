@@ -70,15 +70,9 @@ class Lengths:
         return [sum(map(self.now.__getitem__, x)) for x in held]
 
 
-_WORKER: dict[tuple, Lengths] = {}
-
-
 def _lengths(path: str, tag: str, hot: dict[str, int]) -> Lengths:
     """The cache of this worker process, kept from task to task of one run."""
-    if (path, tag) not in _WORKER:
-        _WORKER.clear()
-        _WORKER[path, tag] = Lengths(sentencepiece.SentencePieceProcessor(model_file=path), hot)
-    return _WORKER[path, tag]
+    return common.held_by_worker(("lengths", path, tag), lambda: Lengths(sentencepiece.SentencePieceProcessor(model_file=path), hot))
 
 
 def frequent_chunks(docs: DataFrame, text_col: str = "text", most: int = HOT_CHUNKS) -> list[str]:

@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
         rows.append(("", 2, total[1], total[0]))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["term", "start", "t", "c"])
 
-    found = marked.select("text", "_toxic").mapInArrow(terms, "term string, start int, t long, c long").groupBy("term", "start").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    found = marked.select("text", "_toxic").mapInArrow(common.tidy(terms), "term string, start int, t long, c long").groupBy("term", "start").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     toxic = sum(x for _, x in sample)
     # at least 1 % of the toxic rows have a term that is kept, and most of its rows are toxic: a few thousand terms at most
     least = max(3, toxic // 100)
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
             seen.update((votes(t, words, starts), y) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int32()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "label", "n"])
 
-    found = voted.mapInArrow(patterns_of, "pattern int, label int, n long").groupBy("pattern", "label").agg(F.sum("n").alias("n")).orderBy("pattern", "label").collect()
+    found = voted.mapInArrow(common.tidy(patterns_of), "pattern int, label int, n long").groupBy("pattern", "label").agg(F.sum("n").alias("n")).orderBy("pattern", "label").collect()
     patterns, counts, label = (np.array([r[k] for r in found], np.int64) for k in ("pattern", "n", "label"))
     prior, fires, weights = label_model(patterns, counts, label)
     p = _posterior(bits_of(patterns), prior, fires, weights)
@@ -213,7 +213,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             s = 1 / (1 + np.exp(-np.clip(features(patterns) @ model.linear, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=out.names)
 
-    return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(scored, out)
+    return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(common.tidy(scored), out)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

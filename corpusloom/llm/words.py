@@ -22,7 +22,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Word hashes are kept from document to document."""
 
-    def __init__(self, words: int = 5, most: int = 300_000):
+    def __init__(self, words: int = 5, most: int = 150_000):
         self.words, self.known = words, Kept(most)
 
     def word_hashes(self, text: bytes) -> np.ndarray:
