@@ -40,7 +40,7 @@ def relative_proximity(average: Column, target_norm: Column) -> Column:
     return F.when(origin > 0, 100 * (origin - average) / origin).otherwise(F.lit(100.0))
 
 
-def target_grid(maxima: dict[str, int], steps: int = 100) -> Column:
+def target_grid(maxima: dict[str, int | Column], steps: int = 100) -> Column:
     """Array of maps: every feature at 1/steps, 2/steps, ... of its maximum, rounded down."""
     at = lambda i: [x for k, m in sorted(maxima.items()) for x in (F.lit(k), F.floor(i * m / steps))]
     return F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda i: F.create_map(*at(i)))

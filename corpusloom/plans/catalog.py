@@ -24,13 +24,18 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+def oracle_of(name: str) -> str:
+    """The SQL of a query that is registered already."""
+    return _SQL[name]
+
+
 def _load() -> None:
     from corpusloom.plans import q_candidates, q_classify, q_corpus, q_dedup, q_distributions, q_evaluators, q_features, q_lexer, q_relational, q_text, q_tokens  # noqa: F401
     from corpusloom.streaming import buffered, streams  # noqa: F401
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    return queries()["k_average_score"](spark, sf_dir)
+    return queries()["growing_k_average_score"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -82,10 +82,11 @@ def compile_percent_by_length(spark, sf_dir):
     return _percent(candidates(spark, sf_dir), ["length", "compiles"], ["length"])
 
 
-def beam_search(feeds: DataFrame, children: DataFrame, width: int, depth: int, save) -> DataFrame:
+def beam_search(feeds: DataFrame, children: DataFrame, width: int, depth: int, save, score=None) -> DataFrame:
     """Generations of a search: (target, generation, node, score) of every kept candidate.
 
-    feeds: (target, node, score); children: (node, child, score by target: target, score). Each
+    feeds: (target, node, score); children: (target, node, child, child_score), or (node, child) with a function ``score`` of
+    child and target, so that nothing is made for a pair that the search doesn't come to. Each
     generation expands what was kept, drops nodes seen before, keeps the best ``width`` for each
     target, and stops for a target at score 0. ``save`` writes a generation and reads it again, so
     lineage stays short and a lost executor costs one generation."""
@@ -94,7 +95,9 @@ def beam_search(feeds: DataFrame, children: DataFrame, width: int, depth: int, s
     for generation in range(1, depth + 1):
         solved = found.where("score = 0").select("target").distinct()
         open_ = kept.join(solved, "target", "left_anti")
-        fresh = open_.select("target", "node").join(children, ["target", "node"]).select("target", F.col("child").alias("node"), F.col("child_score").alias("score")).distinct()
+        led = open_.select("target", "node").join(children, ["target", "node"] if score is None else ["node"])
+        own = F.col("child_score") if score is None else score(F.col("child"), F.col("target"))
+        fresh = led.select("target", F.col("child").alias("node"), own.alias("score")).distinct()
         fresh = fresh.join(found.select("target", "node"), ["target", "node"], "left_anti")
         w = Window.partitionBy("target").orderBy("score", "node")
         kept = save(fresh.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= width).drop("_r").withColumn("generation", F.lit(generation)))
@@ -126,10 +129,22 @@ def beam(spark, sf_dir):
     return beam_search(feeds, children, 2, 2, saver(spark, "beam")).select("target", "node", "score", "generation")
 
 
+@register("whole_beam_search", _BEAM.replace("WHERE doc_id < 5", "WHERE doc_id % 20 = 0"))
+def whole_beam(spark, sf_dir):
+    """beam_search with every twentieth document as a target."""
+    from corpusloom.sources.shared import saver
+
+    d = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"))
+    edges = d.select("node", F.explode(F.array(*[F.lit(k) for k in (1, 2, 5)])).alias("k")).withColumn("child", (F.col("node") * 3 + F.col("k")) % d.count())
+    feeds = d.where("node % 20 = 0").select(F.col("node").alias("target"), "node", F.lit(1000).cast("long").alias("score"))
+    return beam_search(feeds, edges.select("node", "child"), 2, 2, saver(spark, "beam"), lambda child, target: (child * 31 + target * 7) % 97).select("target", "node", "score", "generation")
+
+
 @register("measurement_sweep", """
 WITH g AS (SELECT p_partkey, (2 ** i)::BIGINT AS gsize FROM part CROSS JOIN range(1, 21) r(i))
 SELECT p_partkey, arg_min(gsize, (abs(gsize * p_size - 100000), gsize)) AS gsize FROM g JOIN part USING (p_partkey) GROUP BY p_partkey""")
 def measurement_sweep(spark, sf_dir):
     """Of global sizes 2, 4, ... 2**20, the one that moves closest to 100000 bytes."""
-    p = t(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.pow(F.lit(2), i).cast("long"))).alias("gsize"))
-    return p.groupBy("p_partkey").agg(F.min_by("gsize", F.struct(F.abs(F.col("gsize") * F.col("p_size") - 100000), "gsize")).alias("gsize"))
+    far = lambda i: F.struct(F.abs(F.pow(F.lit(2), i).cast("long") * F.col("p_size") - 100000).alias("far"), F.pow(F.lit(2), i).cast("long").alias("gsize"))
+    rows = t(spark, sf_dir, "part").where("p_size is not null").select("p_partkey", F.array_min(F.transform(F.sequence(F.lit(1), F.lit(20)), far)).alias("m"))
+    return rows.select("p_partkey", "m.gsize")

@@ -240,6 +240,18 @@ def instances_per_space(spark, sf_dir):
     return t(spark, sf_dir, "embeddings").select("vec_id", F.inline(spaces)).where("v is not null").select("vec_id", "space", F.round("v", 6).alias("total"))
 
 
+@register("whole_instances_per_space", """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)
+SELECT vec_id, s.space AS space, round(s.v, 5) AS total FROM (SELECT vec_id, unnest([{'space': 'first', 'v': CASE WHEN vec_id % 3 > 0 THEN list_sum(e[1:len(e) // 2]) END}, {'space': 'last', 'v': CASE WHEN vec_id % 5 > 0 THEN list_sum(e[len(e) // 2 + 1:]) END}]) AS s FROM e) WHERE s.v IS NOT NULL""")
+def whole_instances_per_space(spark, sf_dir):
+    """instances_per_space with both halves of the whole vectors."""
+    half = F.floor(F.size("embedding") / 2).cast("int")
+    total = lambda a, n: F.aggregate(F.slice("embedding", a, n), F.lit(0.0), lambda x, y: x + y.cast("double"))
+    space = lambda name, by, a, n: F.struct(F.lit(name).alias("space"), F.when(F.col("vec_id") % by > 0, total(a, n)).alias("v"))
+    spaces = F.array(space("first", 3, F.lit(1), half), space("last", 5, half + 1, F.size("embedding")))
+    return t(spark, sf_dir, "embeddings").select("vec_id", F.inline(spaces)).where("v is not null").select("vec_id", "space", F.round("v", 5).alias("total"))
+
+
 #: Lines of a raw vector by feature space.
 SPACE_LINES = {"GreweFeatures": 8, "InstCountFeatures": 70, "AutophaseFeatures": 56}
 
@@ -392,6 +404,17 @@ def feed_queue(spark, sf_dir):
     return search.feed_queue(far.select(F.col("target_id").alias("target"), "node", F.col("dist").alias("score")), targets.select(F.col("target_id").alias("target")), 4).select("target", "node", "score")
 
 
+@register("whole_feed_queue", """
+WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), d AS (SELECT t.vec_id AS target, s.vec_id AS node, round(list_distance(s.e, t.e), 5) AS score FROM s JOIN s t ON t.vec_id % 20 = 0)
+SELECT target, node, score FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score, node) AS r FROM d) WHERE r <= 4""")
+def whole_feed_queue(spark, sf_dir):
+    """feed_queue by all components of the vectors."""
+    s = t(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"))
+    targets = s.where("vec_id % 20 = 0").select(F.col("vec_id").alias("target_id"), F.col("features").alias("target"))
+    far = ranking.target_distances(targets, s.select(F.col("vec_id").alias("node"), "features"), lambda a, b: F.round(fx.euclidean(a, b), 5))
+    return search.feed_queue(far.select(F.col("target_id").alias("target"), "node", F.col("dist").alias("score")), targets.select(F.col("target_id").alias("target")), 4).select("target", "node", "score")
+
+
 @register("whole_include_closure", """
 WITH RECURSIVE e AS (SELECT page_id AS a, page_id // 2 AS b FROM pages UNION SELECT page_id, page_id // 3 FROM pages UNION SELECT 0, 1), c(root, node) AS (SELECT a, b FROM e UNION SELECT c.root, e.b FROM c JOIN e ON c.node = e.a)
 SELECT root, count(*) AS reached FROM c GROUP BY root""")

@@ -9,7 +9,7 @@ from corpusloom.functions import codecs, features
 from corpusloom.functions import tokens as tk
 from corpusloom.operators import ranking
 from corpusloom.plans.catalog import register
-from corpusloom.plans.q_features import _PAIRS, targets_and_samples, vectors
+from corpusloom.plans.q_features import _PAIRS, growing, targets_and_samples, vectors
 from corpusloom.plans.q_relational import t
 
 
@@ -25,18 +25,18 @@ def token_size_distribution(spark, sf_dir):
 
 @register("top_k_that_ran", _PAIRS + """, ran AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY dist, vec_id) AS r FROM pairs WHERE vec_id % 3 <> 0)
 SELECT target_id, vec_id, round(dist, 6) AS dist FROM ran WHERE r <= 3""")
-def top_k_that_ran(spark, sf_dir):
+def top_k_that_ran(spark, sf_dir, split=targets_and_samples):
     """The three nearest samples that run (ids not divisible by 3), nearest first."""
-    targets, samples = targets_and_samples(spark, sf_dir)
+    targets, samples = split(spark, sf_dir)
     d = ranking.target_distances(targets, samples.where("vec_id % 3 <> 0"), features.feature_distance)
     return ranking.top_k(d, ["target_id"], ["dist", "vec_id"], 3).select("target_id", "vec_id", F.round("dist", 6).alias("dist"))
 
 
 @register("beam_report", _PAIRS + """, b AS (SELECT target_id, vec_id % 8 AS generation, arg_min(vec_id, (dist, vec_id)) AS vec_id, min(dist) AS dist FROM pairs GROUP BY 1, 2)
 SELECT target_id, arg_min(generation, (dist, generation)) AS generation, arg_min(vec_id, (dist, generation)) AS vec_id, round(min(dist), 6) AS dist FROM b GROUP BY target_id""")
-def beam_report(spark, sf_dir):
+def beam_report(spark, sf_dir, split=targets_and_samples):
     """For each target the generation and sample that came nearest."""
-    targets, samples = targets_and_samples(spark, sf_dir)
+    targets, samples = split(spark, sf_dir)
     d = ranking.target_distances(targets, samples, features.feature_distance).select("target_id", "vec_id", "dist", (F.col("vec_id") % 8).alias("generation"))
     best = d.groupBy("target_id", "generation").agg(F.min(F.struct("dist", "vec_id")).alias("m")).select("target_id", F.struct(F.col("m.dist"), "generation", F.col("m.vec_id")).alias("g"))
     return best.groupBy("target_id").agg(F.min("g").alias("g")).select("target_id", "g.generation", "g.vec_id", F.round("g.dist", 6).alias("dist"))
@@ -44,14 +44,18 @@ def beam_report(spark, sf_dir):
 
 @register("mutation_gain", _PAIRS + """, o AS (SELECT target_id, min(dist) AS d FROM pairs WHERE vec_id < 100 GROUP BY 1), m AS (SELECT target_id, min(dist) AS d FROM pairs WHERE vec_id >= 100 GROUP BY 1)
 SELECT target_id, round(o.d, 6) AS before, round(m.d, 6) AS after FROM o JOIN m USING (target_id) WHERE m.d < o.d""")
-def mutation_gain(spark, sf_dir):
+def mutation_gain(spark, sf_dir, split=targets_and_samples):
     """Targets that the second set of samples comes nearer to than the first."""
-    targets, samples = targets_and_samples(spark, sf_dir)
+    targets, samples = split(spark, sf_dir)
     d = ranking.target_distances(targets, samples, features.feature_distance)
     best = d.groupBy("target_id").agg(F.min(F.when(F.col("vec_id") < 100, F.col("dist"))).alias("o"), F.min(F.when(F.col("vec_id") >= 100, F.col("dist"))).alias("m"))
     return best.where("m < o").select("target_id", F.round("o", 6).alias("before"), F.round("m", 6).alias("after"))
 
 
+for _name, _query in (("top_k_that_ran", top_k_that_ran), ("beam_report", beam_report), ("mutation_gain", mutation_gain)):
+    growing(_name, _query)
+
+
 @register("group_coverage", """
 WITH v AS (SELECT label, round(embedding[1]::DOUBLE, 1) + 0.0::DOUBLE AS a, round(embedding[2]::DOUBLE, 1) + 0.0::DOUBLE AS b FROM embeddings), u AS (SELECT DISTINCT label, a, b FROM v)
 SELECT label, count(*) AS cells, round(count(*) / (SELECT count(*) FROM (SELECT DISTINCT a, b FROM v)), 6) AS coverage FROM u GROUP BY label""")
@@ -156,9 +160,9 @@ def position_histogram(spark, sf_dir):
 
 @register("random_points")
 def random_points(spark, sf_dir):
-    """Seeded distinct points of a bounded feature space."""
-    r = lambda m, s: F.floor(F.rand(s) * m).cast("long")
-    return spark.range(2000).select(r(50, 1).alias("comp"), r(20, 2).alias("mem"), r(8, 3).alias("localmem")).distinct()
+    """A seeded point of a bounded feature space for every document, by its id; distinct ones."""
+    r = lambda m, seed: F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(m)).alias
+    return t(spark, sf_dir, "documents").select(r(50, 1)("comp"), r(20, 2)("mem"), r(8, 3)("localmem")).distinct()
 
 
 @register("device_classifier")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import features as fx
 from corpusloom.operators import ranking
-from corpusloom.plans.catalog import register
+from corpusloom.plans.catalog import oracle_of, register
 
 TARGETS, K = 10, 5
 
@@ -39,8 +39,8 @@ pairs AS (
 
 
 @register("feature_distance", _PAIRS + "SELECT target_id, vec_id, round(dist, 6) AS dist, round(euclid, 6) AS euclid FROM pairs")
-def feature_distance(spark, sf_dir):
-    t, s = targets_and_samples(spark, sf_dir)
+def feature_distance(spark, sf_dir, split=targets_and_samples):
+    t, s = split(spark, sf_dir)
     d = ranking.target_distances(t, s, fx.feature_distance)
     return d.select("target_id", "vec_id", F.round("dist", 6).alias("dist"), F.round(fx.euclidean(F.col("target"), F.col("features")), 6).alias("euclid"))
 
@@ -82,6 +82,16 @@ def min_score(spark, sf_dir):
 _GROWING = lambda sql: sql.replace("t.vec_id < 10 AND s.vec_id >= 10", "t.vec_id % 20 = 0 AND s.vec_id % 20 <> 0")
 
 
+def growing(name: str, query) -> None:
+    """Registers a query of targets once more, with every twentieth vector as a target."""
+
+    def whole(spark, sf_dir):
+        return query(spark, sf_dir, twentieths)
+
+    whole.__doc__ = f"{name} with every twentieth vector as a target."
+    register(f"growing_{name}", _GROWING(oracle_of(name)))(whole)
+
+
 @register("growing_k_average_score", _GROWING(_score_sql(K)))
 def growing_k_average_score(spark, sf_dir):
     """k_average_score with every twentieth vector as a target."""
@@ -102,9 +112,9 @@ def growing_top_k_per_target(spark, sf_dir):
 
 
 @register("far_targets", _PAIRS + "SELECT target_id, round(min(dist), 6) AS nearest FROM pairs GROUP BY target_id HAVING min(dist) > 0")
-def far_targets(spark, sf_dir):
+def far_targets(spark, sf_dir, split=targets_and_samples):
     """Targets that no sample meets exactly, with the distance of their nearest sample."""
-    t, s = targets_and_samples(spark, sf_dir)
+    t, s = split(spark, sf_dir)
     d = ranking.target_distances(t, s, fx.feature_distance).groupBy("target_id").agg(F.min("dist").alias("d"))
     return d.where("d > 0").select("target_id", F.round("d", 6).alias("nearest"))
 
@@ -155,17 +165,20 @@ def whole_z_scores(spark, sf_dir):
 
 
 @register("target_grid", """
-SELECT i AS step, floor(i * 1000 / 100)::BIGINT AS comp, floor(i * 300 / 100)::BIGINT AS mem, round(floor(i * 1000 / 100) / greatest(1, floor(i * 300 / 100)), 6) AS comp_per_mem FROM range(1, 101) r(i)""")
+WITH m AS (SELECT max(l_partkey) AS comp, max(l_suppkey) AS mem FROM lineitem)
+SELECT i AS step, (i * m.comp) // 100 AS comp, (i * m.mem) // 100 AS mem, round(((i * m.comp) // 100) / greatest(1, (i * m.mem) // 100), 6) AS comp_per_mem FROM range(1, 101) r(i), m""")
 def target_grid(spark, sf_dir):
-    grid = spark.range(1).select(F.posexplode(fx.target_grid({"comp": 1000, "mem": 300})).alias("i", "m"))
+    """Hundredths of the greatest features that the rows have (part and supplier keys)."""
+    most = spark.read.parquet(f"{sf_dir}/lineitem.parquet").agg(F.max("l_partkey").alias("comp"), F.max("l_suppkey").alias("mem"))  # one row
+    grid = most.select(F.posexplode(fx.target_grid({"comp": F.col("comp"), "mem": F.col("mem")})).alias("i", "m"))
     return grid.select((F.col("i") + 1).cast("long").alias("step"), F.col("m.comp").alias("comp"), F.col("m.mem").alias("mem"), F.round(F.col("m.comp") / F.greatest(F.lit(1), F.col("m.mem")), 6).alias("comp_per_mem"))
 
 
 @register("improving_candidate", _PAIRS + """, best AS (SELECT target_id, min(dist) FILTER (WHERE vec_id % 7 = 0) AS input_score FROM pairs GROUP BY target_id)
 SELECT p.target_id, arg_min(p.vec_id, (p.dist, p.vec_id)) AS vec_id, round(min(p.dist), 6) AS score FROM pairs p JOIN best b USING (target_id) WHERE p.dist > 0 AND p.dist < b.input_score GROUP BY p.target_id""")
-def improving_candidate(spark, sf_dir):
+def improving_candidate(spark, sf_dir, split=targets_and_samples):
     """The best sample strictly better than the input feed's score (samples with vec_id % 7 = 0 stand for feeds)."""
-    t, s = targets_and_samples(spark, sf_dir)
+    t, s = split(spark, sf_dir)
     d = ranking.target_distances(t, s, fx.feature_distance).select("target_id", "vec_id", "dist")
     feeds = d.where("vec_id % 7 = 0").groupBy("target_id").agg(F.min("dist").alias("input_score"))
     better = d.join(feeds, "target_id").where("dist > 0 and dist < input_score")
@@ -192,9 +205,9 @@ def growing_one_to_one(spark, sf_dir):
 
 @register("best_so_far", _PAIRS + """, g AS (SELECT target_id, vec_id % 8 AS generation, min(dist) AS best FROM pairs GROUP BY ALL)
 SELECT target_id, generation, round(best, 6) AS best, round(min(best) OVER (PARTITION BY target_id ORDER BY generation ROWS UNBOUNDED PRECEDING), 6) AS best_so_far FROM g""")
-def best_so_far(spark, sf_dir):
+def best_so_far(spark, sf_dir, split=targets_and_samples):
     """Least distance per target and generation, and the least up to it."""
-    t, s = targets_and_samples(spark, sf_dir)
+    t, s = split(spark, sf_dir)
     g = ranking.target_distances(t, s, fx.feature_distance).groupBy("target_id", (F.col("vec_id") % 8).alias("generation")).agg(F.min("dist").alias("best"))
     w = Window.partitionBy("target_id").orderBy("generation").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return g.select("target_id", "generation", F.round("best", 6).alias("best"), F.round(F.min("best").over(w), 6).alias("best_so_far"))
@@ -237,3 +250,7 @@ def leave_one_group_out(spark, sf_dir):
     n = vectors(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").alias("total"))
     return n.crossJoin(F.broadcast(total)).select(F.col("label").alias("fold"), (F.col("total") - F.col("n")).alias("n_train"), F.col("n").alias("n_test"))
+
+
+for _name, _query in (("feature_distance", feature_distance), ("far_targets", far_targets), ("improving_candidate", improving_candidate), ("best_so_far", best_so_far)):
+    growing(_name, _query)
