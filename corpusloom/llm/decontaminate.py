@@ -10,6 +10,10 @@ distance of the item to the best part of the text around decides. Walks of long
 apart, so the number of walks is derived for each size class: as many as seeded trials need until
 RECALL of randomly edited windows, with the most edits allowed, share a sample.
 
+A long item would need ever more walks. It is cut into parts of PART_WORDS at most: a copy with so many edits for each
+word has a part with no more than its share of them, so the parts are looked up like items, and a window that meets one
+stands for the whole item at the place where it would then begin.
+
 Windows that can't hold an item are not embedded: an edit costs a passage two bigrams of words at
 most, so a part of the text with fewer bigrams of items than that leaves has no hit. This loses nothing.
 
@@ -20,6 +24,7 @@ over the documents, which are neither shuffled nor gathered.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 from collections import defaultdict
 from collections.abc import Iterator
@@ -34,9 +39,11 @@ from pyspark.sql import types as T
 from corpusloom.llm import common
 from corpusloom.llm.words import Shingler, mix
 
-SAMPLES, STEPS_IN_SAMPLE, RECALL, TRIALS, MOST_WALKS = 16, 3, 0.95, 400, 48
+SAMPLES, STEPS_IN_SAMPLE, RECALL, TRIALS = 16, 3, 0.95, 400
 #: Words between windows, for items of LONG words or more; shorter items get windows at every word.
 STRIDE, LONG, RATIO = 6, 12, 1.5
+#: Items of more words are looked up by equal parts of as many words at most.
+PART_WORDS = 200
 ITEM_BLOCK, ITEM_WORDS = 5_000, 4_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -72,7 +79,7 @@ def walks_for(c: int, edits: int, recall: float = RECALL) -> int:
         other.append(np.concatenate((np.array(copy, np.uint64), pad))[: 3 * c + 3])
     both, row, steps = np.stack((np.stack(own), np.stack(other))), np.arange(TRIALS), max(1, int(1.5 * c))
     found = np.zeros(TRIALS, bool)
-    for walk in range(1, MOST_WALKS + 1):
+    for walk in itertools.count(1):
         place, equal = np.zeros((2, TRIALS), np.int64), np.zeros((steps, TRIALS), bool)
         for step in range(steps):
             out = np.stack((both[0][row, place[0]], both[1][row, place[1]]))
@@ -83,7 +90,6 @@ def walks_for(c: int, edits: int, recall: float = RECALL) -> int:
             found |= equal[_sample_steps(rng, c)].all(0)
         if found.mean() >= recall:
             return walk
-    return MOST_WALKS
 
 
 def _bigrams(words: np.ndarray) -> np.ndarray:
@@ -91,21 +97,28 @@ def _bigrams(words: np.ndarray) -> np.ndarray:
     return mix(words[:-1] * _ODD + words[1:])
 
 
+def parts_of(n: int) -> list[tuple[int, int]]:
+    """(begin, end) of the equal parts that an item of n words is looked up by."""
+    count = -(-n // PART_WORDS)
+    return [(n * k // count, n * (k + 1) // count) for k in range(count)]
+
+
 class Index:
-    """Hashes of items' windows, for one stride and least similarity. items: (item id, word hashes)."""
+    """Hashes of the windows of items' parts, for one stride and least similarity. items: (item id, word hashes)."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], stride: int, similarity: float, seed: int = 1):
         self.items, self.stride = items, stride
         self.words = [w.tolist() for _, w in items]
-        classes = _classes(max(len(w) for _, w in items))
+        parts = [(k, begin, w[begin:end]) for k, (_, w) in enumerate(items) for begin, end in parts_of(len(w))]
+        classes = _classes(max(len(w) for _, _, w in parts))
         of_class = defaultdict(list)  # the longest class that fits behind every first word
-        for k, (_, w) in enumerate(items):
+        for k, (_, _, w) in enumerate(parts):
             size = max(1, len(w) - stride + 1)
             of_class[max(c for c in classes if c <= size)].append(k)
         rng = np.random.default_rng(seed)
         self.steps = max(1, int(1.5 * max(of_class)))
-        #: a window may hold more than its share of an item's edits, so the share is rounded up
-        may_change = {c: any(int((1 - similarity) * len(items[k][1]) + 1e-9) for k in members) for c, members in of_class.items()}
+        #: a window may hold more than its share of a part's edits, so the share is rounded up
+        may_change = {c: any(int((1 - similarity) * len(parts[k][2]) + 1e-9) for k in members) for c, members in of_class.items()}
         walks = {c: walks_for(c, math.ceil((1 - similarity) * c - 1e-9) * may_change[c]) for c in sorted(of_class)}
         self.walks = max(walks.values())
         self.odd = rng.integers(0, 2**63, (self.walks, self.steps)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -119,16 +132,17 @@ class Index:
                     self.takes[walk][step].append(s)
         self.found: list[list[dict[int, list[tuple[int, int]]]]] = [[defaultdict(list) for _ in x] for x in self.sample_class]
         #: whether an item may have a hash, by its first bits: about sixteen slots for each of a class's starts
-        most = max(sum(min(stride, len(items[k][1])) for k in members) for members in of_class.values())
+        most = max(sum(min(stride, len(parts[k][2])) for k in members) for members in of_class.values())
         self.rest = np.uint64(64 - min(16, max(8, int(16 * most).bit_length())))
         self.maybe = [np.zeros((len(x), 1 << 64 - int(self.rest)), bool) for x in self.sample_class]
         for c, members in of_class.items():
-            starts = [(k, o) for k in members for o in range(min(stride, len(items[k][1])))]
-            text, at, length = [], [], 0
-            for k, o in starts:
-                at.append(length)
-                text.append(np.concatenate((items[k][1][o:], np.zeros(self.steps + 1, np.uint64))))
-                length += len(text[-1])
+            text, at, length, starts = [], [], 0, []
+            for number, begin, w in (parts[k] for k in members):
+                for o in range(min(stride, len(w))):
+                    starts.append((number, begin + o))
+                    at.append(length)
+                    text.append(np.concatenate((w[o:], np.zeros(self.steps + 1, np.uint64))))
+                    length += len(text[-1])
             words, at = np.concatenate(text), np.array(at)
             for walk in range(walks[c]):
                 hashes = self.embed(words, at, walk)
@@ -142,10 +156,10 @@ class Index:
         self.shift = np.uint64(64 - min(24, max(12, int(64 * len(bigrams)).bit_length())))
         self.held = np.zeros(1 << 64 - int(self.shift), bool)
         self.held[(bigrams >> self.shift).astype(np.int64)] = True
-        #: for each class: words before and behind a window's start that a passage may take, and the bigrams it has at least
+        #: for each class: words before and behind a window's start that a part's passage may take, and the bigrams it has at least
         self.reach = []
         for members in of_class.values():
-            sizes = np.array([len(items[k][1]) for k in members])
+            sizes = np.array([len(parts[k][2]) for k in members])
             most = ((1 - similarity) * sizes + 1e-9).astype(int)
             self.reach.append((stride + int(most.max()), int((sizes + 2 * most).max()) + 2, int((sizes - 1 - 2 * most).min())))
 
@@ -211,6 +225,7 @@ class Detector:
         hashed = self.shingler.words_of(pc.fill_null(texts, ""))
         lengths = np.array([len(w) for w in hashed], np.int64)
         for index in self.indexes:
+            checked: set[tuple[int, int, int]] = set()
             pad = np.zeros(index.steps + 1, np.uint64)
             words = np.concatenate([x for w in hashed for x in (w, pad)]) if len(texts) else pad
             begin = np.cumsum(lengths + len(pad)) - lengths - len(pad)
@@ -224,14 +239,23 @@ class Detector:
                     # a start before the text belongs to the window's own text, whose first word is nearest
                     window = int(np.searchsorted(begin, min(start + index.stride, len(words) - 1), "right")) - 1
                     d = max(d, window)
-                    self._check(index, number, start - int(begin[d]), hashed[d], out[d])
+                    start -= int(begin[d])
+                    most = int((1 - self.similarity) * len(index.items[number][1]) + 1e-9)
+                    slack = 0
+                    if len(index.items[number][1]) > PART_WORDS:  # its parts give many starts, of which near ones are one check
+                        slack = most
+                        start -= start % (most + 1)
+                        if (d, number, start) in checked:
+                            continue
+                        checked.add((d, number, start))
+                    self._check(index, number, start, most, slack, hashed[d], out[d])
         return out
 
-    def _check(self, index: Index, number: int, start: int, text: np.ndarray, out: dict) -> None:
+    def _check(self, index: Index, number: int, start: int, most: int, slack: int, text: np.ndarray, out: dict) -> None:
+        """Looks for an item that begins at ``start``, or up to ``slack`` words behind it, give or take ``most``."""
         i, item = index.items[number]
-        most = int((1 - self.similarity) * len(item) + 1e-9)
         low = max(0, start - most - 1)
-        part = text[low : start + len(item) + most + 1]
+        part = text[low : max(0, start + slack + len(item) + most + 1)]
         if i in out and out[i][0] == 0:
             return
         if sum(map(set(part.tolist()).__contains__, index.words[number])) < len(item) - most:  # each word that isn't there costs an edit

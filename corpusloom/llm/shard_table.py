@@ -21,6 +21,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm import common
 
@@ -122,11 +123,26 @@ class ShardTable:
             if new is None:
                 return None
             try:
-                self._commit(version + 1, new, known or schema)
+                self._commit(version + 1, new, self._evolved(known, schema))
             except Conflict:
                 continue
             return version + 1
 
+    def _evolved(self, known: str | None, arriving: str | None) -> str | None:
+        """The table's schema with the columns of an arrival that it lacks; an error where a column has another type."""
+        if known is None or arriving is None:
+            return known or arriving
+        same = (lambda x: x) if self.spark.conf.get("spark.sql.caseSensitive") == "true" else str.lower
+        fields = [T.StructField(f.name, f.dataType) for f in T.StructType.fromJson(json.loads(known)).fields]
+        held = {same(f.name): f for f in fields}
+        for f in T.StructType.fromJson(json.loads(arriving)).fields:
+            own = held.get(same(f.name))
+            if own is None:
+                fields.append(T.StructField(f.name, f.dataType))
+            elif T.StructType([own]).simpleString().lower() != T.StructType([T.StructField(own.name, f.dataType)]).simpleString().lower():
+                raise ValueError(f"column {f.name} of {self.path} is {own.dataType.simpleString()}, not {f.dataType.simpleString()}")
+        return T.StructType(fields).json()
+
     def _listed(self, folder: str) -> list[Shard]:
         where = self._path(f"{self.path}/{folder}")
         files = [(s.getPath().getName(), s.getLen()) for s in self._fs.listStatus(where)] if self._fs.exists(where) else []
@@ -137,13 +153,19 @@ class ShardTable:
         return self._listed(folder)
 
     def append(self, df: DataFrame, rows_in_shard: int = ROWS_IN_SHARD) -> int:
-        """Adds rows as new shards; the new version. An empty arrival is a version without new rows."""
+        """Adds rows as new shards; the new version. An empty arrival is a version without new rows.
+
+        Columns that the table lacks are added to its schema, and are null in earlier rows; columns that the arrival
+        lacks are null in its rows. A column of another type than the table's is an error, and nothing is added."""
+        self._evolved(self.manifest()[2], df.schema.json())
         new = self._write(df, f"data/a-{uuid.uuid4().hex[:8]}", rows_in_shard)
         return self._update(lambda shards: shards + new, df.schema.json())
 
     def append_each(self, df: DataFrame, arrival: Column, arrivals: int = ARRIVALS, rows_in_shard: int = ROWS_IN_SHARD, after: Callable[[], object] = lambda: None) -> int:
         """Adds rows as ``arrivals`` arrivals, whose number (from 0) ``arrival`` gives: one job writes the
-        shards of all, then each arrival is committed as a version, and ``after`` is called. The last version."""
+        shards of all, then each arrival is committed as a version, and ``after`` is called. The last version.
+        Schemas are compared as in ``append``."""
+        self._evolved(self.manifest()[2], df.schema.json())
         folder = f"data/a-{uuid.uuid4().hex[:8]}"
         df.withColumn("_arrival", arrival).write.option("compression", "zstd").option("maxRecordsPerFile", rows_in_shard).partitionBy("_arrival").parquet(f"{self.path}/{folder}")
         landed = [self._listed(f"{folder}/_arrival={k}") for k in range(arrivals)]
@@ -176,9 +198,7 @@ class ShardTable:
                     self._fs.delete(self._path(f"{self.path}/{s.file}"), False)
 
     def _files(self, shards: list[Shard], schema: str) -> DataFrame:
-        from pyspark.sql.types import StructType
-
-        kind = StructType.fromJson(json.loads(schema))
+        kind = T.StructType.fromJson(json.loads(schema))
         if not shards:
             return self.spark.createDataFrame([], kind)
         return self.spark.read.schema(kind).parquet(*[f"{self.path}/{s.file}" for s in shards])
