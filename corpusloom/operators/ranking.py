@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusloom.sources.shared import saver
+from corpusloom.sources.shared import saver, shared_path
 
 #: Targets, and characters of them as JSON, that are sent to every task at once.
 MAX_BROADCAST_TARGETS, MAX_BROADCAST_CHARS = 10_000, 64_000_000
@@ -76,25 +77,43 @@ def running_sums(df: DataFrame, order: list, value: str, column: str = "before")
     return _with_before(local, sums).withColumn(column, F.col(column) + F.col("_before")).drop("_part", "_at", "_before")
 
 
-def greedy_one_to_one(pairs: DataFrame, left: str = "a", right: str = "b", dist: str = "dist") -> DataFrame:
-    """Each left row in id order takes its nearest right row that is still free.
+#: Left rows that a round of greedy_one_to_one settles.
+ROUND_ROWS = 500
 
-    In rounds of Spark jobs: each left row that holds none proposes its nearest right row that hasn't refused it,
-    and a right row keeps the least left row that proposed and refuses the others, displacing a later one it held.
-    Both sides' orders are strict, so the end is the one stable matching, which is what the sequential rule gives.
-    Pairs are written once, a round writes a row for each left row; no task sees all rows."""
+
+def greedy_one_to_one(pairs: DataFrame, left: str = "a", right: str = "b", dist: str = "dist", round_rows: int = ROUND_ROWS) -> DataFrame:
+    """(left, right, dist): each left row in id order takes its nearest right row that is still free (ties: the least right id).
+
+    In rounds of ``round_rows`` left rows, least ids first. When a round comes, all lesser rows have what they take; of a row's
+    pairs with free right rows only the ``round_rows`` nearest can matter, as no more rows of the round choose before it. So a
+    round is one task of round_rows x round_rows pairs at most, and each pair is read in one round only.
+    Pairs with a null id are left out; of equal pairs the nearest counts; a left row without a free pair has no row."""
     spark = pairs.sparkSession
     rows = pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull()).groupBy(left, right).agg(F.min(dist).cast("double").alias(dist))
-    all_pairs = saver(spark, "pairs")(rows)
-    open_ = all_pairs
-    while True:
-        nearest = open_.groupBy(left).agg(F.min(F.struct(dist, right)).alias("_m"))
-        wanted = saver(spark, "proposals")(nearest.select(left, F.col(f"_m.{right}").alias(right), F.col(f"_m.{dist}").alias(dist)))
-        kept = wanted.groupBy(right).agg(F.min(left).alias("_kept"), F.count("*").alias("_n"))
-        if kept.where("_n > 1").isEmpty():
-            return wanted
-        # who holds a right row proposes to it again, so the last round's proposals tell all that is refused
-        open_ = all_pairs.join(kept, right, "left").where(F.col("_kept").isNull() | (F.col(left) <= F.col("_kept"))).select(left, right, dist)
+    order = numbered_rows(rows.select(left).distinct(), [F.col(left)], "_n").select(left, F.floor(F.col("_n") / round_rows).alias("_round"))
+    path = shared_path(spark, "pairs")
+    rows.join(order, left).write.partitionBy("_round").parquet(path)
+    held = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_round", T.LongType())])).parquet(path)
+    last = order.agg(F.max("_round")).first()[0]
+    done = rows.limit(0)
+    for k in range(0 if last is None else last + 1):
+        own = held.where(F.col("_round") == k).drop("_round")
+        near = top_k(own.join(done.select(right), right, "left_anti").select(left, right, dist), [left], [dist, right], round_rows, "_rank").drop("_rank")
+        settled = saver(spark, "settled")(near.withColumn("_one", F.lit(0)).groupBy("_one").applyInArrow(_in_turn, rows.schema))
+        done = settled if k == 0 else done.unionByName(settled)
+    return done
+
+
+def _in_turn(group):
+    """(left, right, dist) of one round: left rows in order take their nearest free right row."""
+    group = group.select([0, 1, 2])
+    taken, out = set(), []
+    a, b, d = (group.column(k).to_pylist() for k in range(3))
+    for k in sorted(range(len(a)), key=lambda k: (a[k], d[k], b[k])):
+        if b[k] not in taken and (not out or a[out[-1]] != a[k]):
+            taken.add(b[k])
+            out.append(k)
+    return group.take(out)
 
 
 def fixed_length_rows(df: DataFrame, order: list, ids: str, length: int, batch: int, copies: int = 1) -> DataFrame:
