@@ -327,6 +327,19 @@ def measurement_csv(spark, sf_dir):
     return _wide_rows(spark, sf_dir).select("benchmark", F.to_csv(F.struct(*names)).alias("line"))
 
 
+#: Columns of a measurement row, in this order; those that are no whole numbers or words.
+_COLUMNS = ("benchmark dataset comp rational mem localmem coalesced atomic transfer wgsize f1 f2 f3 f4 oracle runtime speedup penalty "
+            "runtime_cpu ci_cpu ci_mean_cpu runtime_gpu ci_gpu ci_mean_gpu kernel_nlines kernel_size").split()
+_REAL = set("comp rational transfer f1 f2 f3 f4 runtime speedup penalty runtime_cpu ci_cpu ci_mean_cpu runtime_gpu ci_gpu ci_mean_gpu".split())
+
+
+@register("whole_measurement_csv", _WIDE + f"""SELECT benchmark, concat_ws(',', {", ".join(f"round({c}, 6)::DECIMAL(30, 6)::VARCHAR" if c in _REAL else f"{c}::VARCHAR" for c in _COLUMNS)}) AS line FROM w""")
+def whole_measurement_csv(spark, sf_dir):
+    """CSV lines of all columns of the measurement rows, with six decimals."""
+    columns = [F.round(c, 6).cast("decimal(30,6)").alias(c) if c in _REAL else F.col(c) for c in _COLUMNS]
+    return _wide_rows(spark, sf_dir).select("benchmark", F.to_csv(F.struct(*columns)).alias("line"))
+
+
 @register("nested_counters", "SELECT user_id, coalesce(sum(1) FILTER (WHERE event_type = 'click'), 0)::BIGINT AS click, coalesce(sum(1) FILTER (WHERE event_type = 'view'), 0)::BIGINT AS view, count(*) AS total FROM events GROUP BY user_id")
 def nested_counters(spark, sf_dir):
     """Counters of each kind inside each user, a column for each kind."""
