@@ -120,11 +120,14 @@ def held_by_worker(key: tuple, make: Callable[[], object]):
     return _HELD[key]
 
 
-def tidy(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """The same task, after which the worker gives memory that it doesn't use back to the system. Workers stay while
-    the executor's other workers run, so what a finished stage needed would otherwise count against the next."""
+def tidy(task: Callable[[Iterator], Iterator], holds: bool = False) -> Callable[[Iterator], Iterator]:
+    """The same task, before which the worker drops what held_by_worker holds, unless the task uses that (``holds``), and
+    after which it gives memory that it doesn't use back to the system. Workers stay while the executor's other
+    workers run, so what a finished stage needed would otherwise count against the next."""
 
     def tidied(batches: Iterator) -> Iterator:
+        if not holds:
+            _HELD.clear()
         try:
             yield from task(batches)
         finally:

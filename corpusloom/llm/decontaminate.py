@@ -306,7 +306,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.
                     columns = list(zip(*rows, strict=True)) or [()] * 5
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "distance", "item_words", "end_word"])
 
-        hits = source.mapInArrow(common.tidy(scanned), HITS)
+        hits = source.mapInArrow(common.tidy(scanned, holds=True), HITS)
         found = hits if found is None else found.union(hits)
     return found if found is not None else docs.sparkSession.createDataFrame([], HITS)
 
@@ -327,7 +327,7 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, similarity: float =
                     batch = whole.slice(k, 200)
                     yield batch.filter(pa.array([not h for h in detector.hits(batch.column(at))], pa.bool_()))
 
-        docs = docs.mapInArrow(common.tidy(clean), T.StructType(docs.schema.fields))
+        docs = docs.mapInArrow(common.tidy(clean, holds=True), T.StructType(docs.schema.fields))
     return docs
 
 

@@ -37,7 +37,7 @@ KEPT_CHARS = 64
 class Codec:
     """Ids of marked words and texts of ids, of one byte-pair model."""
 
-    def __init__(self, path: str, most: int = 150_000, most_joins: int = 300_000):
+    def __init__(self, path: str, most: int = 350_000, most_joins: int = 300_000):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         m, n = self.model, self.model.get_piece_size()
         plain = [i for i in range(n) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
@@ -165,7 +165,7 @@ def encode_texts(docs: DataFrame, model_file: str | None = None, text_col: str =
                 yield pa.RecordBatch.from_arrays([*(c.slice(begin, end - begin) for c in whole.columns), *more], names=out.names)
                 begin = end
 
-    return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(common.tidy(coded), out)
+    return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(common.tidy(coded, holds=True), out)
 
 
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
