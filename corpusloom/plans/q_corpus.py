@@ -340,6 +340,23 @@ def whole_measurement_csv(spark, sf_dir):
     return _wide_rows(spark, sf_dir).select("benchmark", F.to_csv(F.struct(*columns)).alias("line"))
 
 
+#: The sets of feature columns that models are trained on.
+FEATURE_SETS = {
+    "ratios": ("f1", "f2", "f3", "f4"),
+    "raw": ("comp", "rational", "mem", "localmem", "coalesced", "atomic", "transfer", "wgsize"),
+    "static": ("comp", "mem", "localmem", "coalesced"),
+    "extended": ("comp", "rational", "mem", "localmem", "coalesced"),
+}
+
+
+@register("feature_sets", _WIDE + " UNION ALL ".join(f"SELECT benchmark, '{k}' AS subset, " + ", ".join(f"{v[i]}::DOUBLE AS x{i + 1}" if i < len(v) else f"NULL::DOUBLE AS x{i + 1}" for i in range(8)) + " FROM w" for k, v in FEATURE_SETS.items()))
+def feature_sets(spark, sf_dir):
+    """Every set of feature columns of every measurement row, as an array, shown by its places."""
+    sets = F.array(*[F.struct(F.lit(k).alias("subset"), F.array(*[F.col(c).cast("double") for c in v]).alias("x")) for k, v in FEATURE_SETS.items()])
+    rows = _wide_rows(spark, sf_dir).select("benchmark", F.inline(sets))
+    return rows.select("benchmark", "subset", *[F.get("x", F.lit(i)).alias(f"x{i + 1}") for i in range(8)])
+
+
 @register("nested_counters", "SELECT user_id, coalesce(sum(1) FILTER (WHERE event_type = 'click'), 0)::BIGINT AS click, coalesce(sum(1) FILTER (WHERE event_type = 'view'), 0)::BIGINT AS view, count(*) AS total FROM events GROUP BY user_id")
 def nested_counters(spark, sf_dir):
     """Counters of each kind inside each user, a column for each kind."""

@@ -243,6 +243,14 @@ def pca_two(spark, sf_dir):
     return PCA(k=2, inputCol="x", outputCol="y").fit(v).transform(v).select("vec_id", "label", vector_to_array("y").alias("components"))
 
 
+@register("layout_two")
+def layout_two(spark, sf_dir):
+    """Two-dimensional layout of all vectors, neighbours near each other."""
+    from corpusloom.operators.layout import layout
+
+    return layout(vectors(spark, sf_dir), "vec_id", "features", rounds=10)
+
+
 @register("leave_one_group_out", """
 SELECT f.label AS fold, count(*) FILTER (WHERE e.label <> f.label) AS n_train, count(*) FILTER (WHERE e.label = f.label) AS n_test FROM embeddings e CROSS JOIN (SELECT DISTINCT label FROM embeddings) f GROUP BY f.label""")
 def leave_one_group_out(spark, sf_dir):

@@ -53,8 +53,7 @@ _TEXT_IDS = "list_transform(regexp_extract_all(text, '(?s).'), lambda c: unicode
 
 def _text_ids(spark, sf_dir):
     """Code points of whole texts."""
-    chars = F.filter(F.split(F.coalesce("text", F.lit("")), ""), lambda c: c != "")
-    return t(spark, sf_dir, "documents").select("doc_id", F.transform(chars, lambda c: F.ascii(c)).alias("ids"))
+    return tk.text_ids(t(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def _text(array: str) -> str:
