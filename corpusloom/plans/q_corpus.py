@@ -169,9 +169,9 @@ def delta_quartiles(spark, sf_dir):
 # sampling, splits, instances
 
 
-def _draw(seed: str, *keys: str) -> Column:
+def _draw(seed: str, *keys: str | Column) -> Column:
     """A number below 2**32 from a seed and keys: the same in every run and engine."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in keys]).cast("binary")), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 def _draw_sql(seed: str, *keys: str) -> str:
@@ -194,11 +194,15 @@ def uniform_sampler(spark, sf_dir):
 WITH d AS (SELECT doc_id, k, round_even(6 + 4 * sqrt(-2 * ln(({_draw_sql('a', 'doc_id', 'k')} + 1) / 4294967297.0::DOUBLE)) * cos(2 * pi() * {_draw_sql('b', 'doc_id', 'k')} / 4294967296.0::DOUBLE), 0)::BIGINT AS v FROM documents CROSS JOIN range(0, 24) r(k))
 SELECT doc_id, arg_min(v, k) AS length FROM d WHERE v BETWEEN 0 AND 16 GROUP BY doc_id""")
 def truncated_normal_sampler(spark, sf_dir):
-    """Normal lengths of mean 6 and scale 4, drawn again until they lie in 0 to 16 (24 draws: a miss is one in 10**28)."""
-    rows = t(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("k"))
-    u, w = (_draw("a", "doc_id", "k") + 1) / F.lit(4294967297.0), _draw("b", "doc_id", "k") / F.lit(4294967296.0)
-    v = F.rint(6 + 4 * F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * w)).cast("long")
-    return rows.select("doc_id", "k", v.alias("v")).where("v between 0 and 16").groupBy("doc_id").agg(F.min_by("v", "k").alias("length"))
+    """Normal lengths of mean 6 and scale 4, drawn again until they lie in 0 to 16 (24 draws, all of which miss once in 10**28;
+    such a row gets the mean). All draws of a row are made in its row."""
+
+    def drawn(k: Column) -> Column:
+        u, w = (_draw("a", "doc_id", k) + 1) / F.lit(4294967297.0), _draw("b", "doc_id", k) / F.lit(4294967296.0)
+        return F.rint(6 + 4 * F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * w)).cast("long")
+
+    hits = F.filter(F.transform(F.sequence(F.lit(0), F.lit(23)), drawn), lambda v: (v >= 0) & (v <= 16))
+    return t(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.get(hits, F.lit(0)), F.lit(6)).cast("long").alias("length"))
 
 
 @register("percent_split", "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) - 1 < floor(count(*) OVER () * (1 - 7 / 100.0::DOUBLE)) THEN 'train' ELSE 'validation' END AS part FROM documents")
@@ -276,8 +280,9 @@ SELECT vec_id, len(embedding)::INT AS n, list_aggregate(list_transform(embedding
 def vector_and_map(spark, sf_dir):
     """A vector as a map by name and back, in the order of the names' numbers."""
     names = F.transform(F.sequence(F.lit(0), F.size("embedding") - 1), lambda i: F.concat(F.lit("f"), i.cast("string")))
-    named = t(spark, sf_dir, "embeddings").select("vec_id", F.map_from_arrays(names, "embedding").alias("m"), names.alias("names"))
-    back = named.select("vec_id", F.transform("names", lambda k: F.element_at("m", k)).alias("v"))
+    named = t(spark, sf_dir, "embeddings").select("vec_id", F.map_from_arrays(names, "embedding").alias("m"))
+    placed = F.transform(F.map_entries("m"), lambda e: F.struct(F.substring(e["key"], 2, 10).cast("int").alias("place"), e["value"].alias("x")))
+    back = named.select("vec_id", F.transform(F.sort_array(placed), lambda e: e["x"]).alias("v"))
     weighted = F.aggregate(F.transform("v", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, b: a + b)
     return back.select("vec_id", F.size("v").alias("n"), weighted.cast("decimal(18,3)").cast("string").alias("weighted"))
 
