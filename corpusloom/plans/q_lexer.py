@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import features as fx
 from corpusloom.functions import kernels as kn
 from corpusloom.functions import lexer as lx
-from corpusloom.operators import dedup, lexing
-from corpusloom.plans.catalog import register
+from corpusloom.operators import dedup, lexing, ranking
+from corpusloom.plans.catalog import oracle_of, register
+from corpusloom.plans.q_features import vectors
 from corpusloom.plans.q_relational import t
 from corpusloom.sources.shared import saver
 
@@ -126,3 +128,32 @@ def extracted_kernels(spark, sf_dir):
     found = t(spark, sf_dir, "documents").select("doc_id", F.posexplode(kn.kernels_and_headers(text)).alias("k", "x"))
     digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
     return found.select("doc_id", (F.col("k") + 1).cast("long").alias("k"), digest("x.kernel").alias("kernel_sha256"), digest("x.header").alias("header_sha256"))
+
+
+#: Each target's nearest sample of each group in three feature spaces (thirds of the vectors), by SQL.
+_NEAREST = """
+v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS f, len(embedding) // 3 AS n FROM embeddings),
+space AS (SELECT vec_id, label, unnest([1, 2, 3]) AS space, unnest([f[1:n], f[n + 1:2 * n], f[2 * n + 1:]]) AS f FROM v),
+far AS (
+  SELECT t.space, t.vec_id AS target_id, s.label, s.vec_id, round(sqrt(list_sum(list_transform(range(1, len(t.f) + 1), lambda i: abs(t.f[i] * t.f[i] - s.f[i] * s.f[i])))), 6) AS dist
+  FROM space t JOIN space s ON t.space = s.space AND s.vec_id % 20 <> 0 WHERE t.vec_id % 20 = 0),
+chosen AS (SELECT DISTINCT label, vec_id FROM (SELECT label, arg_min(vec_id, (dist, vec_id)) AS vec_id FROM far GROUP BY space, target_id, label))"""
+
+
+@register("human_likeness_set", oracle_of("renamed_content_dedup").rsplit("SELECT sha256", 1)[0].rstrip() + f",{_NEAREST}" + """
+SELECT label, sha256(replace(replace(array_to_string(c, ''), ' ', ''), chr(10), '')) AS key, min(doc_id) AS doc_id FROM chosen JOIN canonical ON doc_id = vec_id GROUP BY 1, 2""")
+def human_likeness_set(spark, sf_dir):
+    """Texts to show in a study: for each group the samples nearest to every twentieth vector in each of three feature
+    spaces, each content once, whatever its bound names."""
+    v = vectors(spark, sf_dir)
+    third = F.floor(F.size("features") / 3).cast("int")
+    chosen = None
+    for space in range(3):
+        part = F.slice("features", third * space + 1, third if space < 2 else F.size("features"))
+        targets = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("target_id"), part.alias("target"))
+        far = ranking.target_distances(targets, v.where("vec_id % 20 <> 0").select("vec_id", "label", part.alias("features")), fx.feature_distance)
+        near = far.groupBy("label", "target_id").agg(F.min(F.struct(F.round("dist", 6).alias("dist"), "vec_id")).alias("m")).select("label", "m.vec_id")
+        chosen = near if chosen is None else chosen.unionByName(near)
+    texts = t(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    shown = chosen.distinct().join(texts, F.col("vec_id") == F.col("doc_id")).select("label", lx.canonical_key(F.col("text")).alias("key"), "doc_id")
+    return shown.groupBy("label", "key").agg(F.min("doc_id").alias("doc_id"))
