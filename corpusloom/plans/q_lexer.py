@@ -106,9 +106,9 @@ def lexer_round_trip(spark, sf_dir):
     return text.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
-#: Whole texts with braces for two letters and kernels for empty lines.
+#: Whole texts with braces for two letters and kernels for ends of lines.
 _KERNELS = r"""
-prepared AS (SELECT doc_id, string_split(replace(translate(coalesce(text, ''), 'qz', '{}'), chr(10) || chr(10), 'kernel void'), 'kernel void') AS chunks FROM documents),
+prepared AS (SELECT doc_id, string_split(replace(translate(coalesce(text, ''), 'qz', '{}'), chr(10), 'kernel void'), 'kernel void') AS chunks FROM documents),
 chunk AS (SELECT doc_id, unnest(chunks) AS chunk, generate_subscripts(chunks, 1) - 1 AS k FROM prepared),
 piece AS (SELECT doc_id, k, unnest(regexp_extract_all(chunk, '[^{}]*[{}]')) AS p, generate_subscripts(regexp_extract_all(chunk, '[^{}]*[{}]'), 1) AS i FROM chunk WHERE k > 0),
 depth AS (SELECT doc_id, k, sum(length(p)) OVER w AS n, sum(ends_with(p, '{')::INT) OVER w AS opened, sum(ends_with(p, '}')::INT) OVER w AS closed FROM piece WINDOW w AS (PARTITION BY doc_id, k ORDER BY i)),
@@ -124,7 +124,7 @@ SELECT p.doc_id, p.k, sha256('kernel void' || p.body) AS kernel_sha256,
        sha256((SELECT h.chunk FROM chunk h WHERE h.doc_id = p.doc_id AND h.k = 0) || coalesce((SELECT string_agg(b.behind, '' ORDER BY b.k) FROM part b WHERE b.doc_id = p.doc_id AND b.k < p.k), '')) AS header_sha256 FROM part p""")
 def extracted_kernels(spark, sf_dir):
     """Every kernel of whole texts and the global text in front of it."""
-    text = F.replace(F.translate(F.coalesce("text", F.lit("")), "qz", "{}"), F.lit("\n\n"), F.lit(kn.SPECIFIER))
+    text = F.replace(F.translate(F.coalesce("text", F.lit("")), "qz", "{}"), F.lit("\n"), F.lit(kn.SPECIFIER))
     found = t(spark, sf_dir, "documents").select("doc_id", F.posexplode(kn.kernels_and_headers(text)).alias("k", "x"))
     digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
     return found.select("doc_id", (F.col("k") + 1).cast("long").alias("k"), digest("x.kernel").alias("kernel_sha256"), digest("x.header").alias("header_sha256"))
