@@ -56,8 +56,8 @@ def metadata(df: DataFrame, key: str, prefix: bool = False) -> DataFrame:
     return df.where(F.col("key").startswith(key) if prefix else F.col("key") == key)
 
 
-#: Partitions of a SQLite table at most; keys that lie far apart then have longer ranges.
-MOST_PARTS = 10_000
+#: Partitions of a SQLite table or query at most; keys that lie far apart then have longer ranges.
+MOST_PARTS = 1_000
 
 
 class _SQLitePart(InputPartition):
@@ -83,6 +83,8 @@ class _SQLiteReader(DataSourceReader):
         con = self._connect()
         try:
             low, high = (con.execute(f"SELECT {f}({self.key}) FROM {self.source}").fetchone()[0] for f in ("min", "max"))
+            # row numbers lie close together as a rule, so they tell about how many rows there are
+            first, last = (con.execute(f"SELECT {f}(rowid) FROM {self.source}").fetchone()[0] for f in ("min", "max")) if self.options["numbered"] == "1" else (None, None)
         finally:
             con.close()
         parts = [_SQLitePart(None, None, True)] if self.key != "rowid" else []
@@ -91,7 +93,8 @@ class _SQLiteReader(DataSourceReader):
         if not (isinstance(low, int) and isinstance(high, int)):
             raise ValueError(f"the key {self.key} has values that are no integers")
         span = high - low + 1
-        n = min(MOST_PARTS, -(-span // int(self.options["rows"])))
+        most = span if first is None else min(span, last - first + 1)
+        n = min(int(self.options["parts"]), -(-most // int(self.options["rows"])))
         return parts + [_SQLitePart(low + span * k // n, low + span * (k + 1) // n - 1) for k in range(n)]
 
     def read(self, partition: _SQLitePart):
@@ -122,16 +125,17 @@ class SQLiteSource(DataSource):
         return _SQLiteReader(dict(self.options))
 
 
-def sqlite_table(spark: SparkSession, path: str, query: str, columns: str, rows: int = 100_000, key: str | None = None) -> DataFrame:
-    """Rows of a table (``query`` is its name) or of a query, in partitions of about ``rows`` keys.
+def sqlite_table(spark: SparkSession, path: str, query: str, columns: str, rows: int = 100_000, key: str | None = None, numbered: bool = True, most_parts: int = MOST_PARTS) -> DataFrame:
+    """Rows of a table (``query`` is its name) or of a query, in partitions of about ``rows`` keys, ``most_parts`` at most.
 
     The ranges are cut between the least and the greatest key, which an index gives at once, and each partition reads
     one range of the index, so all of them together read every row once. A table's key is its rowid unless one
     is given; a query has none unless one of its integer columns is named (one that an index serves), and is then
-    one partition, read by one cursor. Equal rows stay; rows whose key is null are a partition of their own."""
+    one partition, read by one cursor. Equal rows stay; rows whose key is null are a partition of their own. A table
+    without row numbers needs ``key``, and ``numbered`` false."""
     table = re.fullmatch(r"\w+", query) is not None
     names = ", ".join(f'"{f.name}"' for f in StructType.fromDDL(columns)) if table else "*"
-    options = {"path": os.path.expandvars(path).removeprefix("file://"), "source": f'"{query}"' if table else f"({query})", "selected": names, "columns": columns, "rows": rows}
+    options = {"path": os.path.expandvars(path).removeprefix("file://"), "source": f'"{query}"' if table else f"({query})", "selected": names, "columns": columns, "rows": rows, "parts": most_parts, "numbered": int(table and numbered)}
     key = key or ("rowid" if table else None)
     if key:
         options["key"] = key

@@ -140,13 +140,15 @@ def test_fallback_order(spark, tmp_path):
     assert read() == [("", 2, 0, 0.0), ("17", 1, 250, 0.5)]
 
 
-def test_sqlite_ranges(spark, tmp_path, monkeypatch):
+def test_sqlite_ranges(spark, tmp_path):
     rng, path = random.Random(2), str(tmp_path / "a.db")
     rows = [(rng.choice([None, rng.randrange(-10**12, 10**12), rng.randrange(40)]), rng.choice(["a", "b", None])) for _ in range(500)]
     con = sqlite3.connect(path)
     con.execute("create table files (id integer, text text)")
     con.execute("create index at on files (id)")
     con.executemany("insert into files values (?, ?)", rows)
+    con.execute("create table bare (id integer primary key, text text) without rowid")
+    con.execute("insert into bare values (3, 'b'), (1, 'a')")
     con.execute("create table empty (id integer, text text)")
     con.execute("create table named (id text, text text)")
     con.execute("insert into named values ('x', 'y')")
@@ -156,9 +158,12 @@ def test_sqlite_ranges(spark, tmp_path, monkeypatch):
     want, schema = sorted(map(str, rows)), "id long, text string"
     by_rowid = readers.sqlite_table(spark, path, "files", schema, rows=60)
     assert show(by_rowid) == want and by_rowid.rdd.getNumPartitions() == 9
-    monkeypatch.setattr(readers, "MOST_PARTS", 20)
-    assert show(readers.sqlite_table(spark, path, "files", schema, rows=3, key="id")) == want
-    assert show(readers.sqlite_table(spark, path, "SELECT id, text FROM files", schema, rows=100, key="id")) == want
+    by_key = readers.sqlite_table(spark, path, "files", schema, rows=100, key="id")
+    assert show(by_key) == want and by_key.rdd.getNumPartitions() == 6  # five ranges, and the null keys
+    by_query = readers.sqlite_table(spark, path, "SELECT id, text FROM files", schema, rows=100, key="id", most_parts=20)
+    assert show(by_query) == want and by_query.rdd.getNumPartitions() == 21
+    bare = readers.sqlite_table(spark, path, "bare", schema, rows=1, key="id", numbered=False)
+    assert show(bare) == ["(1, 'a')", "(3, 'b')"]
     assert readers.sqlite_table(spark, path, "SELECT id, text FROM files", schema).rdd.getNumPartitions() == 1
     assert show(readers.sqlite_table(spark, path, "empty", schema)) == []
     with pytest.raises(Exception, match="no integers"):
