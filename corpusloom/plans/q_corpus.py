@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import features as fx
 from corpusloom.functions import text as tx
 from corpusloom.functions import tokens as tk
-from corpusloom.operators import dedup, ranking, search
+from corpusloom.operators import dedup, nearest, ranking, search
 from corpusloom.plans.catalog import register
 from corpusloom.plans.q_candidates import _C, _percent, candidates
 from corpusloom.plans.q_relational import t
@@ -434,9 +434,10 @@ def feed_queue(spark, sf_dir):
     """Cached samples scored anew for each target (every twentieth vector), the first four of them."""
     e = F.col("embedding")
     s = t(spark, sf_dir, "embeddings").select("vec_id", F.get(e, F.lit(0)).cast("double").alias("x"), F.get(e, F.lit(1)).cast("double").alias("y"))
-    targets = s.where("vec_id % 20 = 0").select(F.col("vec_id").alias("target_id"), F.struct("x", "y").alias("target"))
-    far = ranking.target_distances(targets, s.select(F.col("vec_id").alias("node"), F.struct("x", "y").alias("features")), lambda a, b: F.round(F.sqrt((b["x"] - a["x"]) ** 2 + (b["y"] - a["y"]) ** 2), 9))
-    return search.feed_queue(far.select(F.col("target_id").alias("target"), "node", F.col("dist").alias("score")), targets.select(F.col("target_id").alias("target")), 4).select("target", "node", "score")
+    s = s.select("vec_id", F.array("x", "y").alias("features"))
+    targets = s.where("vec_id % 20 = 0").select(F.col("vec_id").alias("target_id"), F.col("features").alias("target"))
+    far = nearest.nearest(targets, s, 4, "euclid", digits=9)
+    return search.feed_queue(far.select(F.col("target_id").alias("target"), F.col("vec_id").alias("node"), F.round("dist", 9).alias("score")), targets.select(F.col("target_id").alias("target")), 4).select("target", "node", "score")
 
 
 @register("whole_feed_queue", """
@@ -446,8 +447,8 @@ def whole_feed_queue(spark, sf_dir):
     """feed_queue by all components of the vectors."""
     s = t(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"))
     targets = s.where("vec_id % 20 = 0").select(F.col("vec_id").alias("target_id"), F.col("features").alias("target"))
-    far = ranking.target_distances(targets, s.select(F.col("vec_id").alias("node"), "features"), lambda a, b: F.round(fx.euclidean(a, b), 5))
-    return search.feed_queue(far.select(F.col("target_id").alias("target"), "node", F.col("dist").alias("score")), targets.select(F.col("target_id").alias("target")), 4).select("target", "node", "score")
+    far = nearest.nearest(targets, s, 4, "euclid", digits=5)
+    return search.feed_queue(far.select(F.col("target_id").alias("target"), F.col("vec_id").alias("node"), F.round("dist", 5).alias("score")), targets.select(F.col("target_id").alias("target")), 4).select("target", "node", "score")
 
 
 @register("whole_include_closure", """

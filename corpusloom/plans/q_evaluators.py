@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import codecs, features
 from corpusloom.functions import tokens as tk
-from corpusloom.operators import ranking
+from corpusloom.operators import nearest, ranking
 from corpusloom.plans.catalog import register
 from corpusloom.plans.q_features import _PAIRS, growing, targets_and_samples, vectors
 from corpusloom.plans.q_relational import t
@@ -28,8 +28,7 @@ SELECT target_id, vec_id, round(dist, 6) AS dist FROM ran WHERE r <= 3""")
 def top_k_that_ran(spark, sf_dir, split=targets_and_samples):
     """The three nearest samples that run (ids not divisible by 3), nearest first."""
     targets, samples = split(spark, sf_dir)
-    d = ranking.target_distances(targets, samples.where("vec_id % 3 <> 0"), features.feature_distance)
-    return ranking.top_k(d, ["target_id"], ["dist", "vec_id"], 3).select("target_id", "vec_id", F.round("dist", 6).alias("dist"))
+    return ranking.top_k(nearest.nearest(targets, samples.where("vec_id % 3 <> 0"), 3), ["target_id"], ["dist", "vec_id"], 3).select("target_id", "vec_id", F.round("dist", 6).alias("dist"))
 
 
 @register("beam_report", _PAIRS + """, b AS (SELECT target_id, vec_id % 8 AS generation, arg_min(vec_id, (dist, vec_id)) AS vec_id, min(dist) AS dist FROM pairs GROUP BY 1, 2)
@@ -37,7 +36,7 @@ SELECT target_id, arg_min(generation, (dist, generation)) AS generation, arg_min
 def beam_report(spark, sf_dir, split=targets_and_samples):
     """For each target the generation and sample that came nearest."""
     targets, samples = split(spark, sf_dir)
-    d = ranking.target_distances(targets, samples, features.feature_distance).select("target_id", "vec_id", "dist", (F.col("vec_id") % 8).alias("generation"))
+    d = nearest.nearest(targets, samples, 1, key=F.col("vec_id") % 8).withColumnRenamed("key", "generation")
     best = d.groupBy("target_id", "generation").agg(F.min(F.struct("dist", "vec_id")).alias("m")).select("target_id", F.struct(F.col("m.dist"), "generation", F.col("m.vec_id")).alias("g"))
     return best.groupBy("target_id").agg(F.min("g").alias("g")).select("target_id", "g.generation", "g.vec_id", F.round("g.dist", 6).alias("dist"))
 
@@ -47,7 +46,7 @@ SELECT target_id, round(o.d, 6) AS before, round(m.d, 6) AS after FROM o JOIN m
 def mutation_gain(spark, sf_dir, split=targets_and_samples):
     """Targets that the second set of samples comes nearer to than the first."""
     targets, samples = split(spark, sf_dir)
-    d = ranking.target_distances(targets, samples, features.feature_distance)
+    d = nearest.nearest(targets, samples, 1, key=F.col("vec_id") < 100)
     best = d.groupBy("target_id").agg(F.min(F.when(F.col("vec_id") < 100, F.col("dist"))).alias("o"), F.min(F.when(F.col("vec_id") >= 100, F.col("dist"))).alias("m"))
     return best.where("m < o").select("target_id", F.round("o", 6).alias("before"), F.round("m", 6).alias("after"))
 

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.functions import features as fx
 from corpusloom.functions import kernels as kn
 from corpusloom.functions import lexer as lx
-from corpusloom.operators import dedup, lexing, ranking
+from corpusloom.operators import dedup, lexing, nearest
 from corpusloom.plans.catalog import oracle_of, register
 from corpusloom.plans.q_features import vectors
 from corpusloom.plans.q_relational import t
@@ -151,8 +150,8 @@ def human_likeness_set(spark, sf_dir):
     for space in range(3):
         part = F.slice("features", third * space + 1, third if space < 2 else F.size("features"))
         targets = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("target_id"), part.alias("target"))
-        far = ranking.target_distances(targets, v.where("vec_id % 20 <> 0").select("vec_id", "label", part.alias("features")), fx.feature_distance)
-        near = far.groupBy("label", "target_id").agg(F.min(F.struct(F.round("dist", 6).alias("dist"), "vec_id")).alias("m")).select("label", "m.vec_id")
+        far = nearest.nearest(targets, v.where("vec_id % 20 <> 0").select("vec_id", "label", part.alias("features")), 1, key=F.col("label"), digits=6)
+        near = far.groupBy(F.col("key").alias("label"), "target_id").agg(F.min(F.struct(F.round("dist", 6).alias("dist"), "vec_id")).alias("m")).select("label", "m.vec_id")
         chosen = near if chosen is None else chosen.unionByName(near)
     texts = t(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     shown = chosen.distinct().join(texts, F.col("vec_id") == F.col("doc_id")).select("label", lx.canonical_key(F.col("text")).alias("key"), "doc_id")
