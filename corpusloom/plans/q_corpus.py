@@ -341,7 +341,8 @@ _REAL = set("comp rational transfer f1 f2 f3 f4 runtime speedup penalty runtime_
 @register("whole_measurement_csv", _WIDE + f"""SELECT benchmark, concat_ws(',', {", ".join(f"round({c}, 6)::DECIMAL(30, 6)::VARCHAR" if c in _REAL else f"{c}::VARCHAR" for c in _COLUMNS)}) AS line FROM w""")
 def whole_measurement_csv(spark, sf_dir):
     """CSV lines of all columns of the measurement rows, with six decimals."""
-    columns = [F.round(c, 6).cast("decimal(30,6)").alias(c) if c in _REAL else F.col(c) for c in _COLUMNS]
+    rounded = lambda c: (F.round(F.col(c) * 1e6) / 1e6).cast("decimal(30,6)").alias(c)  # noqa: E731  (halves of the product, not of the decimals that are shown)
+    columns = [rounded(c) if c in _REAL else F.col(c) for c in _COLUMNS]
     return _wide_rows(spark, sf_dir).select("benchmark", F.to_csv(F.struct(*columns)).alias("line"))
 
 
