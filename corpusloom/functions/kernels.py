@@ -14,7 +14,7 @@ SPECIFIER = "kernel void"
 def _body_length(chunk: Column) -> Column:
     """Characters up to where as many braces are closed as opened (one at least), with the spaces and line ends behind; all
     of them where that isn't so."""
-    pieces = F.regexp_extract_all(chunk, F.lit("[^{}]*[{}]"), F.lit(0))
+    pieces = F.regexp_extract_all(chunk, F.lit(r"[^{}]*+(?:[{}]|\z)"), F.lit(0))  # the rest behind the last brace is a piece too, or each of its characters would scan it
     zero = F.lit(0)
     start = F.struct(zero.alias("opened"), zero.alias("closed"), zero.alias("length"), F.lit(False).alias("done"))
 
