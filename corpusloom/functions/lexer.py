@@ -5,8 +5,10 @@ place gives its longest token; what no rule takes is a token of one character. C
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,12 +82,6 @@ def is_literal(x: Column) -> Column:
     return x.rlike(r"""^(?:["'].|\.?[0-9])""")
 
 
-def declared_functions(w: Column) -> Column:
-    """Names of a token array that stand behind a type's name and before a bracket."""
-    before = lambda i: _at(w, i - 1)
-    return F.array_distinct(F.filter(w, lambda x, i: is_name(x) & (_at(w, i + 1) == "(") & is_word(before(i)) & ~before(i).isin(*BEFORE_CALLS)))
-
-
 def canonical_tokens(text: Column) -> Column:
     """Tokens with names numbered by first appearance (RENAMED and the number); all others follow PLAIN.
 
@@ -94,19 +90,44 @@ def canonical_tokens(text: Column) -> Column:
     space between tokens plays no part. (A declared function is recognised behind a plain type name; one that
     returns a pointer counts as called, and keeps its name.)"""
 
-    def bound(w: Column, f: Column) -> Callable[[Column, Column], Column]:
-        return lambda x, i: is_name(x) & ~_at(w, i - 1).isin(".", "->") & ((_at(w, i + 1) != "(") | F.array_contains(f, x))
-
-    def numbered(w: Column, f: Column) -> Column:
-        names = F.array_distinct(F.filter(w, bound(w, f)))
-        return let(names, lambda n: F.transform(w, lambda x, i: F.when(bound(w, f)(x, i), F.concat(F.lit(RENAMED), F.array_position(n, x).cast("string"))).otherwise(F.concat(F.lit(PLAIN), x))))
-
-    return let(tokens(text), lambda w: let(declared_functions(w), lambda f: numbered(w, f)))
+    return _canonical("array<string>")(tokens(text))
 
 
 def canonical_key(text: Column) -> Column:
     """SHA-256 of canonical_tokens without spaces and line ends; null for null."""
-    return F.sha2(F.translate(F.array_join(canonical_tokens(text), ""), " \n", "").cast("binary"), 256)
+    return _canonical("string")(tokens(text))
+
+
+def _canonical(kind: str) -> Callable[[Column], Column]:
+    """Canonical tokens of token arrays, or their digest (kind: string), in one pass; names are numbered by a table, which is
+    linear, as a search in an array of names isn't. Distinct tokens of a batch are looked at once."""
+    keywords = frozenset(KEYWORDS)
+
+    def of_texts(w: pa.Array) -> pa.Array:
+        held = w.flatten().dictionary_encode()
+        vocabulary, at = held.dictionary.to_pylist(), held.indices.to_pylist()
+        word = [x[:1] == "_" or x[:1].isalpha() for x in vocabulary]
+        name = [y and x not in keywords for x, y in zip(vocabulary, word, strict=True)]
+        member, bracket = ({k for k, x in enumerate(vocabulary) if x in some} for some in ((".", "->"), ("(",)))
+        declares = {k for k, x in enumerate(vocabulary) if word[k] and x not in BEFORE_CALLS}
+        plain = [PLAIN + (x if kind != "string" else x.replace(" ", "").replace("\n", "")) for x in vocabulary]
+        out, end = [], 0
+        for n in w.value_lengths().to_pylist():
+            if n is None:
+                out.append(None)
+                continue
+            own, end = at[end : end + n], end + n
+            before, behind = [-1, *own], [*own[1:], -1]
+            declared = {x for x, b, a in zip(own, before, behind, strict=False) if a in bracket and name[x] and b in declares}
+            numbers: dict[int, str] = {}
+            line = [
+                (numbers.get(x) or numbers.setdefault(x, f"{RENAMED}{len(numbers) + 1}")) if name[x] and b not in member and (a not in bracket or x in declared) else plain[x]
+                for x, b, a in zip(own, before, behind, strict=False)
+            ]
+            out.append(line if kind != "string" else hashlib.sha256("".join(line).encode()).hexdigest())
+        return pa.array(out, pa.string() if kind == "string" else pa.list_(pa.string()))
+
+    return F.arrow_udf(of_texts, kind)
 
 
 def vocabulary_tokens(w: Column) -> Column:
