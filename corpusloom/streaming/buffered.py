@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from corpusloom.operators.ranking import numbered_rows
 from corpusloom.plans.catalog import register
 from corpusloom.sources.shared import shared_path
 from corpusloom.streaming.streams import file_stream, run_to_table
@@ -139,29 +140,25 @@ def insert_rounds(stream: DataFrame, table: str, key: str, checkpoint: str, rows
     """Appends rows whose key a Parquet table lacks, in rounds of batches, and numbers them: (round, ..., columns).
 
     The table itself is the memory, so no state grows: a round joins its rows' keys with the table's (only the key
-    column is read). A round has ``rows_per_round`` new rows at most, and goes on from where it is in the batch, so a
-    batch may take several. A batch that runs again after a failure finds its own rows in the table and
+    column is read). A round has ``rows_per_round`` new rows at most; a batch's rows are numbered in order of the key and all its
+    rounds are written at once. A batch that runs again after a failure finds its own rows in the table and
     adds none twice. One writer at a time: two that insert the same key at once could both."""
     spark = stream.sparkSession
 
     def rounds(batch: DataFrame, number: int) -> None:
-        rows = batch.dropDuplicates([key]).persist()
+        rows = batch.dropDuplicates([key])
         try:
-            while True:
-                try:
-                    old = spark.read.parquet(table)
-                    found, last = old.select(F.col(key).alias("_old")), old.agg(F.max("round")).first()[0]
-                except Exception as e:
-                    if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                        raise
-                    found, last = None, None
-                absent = rows if found is None else rows.join(found, rows[key].eqNullSafe(found["_old"]), "left_anti")
-                now = absent.orderBy(key).limit(rows_per_round).withColumn("round", F.lit((last or 0) + 1).cast("long"))
-                if now.isEmpty():
-                    return
-                now.write.mode("append").parquet(table)
-        finally:
-            rows.unpersist()
+            old = spark.read.parquet(table)
+            found, last = old.select(F.col(key).alias("_old")), old.agg(F.max("round")).first()[0]
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+            found, last = None, None
+        absent = rows if found is None else rows.join(found, rows[key].eqNullSafe(found["_old"]), "left_anti")
+        place = numbered_rows(absent, [F.col(key)], "_place")
+        new = place.select(*batch.columns, (F.floor(F.col("_place") / rows_per_round) + (last or 0) + 1).cast("long").alias("round"))
+        if not new.isEmpty():
+            new.write.mode("append").parquet(table)
 
     stream.writeStream.foreachBatch(rounds).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
