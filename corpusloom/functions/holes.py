@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Ids of a part of a batch.
+PART_IDS = 500_000
+
 HOLED = "input array<int>, starts array<int>, positions array<int>, labels array<int>, lengths array<int>"
 
 
@@ -62,18 +65,27 @@ def pooled_holes(df: DataFrame, key: str, ids: str, seed: Column, special: dict[
     as places to repair), else any. All follows from the row's seed, so a row that is computed again is the same. A null or
     empty sequence, and one without a place, has no holes."""
 
-    def holed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with PART_IDS ids together, or a row with more: what a task holds as Python numbers."""
         for batch in batches:
+            sizes = np.array(batch.column(1).value_lengths().fill_null(0).to_pylist(), np.int64)
+            part = np.concatenate([[0], np.cumsum(sizes)[:-1]]) // PART_IDS if len(sizes) else sizes
+            cuts = [*np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(sizes)] if len(sizes) else [0]
+            yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False))
+
+    def holed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
             columns: list[list] = [[] for _ in range(5)]
-            for seq, where, s in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                seq = np.array(seq or [], np.int64)
+            for whole, where, s in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                seq = whole.values.to_numpy(zero_copy_only=False).astype(np.int64) if whole.is_valid else np.empty(0, np.int64)
                 out, holes = place_holes(seq, where if places else None, np.random.default_rng((s or 0) & (1 << 64) - 1), special, share, most, longest) if len(seq) else ([], [])
                 shift = np.cumsum([0, *(1 - n for _, n in holes)])
                 row = (out, [k for k, _ in holes], [int(k + d) for (k, _), d in zip(holes, shift, strict=False)], [int(seq[k]) if n else special["endhole"] for k, n in holes], [n for _, n in holes])
                 for c, x in zip(columns, row, strict=True):
-                    c.append(x)
+                    c.append(pa.array(x, pa.int32()))
             names = ["input", "starts", "positions", "labels", "lengths"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.list_(pa.int32())) for c in columns)], names=[key, *names])
+            lists = (pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]), pa.int32()), pa.concat_arrays(c)) for c in columns)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=[key, *names])
 
     where = F.coalesce(places, F.array().cast("array<int>")) if places else F.array().cast("array<int>")
     return df.select(key, ids, where.alias("_places"), seed.cast("long").alias("_seed")).mapInArrow(holed, f"{key} {dict(df.dtypes)[key]}, {HOLED}")
