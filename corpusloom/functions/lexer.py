@@ -5,7 +5,10 @@ place gives its longest token; what no rule takes is a token of one character. C
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import re
+import sys
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -39,6 +42,7 @@ CL_KEYWORDS = (
 ).split()
 VECTOR_TYPES = [f"{base}{n}" for base in ("char", "uchar", "short", "ushort", "int", "uint", "long", "ulong", "half", "float", "double") for n in (2, 3, 4, 8, 16)]
 KEYWORDS = [*C_KEYWORDS, *CL_KEYWORDS, *VECTOR_TYPES]
+_RESERVED_WORDS = frozenset(KEYWORDS)
 #: Words behind which a name with a bracket is a call, not a declaration.
 BEFORE_CALLS = ("return", "else", "do", "case", "goto", "sizeof")
 #: Marks of canonical tokens: a renamed one, any other.
@@ -66,20 +70,39 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(lexemes(text), lambda x: ~x.rlike(r"^[ \t\n\x0B\f\r]")), meta)
 
 
-def _at(w: Column, i: Column) -> Column:
-    return F.coalesce(F.get(w, i), F.lit(""))
+@functools.cache
+def _matcher() -> re.Pattern:
+    """White space in front and a token, for plain Python; names come first, as nothing else begins like them. Its word
+    characters are letters, decimal digits and _, but for _number_signs."""
+    rules = [_RULES[6].replace(r"\p{L}\p{Nd}_", r"\w").replace(r"[\p{L}_]", r"[^\W\d]"), *(x for x in _RULES[1:] if x != _RULES[6])]
+    return re.compile(rf"(?s)[ \t\n\x0B\f\r]*+({'|'.join(rules)}|\Z)")
 
 
-def is_word(x: Column) -> Column:
-    return x.rlike(r"^[\p{L}_]")
+@functools.cache
+def _number_signs() -> tuple[frozenset[str], re.Pattern]:
+    """Numbers that are no decimal digits, which are no part of a name, and a pattern that knows them."""
+    signs = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
+    own = "".join(signs)
+    return frozenset(signs), re.compile(_matcher().pattern.replace(r"[^\W\d][\w]*+", rf"[^\W\d{own}][^\W{own}]*+"))
 
 
-def is_name(x: Column) -> Column:
-    return is_word(x) & ~x.isin(KEYWORDS)
+def text_tokens(text: str) -> list[str]:
+    """``tokens`` of one text inside a task."""
+    odd = not text.isascii() and not _number_signs()[0].isdisjoint(text)
+    w = (_number_signs()[1] if odd else _matcher()).findall(text)
+    while w and not w[-1]:
+        w.pop()
+    return [x if x[0] != "[" or len(x) == 1 else x.replace(" ", "").replace("\t", "") for x in w] if "[" in text else w
 
 
-def is_literal(x: Column) -> Column:
-    return x.rlike(r"""^(?:["'].|\.?[0-9])""")
+def literal(x: str) -> bool:
+    """Whether a token is a string or a number."""
+    return (x[:1] in ("'", '"') and len(x) > 1) or x[x[:1] == "." :][:1] in tuple("0123456789")
+
+
+def named(x: str) -> bool:
+    """Whether a token is a name."""
+    return (x[:1] == "_" or x[:1].isalpha()) and x not in _RESERVED_WORDS
 
 
 def canonical_tokens(text: Column) -> Column:
@@ -130,17 +153,5 @@ def _canonical(kind: str) -> Callable[[Column], Column]:
     return F.arrow_udf(of_texts, kind)
 
 
-def vocabulary_tokens(w: Column) -> Column:
-    """The tokens of an array that a vocabulary holds: all but literals, meta tokens and names of called functions."""
-    return F.filter(w, lambda x, i: ~is_literal(x) & ~x.isin(*META) & ~(is_name(x) & (_at(w, i + 1) == "(")))
-
-
-def character_index(c: Column) -> Column:
-    """Index of a printable ASCII character's own entry behind the meta tokens, in the order of codes; null for others."""
-    code = F.ascii(c)
-    first = len(META)
-    return F.when((code >= 9) & (code <= 13), code - 9 + first).when((code >= 32) & (code <= 126), code - 32 + 5 + first)
-
-
 #: Entries in front of a lexer vocabulary's tokens: meta tokens and printable characters.
 RESERVED = len(META) + 100

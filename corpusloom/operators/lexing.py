@@ -1,17 +1,23 @@
-"""Vocabularies of lexer tokens, and texts to ids and back, as joins of tokens with the vocabulary."""
+"""Vocabularies of lexer tokens, and texts to ids and back: tasks look tokens up by batches, and ask for the rare ones by joins."""
 
 from __future__ import annotations
 
+from array import array
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import lexer as lx
 from corpusloom.functions.tokens import META
 from corpusloom.operators.ranking import numbered_rows
-from corpusloom.sources.shared import saver
 
-#: Entries with the smallest indices, which are the most frequent: joined by broadcast. All others are shuffled.
-HOT_ENTRIES = 20_000
+#: Entries with the smallest indices, which are the most frequent, up to a length: sent to all tasks. All others are shuffled.
+HOT_ENTRIES, HOT_CHARS = 100_000, 200
+#: Bytes of texts, or ids, that a task looks at together: so many, and one row.
+PART = 8_000_000
 
 
 def lexer_vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -23,45 +29,161 @@ def lexer_vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
     spark = docs.sparkSession
     first = [(m, "", k, 0) for k, m in enumerate(META)]
     first += [(f"{chr(c)}-char-based", "", len(META) + k, 0) for k, c in enumerate([*range(9, 14), *range(32, 127)])]
-    seen = docs.select(F.explode(lx.let(lx.tokens(F.col(text_col)), lambda w: F.array_distinct(lx.vocabulary_tokens(w)))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    seen = docs.select(F.coalesce(text_col, F.lit(""))).mapInArrow(_counted, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
     numbered = numbered_rows(seen, [F.desc("n"), F.col("token")], "index").select("token", F.lit(" ").alias("delimiter"), (F.col("index") + lx.RESERVED).alias("index"), "n")
     return spark.createDataFrame(first, "token string, delimiter string, index long, n long").unionByName(numbered)
 
 
+class _Numbers(dict):
+    """Numbers of tokens, from 0 as they come."""
+
+    def __missing__(self, x: str) -> int:
+        self[x] = n = len(self)
+        return n
+
+
+def _coded(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct tokens of texts, and each token's number among them and its text."""
+    number, code, size = _Numbers(), array("q"), []
+    for x in texts.to_pylist():
+        w = lx.text_tokens(x)
+        code.extend(map(number.__getitem__, w))
+        size.append(len(w))
+    return list(number), np.array(code, np.int64), np.repeat(np.arange(len(size)), np.array(size, np.int64))
+
+
+def _unique(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def _distinct(text: np.ndarray, code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of text and code, each once; n: of codes."""
+    pairs = _unique(text * np.int64(max(n, 1)) + code)
+    return pairs // max(n, 1), pairs % max(n, 1)
+
+
+def _parts(size: pa.Array) -> list[tuple[int, int]]:
+    """Begin and length of parts of a batch, by the size of its rows."""
+    part = np.cumsum(size.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // PART
+    ends = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    return [(i, k - i) for i, k in zip(ends, ends[1:], strict=False) if k > i]
+
+
+def _counted(batches):
+    """(token, n): in how many texts of a part each token of the vocabulary stands."""
+    for batch in batches:
+        for at in _parts(pc.binary_length(batch.column(0))):
+            names, code, text = _coded(batch.column(0).slice(*at))
+            kept = np.array([not lx.literal(x) and x not in META for x in names], bool)
+            name = np.array([lx.named(x) for x in names], bool)
+            called = np.zeros(len(code), bool)
+            if "(" in names:
+                called[:-1] = name[code[:-1]] & (code[1:] == names.index("(")) & (text[1:] == text[:-1])
+            some = kept[code] & ~called
+            n = np.bincount(_distinct(text[some], code[some], len(names))[1], minlength=len(names))
+            found = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in found], pa.string()), pa.array(n[found].astype(np.int64))], names=["token", "n"])
+
+
 def atomized(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids, n_characters) of each text: a token in the vocabulary is its index; any other falls apart into its
     characters' own entries, which n_characters counts. ids is null where a character isn't printable ASCII.
 
-    id_col: one row each. Null texts are empty. Only tokens outside the broadcast part of the vocabulary are shuffled, by
-    token; a frequent token that no vocabulary has, such as a called function's name, is left to the split of
-    skewed joins. A text's ids come together by partial lists, one for each task it is in."""
-    texts = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text"))
-    placed = texts.select(id_col, F.posexplode(lx.tokens(F.col("_text"))).alias("_at", "token"))
+    id_col: one row each. Null texts are empty. A text moves once, as it is, and asks once for each token that isn't
+    in the part of the vocabulary that all tasks have: tokens are no rows. A frequent token that no vocabulary has, such
+    as a called function's name, is left to the split of skewed joins."""
+    spark = docs.sparkSession
     entry = vocabulary.where((F.col("index") >= lx.RESERVED) | F.col("index").between(0, len(META) - 1)).select("token", "index")
-    near = placed.join(F.broadcast(entry.where(F.col("index") < HOT_ENTRIES)), "token", "left")
-    near = saver(docs.sparkSession, "placed-tokens")(near)
-    known = near.where(F.col("index").isNotNull() | lx.is_literal(F.col("token")))
-    rare = near.where(F.col("index").isNull() & ~lx.is_literal(F.col("token"))).drop("index").join(entry.where(F.col("index") >= HOT_ENTRIES), "token", "left")
-    characters = F.transform(F.filter(F.split("token", ""), lambda c: c != ""), lx.character_index)
-    own = F.when(F.col("index").isNotNull(), F.array("index")).otherwise(characters.cast("array<long>"))
-    rows = known.unionByName(rare).select(id_col, F.struct("_at", own.alias("ids"), F.col("index").isNull().alias("chars")).alias("_t"))
-    lists = rows.groupBy(id_col).agg(F.sort_array(F.collect_list("_t")).alias("_l"))
-    ids = F.flatten(F.transform("_l", lambda x: x["ids"]))
-    n = F.aggregate("_l", F.lit(0), lambda s, x: s + F.when(x["chars"], F.size(x["ids"])).otherwise(0))
-    whole = lists.select(id_col, F.when(~F.exists(ids, lambda i: i.isNull()), ids).alias("ids"), n.cast("long").alias("n_characters"))
-    found = texts.select(id_col).join(whole.withColumn("_has", F.lit(True)), id_col, "left")
-    return found.select(id_col, F.when(F.col("_has"), F.col("ids")).otherwise(F.array().cast("array<long>")).alias("ids"), F.coalesce("n_characters", F.lit(0)).alias("n_characters"))
+    hot = (F.col("index") < HOT_ENTRIES) & (F.length("token") <= HOT_CHARS)
+    sent = spark.sparkContext.broadcast({r["token"]: r["index"] for r in entry.where(hot).collect()})
+
+    def asked(batches):
+        for batch in batches:
+            for at in _parts(pc.binary_length(batch.column(1))):
+                part = batch.slice(*at)
+                names, code, text = _coded(part.column(1))
+                far = np.array([x not in sent.value and not lx.literal(x) for x in names], bool)[code]
+                text, code = _distinct(text[far], code[far], len(names))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array([names[k] for k in code], pa.string())], names=[id_col, "token"])
+
+    def encoded(texts: pa.Array, rare: pa.Array) -> pa.Array:
+        out = [_encoded(texts.slice(*at), rare.slice(*at).flatten(), sent.value) for at in _parts(pc.binary_length(texts))]
+        return pa.concat_arrays(out) if out else pa.array([], _ATOMS)
+
+    texts = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text"))
+    questions = texts.mapInArrow(asked, f"{id_col} {dict(docs.dtypes)[id_col]}, token string")
+    answers = questions.join(entry.where(~hot), "token").groupBy(id_col).agg(F.collect_list(F.struct("token", "index")).alias("_rare"))
+    rare = F.coalesce("_rare", F.array().cast("array<struct<token: string, index: bigint>>"))
+    atoms = texts.join(answers, id_col, "left").select(id_col, F.arrow_udf(encoded, "ids array<bigint>, n_characters bigint")("_text", rare).alias("_a"))
+    return atoms.select(id_col, "_a.ids", "_a.n_characters")
+
+
+_ATOMS = pa.struct([("ids", pa.list_(pa.int64())), ("n_characters", pa.int64())])
+#: Entries of ASCII characters, -1 for those without one.
+_CHARACTERS = np.array([c - 9 + len(META) if 9 <= c <= 13 else c - 32 + 5 + len(META) if 32 <= c <= 126 else -1 for c in range(128)])
+
+
+def _encoded(texts: pa.Array, rare: pa.Array, hot: dict[str, int]) -> pa.Array:
+    names, code, text = _coded(texts)
+    asked = dict(zip(*(rare.field(k).to_pylist() for k in range(2)), strict=True))
+    index = np.array([hot[x] if x in hot else asked.get(x, -1) for x in names], np.int64)
+    spelled = np.flatnonzero(index < 0)
+    letters = _CHARACTERS[np.minimum(np.frombuffer("".join([names[k] for k in spelled]).encode("utf-32-le"), "<u4"), 127)]
+    size, begin = np.ones(len(names), np.int64), np.arange(len(names))
+    size[spelled] = [len(names[k]) for k in spelled]
+    begin[spelled] = len(names) + np.cumsum(size[spelled]) - size[spelled]
+    missing = np.bincount(np.repeat(spelled, size[spelled]), letters < 0, len(names)) > 0
+    length = size[code]
+    ids = np.concatenate([index, letters])[np.repeat(begin[code] - (np.cumsum(length) - length), length) + np.arange(length.sum())]
+    total, n, none = (np.bincount(text, x, len(texts)).astype(np.int64) for x in (length, length * (index < 0)[code], missing[code]))
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *total]), pa.int32()), pa.array(ids, pa.int64()), mask=pa.array(none > 0))
+    return pa.StructArray.from_arrays([lists, pa.array(n)], fields=[*_ATOMS])
 
 
 def written_out(encoded: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, text) of (id, ids): entries with their delimiters, characters bare (a backslash twice, as the
-    vocabulary writes it). Null ids give a null text, an id outside the vocabulary nothing."""
+    vocabulary writes it). Null ids give a null text, an id outside the vocabulary nothing.
+
+    id_col: one row each. A row's ids move once, and ask once for each entry that not all tasks have."""
+    spark = encoded.sparkSession
     plain = F.when(F.col("token").endswith("-char-based") & (F.col("delimiter") == ""), F.replace(F.regexp_replace("token", "-char-based$", ""), F.lit("\\"), F.lit("\\\\"))).otherwise(F.col("token"))
-    entry = vocabulary.select("index", F.concat(plain, "delimiter").alias("_w"))
-    placed = encoded.select(id_col, F.posexplode("ids").alias("_at", "index"))
-    near = placed.where(F.col("index") < HOT_ENTRIES).join(F.broadcast(entry.where(F.col("index") < HOT_ENTRIES)), "index")
-    rare = placed.where(F.col("index") >= HOT_ENTRIES).join(entry.where(F.col("index") >= HOT_ENTRIES), "index")
-    words = near.unionByName(rare).groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("_at", "_w"))).alias("_l"))
-    found = encoded.select(id_col, F.col("ids").isNull().alias("_none")).join(words, id_col, "left")
-    text = F.coalesce(F.array_join(F.transform("_l", lambda x: x["_w"]), ""), F.lit(""))
-    return found.select(id_col, F.when(~F.col("_none"), text).alias("text"))
+    entry = vocabulary.select("index", F.concat(plain, "delimiter").alias("word"))
+    hot = (F.col("index") < HOT_ENTRIES) & (F.length("word") <= HOT_CHARS)
+    sent = spark.sparkContext.broadcast({r["index"]: r["word"] for r in entry.where(hot).collect()})
+
+    def asked(batches):
+        for batch in batches:
+            for at in _parts(pc.list_value_length(batch.column(1))):
+                part = batch.slice(*at)
+                row = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
+                code, number = _numbered(part.column(1))
+                far = np.array([i not in sent.value for i in code.tolist()], bool)[number]
+                row, number = _distinct(row[far], number[far], len(code))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(code[number], pa.int64())], names=[id_col, "index"])
+
+    def written(ids: pa.Array, rare: pa.Array) -> pa.Array:
+        out = [_written(ids.slice(*at), rare.slice(*at).flatten(), sent.value) for at in _parts(pc.list_value_length(ids))]
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
+
+    questions = encoded.select(id_col, F.col("ids").cast("array<bigint>").alias("ids")).mapInArrow(asked, f"{id_col} {dict(encoded.dtypes)[id_col]}, index long")
+    answers = questions.join(entry.where(~hot), "index").groupBy(id_col).agg(F.collect_list(F.struct("index", "word")).alias("_rare"))
+    rare = F.coalesce("_rare", F.array().cast("array<struct<index: bigint, word: string>>"))
+    rows = encoded.select(id_col, "ids").join(answers, id_col, "left")
+    return rows.select(id_col, F.arrow_udf(written, "string")(F.col("ids").cast("array<bigint>"), rare).alias("text"))
+
+
+def _numbered(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids of lists, and the number of each id among them; a null id is -1, no entry's."""
+    x = ids.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+    code = _unique(x)
+    return code, np.searchsorted(code, x)
+
+
+def _written(ids: pa.Array, rare: pa.Array, hot: dict[int, str]) -> pa.Array:
+    code, at = _numbered(ids)
+    asked = dict(zip(*(rare.field(k).to_pylist() for k in range(2)), strict=True))
+    words = pa.array([hot.get(i, asked.get(i, "")) for i in code.tolist()], pa.string()).take(pa.array(at))
+    ends = np.cumsum([0, *pc.list_value_length(ids).fill_null(0).to_pylist()])
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words), "")
+    return pc.if_else(ids.is_valid(), text, pa.scalar(None, pa.string()))

@@ -171,3 +171,19 @@ def test_vocabulary_and_atoms(spark, random_sources, monkeypatch):
         assert written[k] == (None if None in ids else text)
     empty = docs.limit(0)
     assert lexing.lexer_vocabulary(empty).count() == lx.RESERVED and lexing.atomized(empty, vocabulary).count() == 0
+
+
+def test_tokens_inside_a_task(spark, random_sources):
+    odd = ["a² b½ Ⅷx x๑ ๑x _² été²", "/* a\n */ b", "  x \n", "'\r'", "[ START ]x[ nothing ]"]
+    sources = [*random_sources, *odd]
+    rows = spark.createDataFrame([*enumerate(sources)], "k long, s string").select("k", lx.tokens(F.col("s")).alias("w")).collect()
+    assert {r.k: r.w for r in rows} == {k: lx.text_tokens(x) for k, x in enumerate(sources)}
+
+
+def test_tokens_are_no_rows(spark):
+    """What is moved to encode texts and to write them out again doesn't grow with their tokens."""
+    docs = spark.createDataFrame([(k, "a b ( c ) ; " * 50 * (k + 1)) for k in range(20)], "doc_id long, text string")
+    vocabulary = lexing.lexer_vocabulary(docs)
+    atoms = lexing.atomized(docs, vocabulary)
+    for found in (atoms, lexing.written_out(atoms, vocabulary)):
+        assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
