@@ -56,11 +56,12 @@ def pairwise(moments: DataFrame, group: str, label: str, test: str = "test") ->
 
 def naive_bayes(moments: DataFrame, keys: list[str], label: str, features: list[str]) -> DataFrame:
     """(keys, model): one model for each of ``keys``: an array of its classes in order of label, with the log of their share,
-    and mean and variance by feature. SMOOTHING of the greatest variance of any feature over all classes is added."""
+    and mean, variance and the logarithm that a score takes of it by feature. SMOOTHING of the greatest variance of any feature over all classes is added."""
     overall = merged(moments, keys) if keys else merged(moments.withColumn("_one", F.lit(1)), ["_one"])
     added = overall.groupBy(*(keys or ["_one"])).agg((F.max(F.col("m2") / F.col("n")) * SMOOTHING).alias("_added"), F.max("n").alias("_all"))
     joined = moments.join(added, keys) if keys else moments.join(F.broadcast(added.drop("_one")))
-    entry = F.struct(F.col("mean"), (F.col("m2") / F.col("n") + F.col("_added")).alias("var"))
+    var = F.col("m2") / F.col("n") + F.col("_added")
+    entry = F.struct(F.col("mean"), var.alias("var"), F.ln(2 * math.pi * var).alias("log"))
     classes = joined.groupBy(*keys, label).agg(F.ln(F.first("n") / F.first("_all")).alias("prior"), F.map_from_entries(F.collect_list(F.struct("feature", entry))).alias("_f"))
     one = F.struct(F.col(label).alias("label"), "prior", *[F.element_at("_f", F.lit(f)).alias(f"f{k}") for k, f in enumerate(features)])
     return classes.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("model"))
@@ -76,7 +77,8 @@ def predicted(rows: DataFrame, models: DataFrame, keys: list[str], features: lis
     x = [usable(F.col(f)) for f in features]
 
     def score(m: Column) -> Column:
-        parts = [F.ln(2 * math.pi * m[f"f{k}"]["var"]) + F.pow(x[k] - m[f"f{k}"]["mean"], 2) / m[f"f{k}"]["var"] for k in range(len(features))]
+        far = [x[k] - m[f"f{k}"]["mean"] for k in range(len(features))]
+        parts = [m[f"f{k}"]["log"] + d * d / m[f"f{k}"]["var"] for k, d in enumerate(far)]
         return m["prior"] - sum(parts[1:], parts[0]) / 2
 
     scored = F.transform("model", lambda m, i: F.struct(score(m).alias("score"), (-i).alias("first"), m["label"].alias("label")))

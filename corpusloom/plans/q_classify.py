@@ -26,8 +26,10 @@ scored AS (
 predicted AS (SELECT training, rid, any_value(benchmark) AS benchmark, arg_max(label, score) AS predicted FROM scored GROUP BY training, rid)"""
 
 
-def _predicted(spark, sf_dir):
-    rows = saver(spark, "measurements")(_wide_rows(spark, sf_dir).withColumn("suite", F.col("rational").cast("long")))
+def _predicted(spark, sf_dir, *kept):
+    """Real rows by training set, with the predicted device and the columns ``kept``, and the moments by suite and device."""
+    wide = _wide_rows(spark, sf_dir).withColumn("suite", F.col("rational").cast("long"))
+    rows = saver(spark, "measurements")(wide.select(*kept, "suite", "oracle", "atomic", *FEATURES))
     base, synthetic = rows.where("atomic <> 0"), rows.where("atomic = 0")
     cells = saver(spark, "moments")(classify.class_moments(base, ["suite", "oracle"], FEATURES))
     own = classify.leave_one_out(cells, "suite", "oracle")
@@ -37,13 +39,13 @@ def _predicted(spark, sf_dir):
     moments = own.withColumn("training", F.lit("own")).unionByName(other.withColumn("training", F.lit("synthetic"))).unionByName(both.withColumn("training", F.lit("both")))
     models = classify.naive_bayes(moments, ["training", "suite"], "oracle", FEATURES)
     tested = base.withColumn("training", F.explode(F.array(F.lit("own"), F.lit("synthetic"), F.lit("both"))))
-    return classify.predicted(tested, saver(spark, "models")(models), ["training", "suite"], FEATURES)
+    return classify.predicted(tested, saver(spark, "models")(models), ["training", "suite"], FEATURES), cells
 
 
 @register("device_models", f"{_TRAINED} SELECT training, benchmark, predicted FROM predicted")
 def device_models(spark, sf_dir):
     """The faster device of every row by naive Bayes models of other suites' rows, synthetic ones, and both."""
-    return _predicted(spark, sf_dir).select("training", "benchmark", "predicted")
+    return _predicted(spark, sf_dir, "benchmark")[0].select("training", "benchmark", "predicted")
 
 
 @register("device_model_report", f"""{_TRAINED},
@@ -54,9 +56,9 @@ SELECT training, suite, count(*) AS n, round(count(*) FILTER (WHERE p AND y) / n
        round(count(*) FILTER (WHERE NOT p AND NOT y) / nullif(count(*) FILTER (WHERE NOT y), 0), 6) AS tnr, round(avg((p = y)::INT), 6) AS accuracy, round(exp(avg(gain)), 6) AS speedup FROM timed GROUP BY training, suite""")
 def device_model_report(spark, sf_dir):
     """For each training set and suite: precision, recall, true-negative rate, accuracy, and the geometric mean of the gain
-    over always taking the commonest device."""
-    rows = saver(spark, "predicted")(_predicted(spark, sf_dir))
-    n = rows.where("training = 'own'").groupBy("oracle").agg(F.count("*").alias("n"))
+    over always taking the commonest device. Predictions are counted as they are made, in one pass; none is written."""
+    rows, cells = _predicted(spark, sf_dir, "runtime_cpu", "runtime_gpu")
+    n = cells.where(F.col("feature") == FEATURES[0]).groupBy("oracle").agg(F.sum("n").alias("n"))
     zero = n.agg(F.min_by("oracle", F.struct(-F.col("n"), "oracle")).alias("device"))  # one row
     time = lambda device: F.when(F.col(device) == "GPU", F.col("runtime_gpu")).otherwise(F.col("runtime_cpu"))
     p, y = F.col("predicted") == "GPU", F.col("oracle") == "GPU"

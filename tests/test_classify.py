@@ -96,3 +96,17 @@ def test_nearest_rows(spark, most, monkeypatch):
     assert got == want
     assert classify.nearest_rows(q, r.limit(0), "v", "label", "q", "id").count() == 0
     assert classify.nearest_rows(q.limit(0), r, "v", "label", "q", "id").count() == 0
+
+
+def test_report_writes_no_predictions(spark, sf):
+    from pathlib import Path
+
+    import __spark_entry__ as entry
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = {*shared.iterdir()} if shared.exists() else set()
+    assert entry.queries()["device_model_report"](spark, sf).count() == 21
+    wrote = {x for x in shared.iterdir() if x not in before}
+    assert {x.name.split("-")[0] for x in wrote} == {"measurements", "moments", "models"}
+    held = spark.read.parquet(str(next(x for x in wrote if x.name.startswith("measurements"))))
+    assert {*held.columns} == {"runtime_cpu", "runtime_gpu", "suite", "oracle", "atomic", "f1", "f2", "f3", "f4"}
