@@ -102,8 +102,7 @@ SELECT row, sha256(string_agg(piece, '' ORDER BY low)) AS text_sha256 FROM p
 WHERE row < (SELECT (sum(n) // {_LENGTH * _BATCH} * {_BATCH})::BIGINT FROM d) GROUP BY row""")
 def fixed_length_rows(spark, sf_dir):
     """Whole texts, one after the other, in training rows that span documents, clipped to whole batches."""
-    ids = tk.text_ids(t(spark, sf_dir, "documents"), "doc_id", "text")
-    rows = ranking.fixed_length_rows(ids, [F.col("doc_id")], "ids", _LENGTH, _BATCH)
+    rows = ranking.fixed_length_rows(t(spark, sf_dir, "documents").select("doc_id", "text"), [F.col("doc_id")], "text", _LENGTH, _BATCH)
     return tk.ids_text(rows, "row").select("row", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 

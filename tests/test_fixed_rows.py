@@ -38,3 +38,15 @@ def test_texts_to_ids_and_back(spark):
     assert {r.id: r.ids for r in ids.collect()} == {k: [*map(ord, x or "")] for k, x in enumerate(texts)}
     back = tokens.ids_text(ids.withColumn("ids", F.concat(F.array(F.lit(-1)), "ids")), "id", skip=-1)
     assert {r.id: r.text for r in back.collect()} == {k: x or "" for k, x in enumerate(texts)}
+
+
+@pytest.mark.parametrize("length", [1, 7, 512])
+def test_rows_of_texts(spark, length):
+    rng = random.Random(length)
+    rows = [(k, rng.choice([None, "", "".join(rng.choice("ab é𝄞\n") for _ in range(rng.choice([1, 7, 14, 600])))])) for k in range(60)]
+    rng.shuffle(rows)
+    whole = [ord(c) for _, x in sorted(rows) for c in x or ""]
+    n = len(whole) // (2 * length) * 2
+    df = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    got = ranking.fixed_length_rows(df, [F.col("id")], "text", length, 2).collect()
+    assert len(got) == n and {r.row: r.ids for r in got} == {k: whole[k * length : (k + 1) * length] for k in range(n)}
