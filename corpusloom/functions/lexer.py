@@ -8,6 +8,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import string
 import sys
 from collections.abc import Callable
 
@@ -95,9 +96,32 @@ def text_tokens(text: str) -> list[str]:
     return [x if x[0] != "[" or len(x) == 1 else x.replace(" ", "").replace("\t", "") for x in w] if "[" in text else w
 
 
+#: First signs of the tokens that can hold white space, which are meta tokens, comments and strings. Any other token has such
+#: a sign only at its beginning, so the first place that begins one of these begins a token.
+OPENING = ("[", "/", '"', "'")
+_SPANNING = re.compile("(?s)(" + "|".join(_RULES[1:6]) + ")")
+_BLANKS = re.compile("[ \t\n\x0b\f\r]+")
+_SIGNS, _QUOTES, _DIGITS = frozenset(string.punctuation) - {"_"}, frozenset("'\""), frozenset("0123456789")
+
+
+def text_words(text: str) -> list[str]:
+    """Words of a text, whose tokens one behind the other are the text's: what stands between white space, and tokens that
+    can hold white space. A text without OPENING is only split."""
+    words = []
+    for k, x in enumerate(_SPANNING.split(text)):
+        words += [x] if k % 2 else filter(None, _BLANKS.split(x))
+    return words
+
+
+def word_tokens(word: str) -> list[str]:
+    """Tokens of one of ``text_words``."""
+    return [word[:-1], word[-1]] if word[-1] in _SIGNS and word[:-1].isalpha() else text_tokens(word)
+
+
 def literal(x: str) -> bool:
     """Whether a token is a string or a number."""
-    return (x[:1] in ("'", '"') and len(x) > 1) or x[x[:1] == "." :][:1] in tuple("0123456789")
+    first = x[:1]
+    return (first in _QUOTES and len(x) > 1) or first in _DIGITS or (first == "." and x[1:2] in _DIGITS)
 
 
 def named(x: str) -> bool:

@@ -77,10 +77,8 @@ text_of AS (
   FROM atom GROUP BY doc_id)"""
 
 
-def _atoms(spark, sf_dir):
-    docs = t(spark, sf_dir, "documents")
-    vocabulary = saver(spark, "vocabulary")(lexing.lexer_vocabulary(docs))
-    return lexing.atomized(docs, vocabulary), vocabulary
+def _vocabulary(spark, docs):
+    return saver(spark, "vocabulary")(lexing.lexer_vocabulary(docs))
 
 
 @register("lexer_atoms", f"""
@@ -90,9 +88,9 @@ SELECT d.doc_id, CASE WHEN coalesce(a.whole, true) THEN coalesce(a.n, 0) END AS
 FROM documents d LEFT JOIN text_of a USING (doc_id)""")
 def lexer_atoms(spark, sf_dir):
     """Whole texts as ids; unknown tokens character by character, none where a character has no entry."""
-    atoms = _atoms(spark, sf_dir)[0]
-    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
-    return atoms.select("doc_id", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long").alias("n_atoms"), "n_characters", F.sha2(ids.cast("binary"), 256).alias("ids_sha256"))
+    docs = t(spark, sf_dir, "documents")
+    atoms = lexing.atoms(docs, _vocabulary(spark, docs))
+    return atoms.select("doc_id", lexing.digested(F.col("atoms")).alias("d")).select("doc_id", "d.n_atoms", "d.n_characters", "d.ids_sha256")
 
 
 @register("lexer_round_trip", f"""
@@ -100,8 +98,9 @@ WITH {_ATOMS}
 SELECT d.doc_id, CASE WHEN coalesce(a.whole, true) THEN sha256(coalesce(a.text, '')) END AS text_sha256 FROM documents d LEFT JOIN text_of a USING (doc_id)""")
 def lexer_round_trip(spark, sf_dir):
     """Whole texts to ids and written out again with the vocabulary's delimiters."""
-    atoms, vocabulary = _atoms(spark, sf_dir)
-    text = lexing.written_out(saver(spark, "atoms")(atoms), vocabulary)
+    docs = t(spark, sf_dir, "documents")
+    vocabulary = _vocabulary(spark, docs)
+    text = lexing.written_out(saver(spark, "atoms")(lexing.atomized(docs, vocabulary)), vocabulary)
     return text.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 

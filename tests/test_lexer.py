@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,3 +190,46 @@ def test_tokens_are_no_rows(spark):
     atoms = lexing.atomized(docs, vocabulary)
     for found in (atoms, lexing.written_out(atoms, vocabulary)):
         assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+SPACES_OF_PYTHON = ["a\x1cb\x1dc", "a\x85b", "a\xa0b \xa0", "a\u2028b\u3000", "\ufeff a"]
+
+
+def test_words_have_the_tokens_of_their_text(random_sources):
+    odd = ["a² b½ Ⅷx x๑ ๑x _² été²", "/* a\n */ b", "'\r'", "[ START ]x[ nothing ]", "a '\\\n' b", "x /=//y\nz /* */ '/*' */", "a/=/ b/ c", "'a'b' c", "f(x) ,;", *SPACES_OF_PYTHON]
+    texts = ["", " ", *random_sources, *odd, " a  b ", ""]
+    w = [lx.text_tokens(x) for x in texts]
+    assert [[*itertools.chain(*map(lx.word_tokens, lx.text_words(x)))] for x in texts] == w
+    for some in (slice(None), slice(0, 2), slice(3, 900), slice(len(texts) - 12, None)):
+        own = w[some]
+        names, code, text = lexing._coded(pa.array(texts, pa.string())[some])
+        assert len(set(names)) == len(names)
+        assert [names[k] for k in code] == [*itertools.chain(*own)]
+        assert text.tolist() == [k for k, x in enumerate(own) for _ in x]
+
+
+def test_only_distinct_words_are_lexed(monkeypatch):
+    seen = []
+    monkeypatch.setattr(lx, "text_tokens", lambda x, f=lx.text_tokens: seen.append(len(x)) or f(x))
+    names, code, _ = lexing._coded(pa.array(["word a1 + b2(c3); été² " * 50] * 100))
+    assert len(code) == 10 * 50 * 100 and len(names) == 10
+    assert sum(seen) < 50
+
+
+def test_digests_of_atoms(spark):
+    texts = {0: "a b ( c ) ; 12 'x y'", 1: "", 2: None, 3: "12 'é'", 4: "a " * 3_000, 5: "rare1 rare2 rare1 b"}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    vocabulary = lexing.lexer_vocabulary(docs)
+    atoms = {r.doc_id: r for r in lexing.atomized(docs, vocabulary).collect()}
+    for r in lexing.atoms(docs, vocabulary).select("doc_id", lexing.digested(F.col("atoms")).alias("d")).select("doc_id", "d.*").collect():
+        ids = atoms[r.doc_id].ids
+        assert (ids is None) == (r.doc_id == 3)
+        assert r.n_atoms == (None if ids is None else len(ids)) and r.n_characters == atoms[r.doc_id].n_characters
+        assert r.ids_sha256 == (None if ids is None else hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_answers_carry_no_tokens(spark):
+    """A rare token is shuffled once as a question; what comes back names its place."""
+    docs = spark.createDataFrame([(k, f"a b{k} ( c )") for k in range(20)], "doc_id long, text string")
+    plan = lexing.atomized(docs, lexing.lexer_vocabulary(docs))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(_place" in plan
