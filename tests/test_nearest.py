@@ -63,6 +63,17 @@ def test_vectors_without_a_distance(spark):
     assert nearest.nearest(targets, samples.limit(0), 1).count() == 0
 
 
+@pytest.mark.parametrize("most_targets", [20_000, 20])
+def test_more_pairs_are_more_tasks_not_larger_ones(spark, monkeypatch, most_targets):
+    monkeypatch.setattr(nearest, "TASK_PAIRS", 400, raising=False)
+    monkeypatch.setattr(nearest, "MAX_BROADCAST_TARGETS", most_targets)
+    t, s = _rows(40, 5), _rows(2000, 6)
+    found = nearest.pair_distances(spark.createDataFrame(t, TARGETS), spark.createDataFrame(s, SAMPLES)).withColumn("task", F.spark_partition_id())
+    assert max(r["count"] for r in found.groupBy("task").count().collect()) < 1000
+    got = [(r.target_id, r.vec_id, r.dist, r.euclid) for r in found.collect()]
+    assert sorted(got) == sorted((i, j, _far(x, y), _far(x, y, "euclid")) for i, x in t for j, y in s)
+
+
 @pytest.mark.parametrize(("rows", "k"), [(64, 2), (8, 8), (1, 1)])
 def test_one_to_one_with_copies(spark, monkeypatch, rows, k):
     monkeypatch.setattr(nearest, "LEAST_TASKS", 2)
